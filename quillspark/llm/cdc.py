@@ -72,7 +72,7 @@ def repeated_spans(docs: DataFrame, min_chars: int = 100, spacing: int = 32, lea
             for text in batch.column(1):
                 data = text.as_py() or b""
                 ends = chunk_ends(data, spacing, least, most)
-                begins = np.r_[0, ends[:-1]]
+                begins = np.r_[np.int64(0), ends][:-1]
                 digest = xxhash.xxh3_64_intdigest
                 digests.append(np.array([digest(data[b:e]) for b, e in zip(begins.tolist(), ends.tolist(), strict=True)], np.uint64).view(np.int64))
                 # code points begun before each end

@@ -37,5 +37,93 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+def _host_case(result: str) -> str:
+    cases = []
+    for verdict, host, path in sorted(urls.HOST_RULES, key=lambda r: -len(r[1] + r[2])):
+        value = host + path if result == "rule" else verdict
+        cases.append(f"WHEN (host = '{host}' OR ends_with(host, '.{host}')) AND starts_with(path, '{path}') THEN '{value}'")
+    return "CASE " + " ".join(cases) + " END"
+
+
+def _matches(exempt: bool) -> str:
+    found = [urls.pattern_regex(p) for p in urls.PATTERN_RULES if p.startswith("@@") == exempt]
+    return " OR ".join(f"regexp_matches(lower(url), '{x}')" for x in found)
+
+
+URLS = f"""
+WITH parts AS (
+  SELECT page_id, url,
+         translate(coalesce(regexp_extract(url, '://([^/?#]*)', 1), ''), '{urls.UPPER}', '{urls.LOWER}') AS host,
+         coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path
+  FROM pages)
+SELECT page_id, host, path, {_host_case("rule")} AS rule,
+       coalesce({_host_case("verdict")}, CASE WHEN ({_matches(False)}) AND NOT ({_matches(True)}) THEN 'block' ELSE 'allow' END) AS verdict
+FROM parts"""
+
+WARC = f"""
+WITH payloads AS (
+  SELECT page_id, coalesce(html, '') AS html, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes FROM pages),
+firsts AS (
+  SELECT *, min(page_id) OVER (PARTITION BY html) AS first FROM payloads)
+SELECT page_id, payload_bytes, sha256(html) AS payload_digest,
+       CASE WHEN payload_bytes >= {warc.REVISIT_BYTES} AND first IS NOT NULL AND page_id IS DISTINCT FROM first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= {warc.REVISIT_BYTES} AND first IS NOT NULL AND page_id IS DISTINCT FROM first THEN first END AS refers_to
+FROM firsts"""
+
+_ITEM_WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+DECONTAM = f"""
+WITH items AS (SELECT item_id, {_ITEM_WORDS} AS w FROM benchmark),
+windows AS (
+  SELECT DISTINCT CAST(item_id AS VARCHAR) AS item, least(10, len(w)) AS size, array_to_string(w[i:i + least(10, len(w)) - 1], ' ') AS gram
+  FROM items, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS t(i) WHERE len(w) > 0),
+sizes AS (SELECT DISTINCT size FROM windows),
+docs AS (SELECT row_number() OVER () AS r, doc_id, {_ITEM_WORDS} AS w FROM documents),
+grams AS (
+  SELECT r, i, size, array_to_string(w[i:i + size - 1], ' ') AS gram
+  FROM docs, sizes, unnest(range(1, len(w) - size + 2)) AS t(i)),
+found AS (SELECT r, i, g.size, item FROM grams g JOIN windows v ON g.size = v.size AND g.gram = v.gram),
+hits AS (
+  SELECT r, count(DISTINCT k) AS n_hit FROM (SELECT DISTINCT r, i, size FROM found), unnest(range(i, i + size)) AS t(k) GROUP BY r),
+named AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names FROM (SELECT DISTINCT r, item FROM found WHERE item IS NOT NULL) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+       sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs LEFT JOIN hits USING (r) LEFT JOIN named USING (r)"""
+
+_BLANK = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+QUALITY = f"""
+WITH docs AS (
+  SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS t,
+         regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w
+  FROM documents),
+windows AS (
+  SELECT r, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM docs, unnest(range(1, len(w) - 1)) AS t(i)),
+twice AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS n FROM windows) WHERE n > 1),
+repeats AS (SELECT r, count(DISTINCT k) AS n FROM twice, unnest([i, i + 1, i + 2]) AS t(k) GROUP BY r),
+measured AS (
+  SELECT d.r, doc_id, source, t, CAST(len(w) AS BIGINT) AS n_words,
+         CAST(length(translate(t, {_BLANK}, '')) AS BIGINT) AS word_chars,
+         CAST(length(t) - length(translate(t, '{quality.SYMBOLS}', '')) AS BIGINT) AS n_symbols,
+         list_filter(string_split(t, chr(10)), lambda x: length(translate(x, {_BLANK}, '')) > 0) AS ls,
+         CAST(coalesce(repeats.n, 0) AS BIGINT) AS n_repeat_words
+  FROM docs d LEFT JOIN repeats ON d.r = repeats.r),
+judged AS (
+  SELECT *, n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > {quality.MAX_REPEAT_PERCENT} * n_words AS base_failed FROM measured),
+lines AS (
+  SELECT r, source, trim(l) AS line
+  FROM judged, unnest(string_split(translate(lower(t), '123456789' || chr(9) || chr(11) || chr(12) || chr(13), '000000000    '), chr(10))) AS u(l)
+  WHERE length(trim(l)) > 0),
+hosts AS (SELECT source, count(*) AS docs FROM docs GROUP BY source),
+counts AS (SELECT source, line, count(DISTINCT r) AS n FROM lines GROUP BY source, line),
+frequent AS (
+  SELECT c.source, c.line FROM counts c JOIN hosts h ON c.source IS NOT DISTINCT FROM h.source
+  WHERE n > {quality.LINE_DOCS} AND n > {quality.LINE_SHARE}::DOUBLE * docs),
+losses AS (
+  SELECT l.r, sum(length(l.line)) AS total, sum(CASE WHEN f.line IS NULL THEN 0 ELSE length(l.line) END) AS lost
+  FROM lines l LEFT JOIN frequent f ON l.source IS NOT DISTINCT FROM f.source AND l.line = f.line GROUP BY l.r)
+SELECT doc_id, n_words, word_chars, n_symbols, CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND coalesce(lost, 0) <= {quality.DEPLETED}::DOUBLE * coalesce(total, 0) AS kept
+FROM judged LEFT JOIN losses USING (r)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_decontaminate": DECONTAM, "op7_quality": QUALITY, "op8_warc": WARC, "op9_urls": URLS}

@@ -109,7 +109,8 @@ def scan(docs: DataFrame) -> DataFrame:
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     kinds = [spans(text, ASSIGN, 2, 6), spans(text, ACCESS), spans(text, HEX)]
-    named = [F.transform(s, lambda x, k=k: F.struct(x["begin"].alias("begin"), F.lit(k).alias("kind"), x["end"].alias("end"))) for k, s in enumerate(kinds)]
+    of_kind = lambda k: lambda x: F.struct(x["begin"].alias("begin"), F.lit(k).alias("kind"), x["end"].alias("end"))
+    named = [F.transform(s, of_kind(k)) for k, s in enumerate(kinds)]
     base = F.array_sort(F.concat(*named))
     mixed = F.filter(spans(text, CANDIDATE), lambda x: x["match"].rlike("[0-9]") & x["match"].rlike("[A-Za-z]"))
     length_class = lambda x: F.when(F.length(x["match"]) >= LENGTH_CLASSES[2][0], 2).when(F.length(x["match"]) >= LENGTH_CLASSES[1][0], 1).otherwise(0)
@@ -146,7 +147,7 @@ def find_secrets(docs: DataFrame) -> DataFrame:
     steps = F.array(*[F.lit(limits.get(k, TOP + 1)) for k in range(len(LENGTH_CLASSES))])
     limit = lambda c: F.element_at(steps, c + 1)
     random = F.filter("tested", lambda x: (x["step"] < limit(x["class"])) & ~F.exists("base", lambda b: (b["begin"] < x["end"]) & (x["begin"] < b["end"])))
-    added = F.transform(random, lambda x: F.struct(x["begin"].alias("begin"), F.lit(3).alias("kind"), x["end"].alias("end")))
+    added = F.transform(random, lambda x: F.struct(x["begin"].alias("begin"), F.lit(3).alias("kind"), x["end"].alias("end")))  # 3: random
     return scanned.select("doc_id", "base", F.array_sort(F.concat("base", added)).alias("spans"))
 
 
