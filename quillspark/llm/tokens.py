@@ -18,6 +18,7 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -127,6 +128,12 @@ class PieceEncoder:
         return np.concatenate([np.array(head, np.uint32), np.frombuffer(body, "<u4")])
 
 
+@cache
+def worker_encoder(path: str) -> PieceEncoder:
+    """One encoder for each Python worker, so that tasks share what it remembers."""
+    return PieceEncoder(path)
+
+
 def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 0, path: str | None = None) -> str:
     """Encode docs(doc_id, text), append ``end_id`` to each, and write the files.
 
@@ -138,7 +145,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 0, path: str | N
     path = path or new_path(docs.sparkSession, "tokens")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, start = PieceEncoder(tokenizer), TaskContext.get().partitionId(), 0
+        encoder, part, start = worker_encoder(tokenizer), TaskContext.get().partitionId(), 0
         names: list[int | None] = []
         held: list[np.ndarray] = []
         count, row = 0, 0
