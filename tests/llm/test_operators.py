@@ -479,7 +479,7 @@ def test_secrets(spark, docs, rows, nothing):
         assert set(names) <= set(r.spans.split(",")) or not names
     start = 4
     assert out[6].spans == f"random:{start}:{start + 43}"
-    assert out[7].spans == ""
+    assert out[7].spans == "hex:0:32"
     assert secrets.op10_secrets(nothing).count() == 0
     assert secrets.op10_secrets(docs).count() == len(rows)
 
