@@ -14,9 +14,9 @@ without touching other blocks.  ``doc_ids`` and ``ends`` give the documents.
 
 from __future__ import annotations
 
-import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import cache
 
@@ -33,7 +33,7 @@ HEAD = struct.Struct("<4sIIQI")
 BLOCK_IDS = 4096
 ROW_DOCS, ROW_IDS = 512, 1 << 20
 #: Pieces whose ids a worker remembers.
-CACHE_PIECES = 400_000
+CACHE_PIECES = 500_000
 
 
 def pack(ids: np.ndarray, bits: int) -> bytes:
@@ -82,8 +82,6 @@ class PieceEncoder:
     library whole.
     """
 
-    awkward = re.compile(r"[^\S \n]|[ \n]{2}|\A[ \n]|[ \n]\Z|<\|")
-
     def __init__(self, path: str) -> None:
         import os
 
@@ -96,7 +94,7 @@ class PieceEncoder:
         self.parted = self._splits_alike()
 
     def _whole(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.library.encode_batch(texts, add_special_tokens=False)]
+        return [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _splits_alike(self) -> bool:
         """Whether this tokenizer treats pieces on their own as in a text."""
@@ -104,28 +102,41 @@ class PieceEncoder:
         own = [p if i == 0 or p[:1] == "\n" else " " + p for i, p in enumerate(probe.replace("\n", " \n").split(" "))]
         return self._whole([probe])[0] == sum(self._whole(own), [])
 
-    def encode(self, text: str) -> np.ndarray:
-        if not text:
-            return np.empty(0, np.uint32)
-        if not self.parted or self.awkward.search(text):
-            return np.array(self._whole([text])[0], np.uint32)
-        parts = text.replace("\n", " \n").split(" ")
-        # the first piece has no space before it
-        head, known = self._whole([parts[0]])[0], self.pieces
-        missing = list({p for p in parts[1:] if p not in known})
-        extra = {}
-        if missing:
-            found = self._whole([p if p[0] == "\n" else " " + p for p in missing])
-            fresh = {p: np.array(x, "<u4").tobytes() for p, x in zip(missing, found, strict=True)}
-            if len(known) + len(fresh) <= CACHE_PIECES:
-                known.update(fresh)
-            else:
-                extra = fresh
-        if extra:
-            body = b"".join([known[p] if p in known else extra[p] for p in parts[1:]])
-        else:
-            body = b"".join([known[p] for p in parts[1:]])
-        return np.concatenate([np.array(head, np.uint32), np.frombuffer(body, "<u4")])
+    @staticmethod
+    def separable(text: str) -> bool:
+        """Whether all white space is single spaces and line ends between other characters."""
+        if any(x in text for x in ("  ", "\n\n", " \n", "\n ", "<|")) or text[0] in " \n" or text[-1] in " \n":
+            return False
+        return len("".join(text.split())) == len(text) - text.count(" ") - text.count("\n")
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text; what is new in all of them goes to the library at once.
+
+        Pieces are remembered without the space before them; a text's first
+        piece has none, and is remembered with one in front to tell it apart.
+        """
+        parted = [None] * len(texts)
+        for k, text in enumerate(texts):
+            if text and self.parted and self.separable(text):
+                parts = text.replace("\n", " \n").split(" ")
+                parts[0] = " " + parts[0]
+                parted[k] = parts
+        known = self.pieces
+        new = list(set().union(*filter(None, parted)).difference(known))
+        odd = [k for k, text in enumerate(texts) if text and parted[k] is None]
+        found = self._whole([p[1:] if p[0] == " " else p if p[0] == "\n" else " " + p for p in new] + [texts[k] for k in odd])
+        fresh = {p: array("I", ids).tobytes() for p, ids in zip(new, found, strict=False)}
+        known.update(fresh)
+        out: list[np.ndarray] = [np.empty(0, np.uint32)] * len(texts)
+        for k, ids in zip(odd, found[len(new) :], strict=True):
+            out[k] = np.array(ids, np.uint32)
+        for k, parts in enumerate(parted):
+            if parts:
+                out[k] = np.frombuffer(b"".join(map(known.__getitem__, parts)), np.uint32)
+        if len(known) > CACHE_PIECES:
+            for p in fresh:
+                del known[p]
+        return out
 
 
 @cache
@@ -161,13 +172,15 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 0, path: str | N
             return pa.RecordBatch.from_arrays(columns, ["part", "row", "start", "n_ids", "doc_ids", "ends", "data"])
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = np.append(encoder.encode(text.as_py() or ""), np.uint32(end_id))
-                names.append(doc_id)
-                held.append(ids)
-                count += len(ids)
-                if len(names) >= ROW_DOCS or count >= ROW_IDS:
-                    yield flush()
+            for at in range(0, batch.num_rows, ROW_DOCS):
+                part_batch = batch.slice(at, ROW_DOCS)
+                texts = [t or "" for t in part_batch.column(1).to_pylist()]
+                for doc_id, ids in zip(part_batch.column(0).to_pylist(), encoder.encode(texts), strict=True):
+                    names.append(doc_id)
+                    held.append(np.append(ids, np.uint32(end_id)))
+                    count += len(ids) + 1
+                    if len(names) >= ROW_DOCS or count >= ROW_IDS:
+                        yield flush()
         if names:
             yield flush()
 
