@@ -16,7 +16,6 @@ from __future__ import annotations
 
 import struct
 import zlib
-from array import array
 from collections.abc import Iterator
 from functools import cache
 
@@ -34,6 +33,8 @@ BLOCK_IDS = 4096
 ROW_DOCS, ROW_IDS = 512, 1 << 20
 #: Pieces whose ids a worker remembers.
 CACHE_PIECES = 500_000
+#: Pieces that go to the library as one text.
+JOINED_PIECES = 2000
 
 
 def pack(ids: np.ndarray, bits: int) -> bytes:
@@ -98,6 +99,9 @@ class PieceEncoder:
 
     def _splits_alike(self) -> bool:
         """Whether this tokenizer treats pieces on their own as in a text."""
+        if len(ids := self._whole(["\n"])[0]) != 1:
+            return False
+        self.line_end = ids[0]
         probe = "One two's\nthree, 45 six.\n(Seven) été 8th don't"
         own = [p if i == 0 or p[:1] == "\n" else " " + p for i, p in enumerate(probe.replace("\n", " \n").split(" "))]
         return self._whole([probe])[0] == sum(self._whole(own), [])
@@ -109,6 +113,23 @@ class PieceEncoder:
             return False
         return len("".join(text.split())) == len(text) - text.count(" ") - text.count("\n")
 
+    def _pieces(self, pieces: list[str]) -> list[bytes]:
+        """Ids of each piece: many to a text, a line for each, cut at the line ends.
+
+        A first piece of a text and one after a line end stand at the start
+        of their line, the others after the space that belongs to them.
+        """
+        shown = [p[1:] if p[0] in " \n" else " " + p for p in pieces]
+        blocks = ["\n".join(shown[at : at + JOINED_PIECES]) for at in range(0, len(shown), JOINED_PIECES)]
+        out = []
+        for ids in self._whole(blocks):
+            found = np.array(ids, "<u4")
+            ends = np.append(np.flatnonzero(found == self.line_end), len(found)) * 4
+            data = found.tobytes()
+            out += [data[a:b] for a, b in zip([0, *(ends[:-1] + 4).tolist()], ends.tolist(), strict=True)]
+        first = np.uint32(self.line_end).tobytes()
+        return [first + x if p[0] == "\n" else x for p, x in zip(pieces, out, strict=True)]
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text; what is new in all of them goes to the library at once.
 
@@ -124,11 +145,11 @@ class PieceEncoder:
         known = self.pieces
         new = list(set().union(*filter(None, parted)).difference(known))
         odd = [k for k, text in enumerate(texts) if text and parted[k] is None]
-        found = self._whole([p[1:] if p[0] == " " else p if p[0] == "\n" else " " + p for p in new] + [texts[k] for k in odd])
-        fresh = {p: array("I", ids).tobytes() for p, ids in zip(new, found, strict=False)}
+        found = self._whole([texts[k] for k in odd])
+        fresh = dict(zip(new, self._pieces(new), strict=True))
         known.update(fresh)
         out: list[np.ndarray] = [np.empty(0, np.uint32)] * len(texts)
-        for k, ids in zip(odd, found[len(new) :], strict=True):
+        for k, ids in zip(odd, found, strict=True):
             out[k] = np.array(ids, np.uint32)
         for k, parts in enumerate(parted):
             if parts:
