@@ -80,3 +80,25 @@ def word_columns(lines: DataFrame, gap: int = 10) -> DataFrame:
 
 def has_pipes(text):
     return count(text, "\\|") >= 3
+
+
+def spaced_cells(lines: DataFrame, gap: int = 10) -> DataFrame:
+    """Cells of space-aligned blocks: each line cut at the block's column starts, blank pieces left out."""
+    starts = word_columns(lines, gap)
+    w = Window.partitionBy("block_id").orderBy("start")
+    cuts = starts.select("block_id", "start", (F.row_number().over(w) - 1).alias("col"), F.lead("start").over(w).alias("stop"))
+    cuts = cuts.groupBy("block_id").agg(F.array_sort(F.collect_list(F.struct("col", "start", "stop"))).alias("cuts")).where(F.size("cuts") >= 2)
+    rows = lines.where(strip(F.col("line")) != "").withColumn("row", F.row_number().over(Window.partitionBy("block_id").orderBy("line_no")) - 1)
+    grid = rows.join(cuts, "block_id").select("block_id", "row", "line", F.inline("cuts"))
+    piece = strip(F.substring("line", F.col("start") + 1, F.coalesce(F.col("stop"), F.length("line")) - F.col("start")))
+    return grid.select("block_id", "row", "col", piece.alias("text"), (F.col("row") == 0).alias("is_header")).where("text <> ''")
+
+
+def grid_cells(lines: DataFrame) -> DataFrame:
+    """Cells of grid tables: blocks with two rules or more, the other lines cut at ``+``, empty pieces left out."""
+    rule = has(strip(F.col("line")), "\\A[+\\-|]+\\z")
+    own = lines.where(strip(F.col("line")) != "").withColumn("is_rule", rule)
+    own = own.withColumn("rules", F.sum(F.col("is_rule").cast("int")).over(Window.partitionBy("block_id"))).where("rules >= 2 AND NOT is_rule")
+    own = own.withColumn("row", F.row_number().over(Window.partitionBy("block_id").orderBy("line_no")) - 1)
+    pieces = F.filter(F.transform(F.split("line", "\\+"), strip), lambda x: x != "")
+    return own.select("block_id", "row", F.posexplode(pieces).alias("col", "text")).withColumn("is_header", F.col("row") == 0)

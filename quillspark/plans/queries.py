@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import classify as C
 from ..functions.patterns import strip as col_strip
-from ..operators import code, elements, mathx, metrics, outline, tables
+from ..operators import code, elements, inference, mathx, metrics, outline, tables
 from ..sources import corpus
 from ..streaming import jobs as job_stream
 from . import sql as D
@@ -323,6 +323,29 @@ QUERIES["t14_render_tables"] = lambda spark, sf_dir: tables.render_tables(tables
 ORACLES["t14_render_tables"] = B + f", padded AS (SELECT block_id, row, col, {PAD} AS cell FROM (SELECT *, CASE WHEN length(text) > 12 THEN left(text, 9) || '...' ELSE text END AS t FROM cells)), lines AS (SELECT block_id, row, '| ' || string_agg(cell, ' | ' ORDER BY col) || ' |' || CASE WHEN row = 0 THEN chr(10) || '|' || repeat(repeat('-', 14) || '|', 3) ELSE '' END AS line, count(*) AS n FROM padded GROUP BY block_id, row) SELECT block_id, string_agg(line, chr(10) ORDER BY row) AS markdown FROM lines GROUP BY block_id HAVING sum(n) >= 6"
 
 
+def grid_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts of each brand as grid tables."""
+    lines = blocks(spark, sf_dir, " + ").withColumn("line", F.concat(F.lit("+ "), "line", F.lit(" +")))
+    rules = lines.where("line_no = 1").select("block_id", F.explode(F.array(F.lit(0), F.lit(100))).alias("line_no"), F.lit("+---+---+---+").alias("line"))
+    return lines.unionByName(rules)
+
+
+def spaced_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts of each brand in columns of 40 characters."""
+    p = corpus.table(spark, sf_dir, "part")
+    row = F.row_number().over(Window.partitionBy("p_brand").orderBy("p_partkey"))
+    line = F.concat(F.rpad(F.col("p_partkey").cast("string"), 40, " "), F.rpad(F.translate("p_type", " ", "_"), 40, " "), F.col("p_size").cast("string"))
+    return p.select(F.col("p_brand").alias("block_id"), row.alias("line_no"), line.alias("line")).where("line_no <= 40")
+
+
+QUERIES["t05_spaced_cells"] = lambda spark, sf_dir: tables.spaced_cells(spaced_blocks(spark, sf_dir))
+ORACLES["t05_spaced_cells"] = block_sql("[CAST(p_partkey AS VARCHAR), replace(p_type, ' ', '_'), CAST(p_size AS VARCHAR)]") + "SELECT block_id, row, col, text, row = 0 AS is_header FROM cells"
+QUERIES["t04_word_columns"] = lambda spark, sf_dir: tables.word_columns(spaced_blocks(spark, sf_dir)).select("block_id", F.col("start").cast("int").alias("start"))
+ORACLES["t04_word_columns"] = "SELECT p_brand AS block_id, CAST(start AS INTEGER) AS start FROM (SELECT DISTINCT p_brand FROM part), (VALUES (0), (40), (80)) v(start)"
+QUERIES["t06_grid_cells"] = lambda spark, sf_dir: tables.grid_cells(grid_blocks(spark, sf_dir))
+ORACLES["t06_grid_cells"] = B + "SELECT block_id, row, col, text, row = 0 AS is_header FROM cells"
+
+
 def code_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A snippet for each order between two lines of prose; its language turns with the key."""
     k = F.col("o_orderkey")
@@ -375,6 +398,36 @@ ORACLES["m07_splice"] = M + "SELECT doc_id, 'ratio \\frac{' || p || '}{' || s ||
 QUERIES["x01_job_fold"] = lambda spark, sf_dir: job_stream.fold_jobs(job_stream.job_events(corpus.jobs(spark, sf_dir)))
 ORACLES["x01_job_fold"] = J + "SELECT job_id, status, created_at, CASE WHEN status <> 'pending' THEN created_at + INTERVAL 1 MINUTE END AS started_at, CASE WHEN status = 'completed' THEN 1::DOUBLE WHEN status = 'pending' THEN 0::DOUBLE ELSE 0.5::DOUBLE END AS progress FROM jobs"
 
+# requests and replies of page models ---------------------------------------
+
+
+def page_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A request for each page, its text standing for the image."""
+    prompt, image = F.concat(F.lit("Page "), F.col("page_id").cast("string")), F.md5(F.col("html"))
+    return corpus.table(spark, sf_dir, "pages").select("page_id", *[inference.request_body(prompt, image, "m", s).alias(s) for s in ("generate", "chat", "plain")])
+
+
+QUERIES["e02_request_bodies"] = page_requests
+ORACLES["e02_request_bodies"] = """WITH p AS (SELECT page_id, 'Page ' || page_id AS prompt, md5(html) AS image FROM pages)
+SELECT page_id, '{"model":"m","prompt":"' || prompt || '","images":["' || image || '"],"stream":false}' AS generate,
+  '{"model":"m","max_tokens":4096,"messages":[{"role":"user","content":[{"type":"text","text":"' || prompt || '"},{"type":"image_url","image_url":{"url":"data:image/png;base64,' || image || '"}}]}]}' AS chat,
+  '{"model":"m","prompt":"' || prompt || '","image":"' || image || '","max_tokens":4096}' AS plain FROM p"""
+
+
+def echo_client() -> inference.Client:
+    """A client without a network that answers with the length of a request."""
+    return lambda body: f'{{"response": "{len(body)}", "total_duration": 2000000000}}'
+
+
+def model_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = inference.call_model(page_requests(spark, sf_dir).select("page_id", F.col("plain").alias("body")), echo_client)
+    return found.select("page_id", inference.reply_text(F.col("reply")).alias("text"), inference.reply_seconds(F.col("reply")).alias("seconds"), "error", "attempts")
+
+
+QUERIES["e01_model_replies"] = model_replies
+ORACLES["e01_model_replies"] = """SELECT page_id, CAST(length('{"model":"m","prompt":"Page ' || page_id || '","image":"' || coalesce(md5(html), '') || '","max_tokens":4096}') AS VARCHAR) AS text, 2::DOUBLE AS seconds, CAST(NULL AS VARCHAR) AS error, 1 AS attempts FROM pages"""
+over_events("w06_seconds_left", lambda e: e.where("seq <= 1000").select("op", "seq", F.round(inference.seconds_left(F.col("seq") * 0.5, F.col("seq"), F.lit(1000)), 6).alias("seconds_left")), "SELECT op, seq, round(greatest(0::DOUBLE, seq * 0.5::DOUBLE * 1000 / seq - seq * 0.5::DOUBLE), 6) AS seconds_left FROM ops WHERE seq <= 1000")
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as lines, each line classified and scored, and the document's character from its lines."""

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from quillspark.functions import classify
-from quillspark.operators import code, mathx, outline, tables
+from quillspark.operators import code, inference, mathx, outline, tables
 from quillspark.plans import queries as plans
 from quillspark.sources import corpus
 from quillspark.streaming import jobs as job_stream
@@ -101,3 +101,28 @@ def test_stream_equals_batch(spark, tmp_path):
     run.stop()
     want = sorted(map(tuple, job_stream.fold_jobs(events).collect()))
     assert sorted(map(tuple, spark.table("folded").collect())) == want
+
+
+def test_model_calls(spark):
+    """A call that fails is made again; one that always fails becomes an error of its row."""
+
+    def make():
+        seen = {}
+
+        def client(body):
+            seen[body] = seen.get(body, 0) + 1
+            if body == "bad" or body == "shaky" and seen[body] < 2:
+                raise TimeoutError("late")
+            return "ok"
+
+        return client
+
+    rows = [(1, "good"), (2, "shaky"), (3, "bad"), (4, None)]
+    found = inference.call_model(spark.createDataFrame(rows, "k int, body string").coalesce(1), make, retries=2, delay=0.01)
+    assert sorted((r.k, r.reply, r.error, r.attempts) for r in found.collect()) == [(1, "ok", None, 1), (2, "ok", None, 2), (3, None, "TimeoutError: late", 3), (4, None, "no request", 0)]
+
+
+def test_reply_text(spark):
+    bodies = ['{"choices":[{"message":{"content":"a"}}]}', '{"content":[{"text":"b"}]}', '{"content":"c"}', '{"text":"d"}', '{"response":"e"}', '{"output":"f"}', "g"]
+    frame = spark.createDataFrame([(b,) for b in bodies], "body string").coalesce(1)
+    assert [r[0] for r in frame.select(inference.reply_text(F.col("body"))).collect()] == list("abcdefg")
