@@ -3,8 +3,8 @@
 Fingerprints are compared inside blocks of candidates that share a key.  A
 block stores bit planes vertically: plane ``p`` holds bit ``p`` of all its
 fingerprints, 64 to a machine word.  One pass of XORs and carry-save adders
-over the planes updates the distances of 64 pairs at once, and words whose
-pairs all exceed the radius drop out at once.
+over the planes updates the distances of many rows to 64 others each, and
+words whose pairs all exceed the radius drop out at once.
 """
 
 from __future__ import annotations
@@ -23,6 +23,8 @@ from .components import connected_components
 
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 CHUNK = 1 << 15
+#: Words of 64 pairs that are compared at once.
+ITEMS = 4096
 
 
 def shingle_hashes(text: bytes | None, shingle: int, seed: int) -> np.ndarray:
@@ -100,42 +102,51 @@ def unpack(lanes: list[np.ndarray]) -> np.ndarray:
     return np.concatenate([np.unpackbits(x.astype("<i8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little") for x in lanes], axis=1)
 
 
-def close_pairs(bits: np.ndarray, groups: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs (i, j) of the same group at most ``radius`` bits apart.
+def close_pairs(bits: np.ndarray, groups: np.ndarray, radius: int, root: np.ndarray | None = None, sides: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (i, j), i < j, of the same group at most ``radius`` bits apart.
 
-    bits: rows by bit positions; groups: non-decreasing group numbers.  For
-    each shift s all pairs (i, i+s) are compared at once on the bit planes.
+    bits: rows by bit positions; groups: non-decreasing group numbers.  A
+    batch holds (row, word) items: one row against the 64 rows of a word of
+    the bit planes.  Pairs that share a label of ``root`` or of ``sides`` are
+    left out; ``root`` is read anew for each batch, so the caller may join
+    labels between batches, and items without a pair left cost nothing more.
     """
     n, width = bits.shape
-    words = (n + 63) // 64 + 1
+    words = (n + 63) // 64
     padded = np.zeros((words * 64, width), np.uint8)
     padded[:n] = bits
     planes = np.ascontiguousarray(np.packbits(padded, axis=0, bitorder="little").T).view("<u8")
     counters = int(radius + 1).bit_length()
-    start = (1 << counters) - 1 - radius
+    begin = (1 << counters) - 1 - radius
     # the planes that split this block best come first, so that far pairs are given up early
     share = bits.mean(axis=0)
     order = np.argsort(np.abs(share - 0.5), kind="stable")
     order = order[: int(((share > 0) & (share < 1)).sum())]
-    sizes = np.diff(np.flatnonzero(np.r_[True, groups[1:] != groups[:-1], True])) if n else np.empty(0, np.int64)
     full = np.uint64(0xFFFFFFFFFFFFFFFF)
-    for shift in range(1, int(sizes.max(initial=1))):
-        mask = np.zeros(words * 64, bool)
-        mask[: n - shift] = groups[shift:] == groups[:-shift]
-        alive = np.packbits(mask, bitorder="little").view("<u8")
+    bounds = np.flatnonzero(np.r_[True, groups[1:] != groups[:-1], True]) if n else np.zeros(1, np.int64)
+    ends = np.repeat(bounds[1:], np.diff(bounds))
+    first = (np.arange(n) + 1) // 64
+    items = np.where(ends > np.arange(n) + 1, (ends - 1) // 64 - first + 1, 0)
+    total = np.cumsum(items)
+    low = 0
+    while low < n:
+        done = int(total[low - 1]) if low else 0
+        high = max(low + 1, int(np.searchsorted(total, done + ITEMS, "right")))
+        sizes = items[low:high]
+        row = np.repeat(np.arange(low, high), sizes)
+        word = first[row] + np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        other = word[:, None] * 64 + np.arange(64)
+        valid = (other > row[:, None]) & (other < ends[row][:, None])
+        for label in (root, sides):
+            if label is not None:
+                valid &= label[np.minimum(other, n - 1)] != label[row][:, None]
+        alive = np.packbits(valid, axis=1, bitorder="little").view("<u8").ravel()
+        fill = np.where(bits[low:high].T, full, np.uint64(0))
         at = np.flatnonzero(alive)
-        alive, (jump, rest) = alive[at], divmod(shift, 64)
-        count = [np.full(len(at), full if start >> k & 1 else 0, np.uint64) for k in range(counters)]
-
-        def differ(p: int, at: np.ndarray, jump: int = jump, rest: int = rest) -> np.ndarray:
-            plane = planes[p]
-            other = plane[np.minimum(at + jump, words - 1)] >> np.uint64(rest)
-            if rest:
-                other |= plane[np.minimum(at + jump + 1, words - 1)] << np.uint64(64 - rest)
-            return plane[at] ^ other
-
-        for first in range(0, len(order), 3):
-            group = [differ(p, at) for p in order[first : first + 3]]
+        alive, row, word = alive[at], row[at], word[at]
+        count = [np.full(len(at), full if begin >> k & 1 else 0, np.uint64) for k in range(counters)]
+        for start in range(0, len(order) if len(at) else 0, 3):
+            group = [planes[p][word] ^ fill[p][row - low] for p in order[start : start + 3]]
             if len(group) == 3:  # carry-save: three planes become a sum and a carry
                 a, b, c = group
                 half = a ^ b
@@ -146,38 +157,45 @@ def close_pairs(bits: np.ndarray, groups: np.ndarray, radius: int) -> Iterator[t
                 for k in range(weight, counters):
                     x, count[k] = count[k] & x, count[k] ^ x
                 alive = alive & ~x
-            if first % 9 == 6:
+            if start % 9 == 6:
                 keep = np.flatnonzero(alive)
-                if len(keep) < len(at):
-                    at, alive, count = at[keep], alive[keep], [c[keep] for c in count]
-                if not len(at):
+                if len(keep) < len(alive):
+                    alive, row, word, count = alive[keep], row[keep], word[keep], [c[keep] for c in count]
+                if not len(alive):
                     break
-        if len(at):
-            found = np.unpackbits(alive.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            row, bit = np.nonzero(found)
-            i = at[row] * 64 + bit
-            yield i, i + shift
+        if len(alive):
+            item, bit = np.nonzero(np.unpackbits(alive.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
+            yield row[item], word[item] * 64 + bit
+        low = high
 
 
-def spanning_links(bits: np.ndarray, groups: np.ndarray, radius: int) -> np.ndarray:
-    """For each row the smallest row that its group's close pairs reach."""
-    root = np.arange(len(bits))
+def find(root: np.ndarray, x: int) -> int:
+    while root[x] != x:
+        root[x] = root[root[x]]
+        x = root[x]
+    return x
 
-    def find(x: int) -> int:
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
-    for i, j in close_pairs(bits, groups, radius):
-        new = root[i] != root[j]
-        for a, b in zip(i[new].tolist(), j[new].tolist(), strict=True):
-            a, b = find(a), find(b)
-            if a != b:
-                root[max(a, b)] = min(a, b)
-        root = root[root]
+
+def flatten(root: np.ndarray) -> None:
+    """Every row's label becomes its root, in place."""
     while (root[root] != root).any():
-        root = root[root]
+        root[:] = root[root]
+
+
+def spanning_links(bits: np.ndarray, groups: np.ndarray, radius: int, sides: np.ndarray | None = None) -> np.ndarray:
+    """For each row the smallest row that its group's close pairs reach."""
+    root = np.arange(len(bits))
+    for i, j in close_pairs(bits, groups, radius, root, sides):
+        step = 256
+        while len(i):
+            for a, b in zip(i[:step].tolist(), j[:step].tolist(), strict=True):
+                a, b = find(root, a), find(root, b)
+                if a != b:
+                    root[max(a, b)] = min(a, b)
+            flatten(root)
+            i, j = i[step:], j[step:]
+            new = root[i] != root[j]
+            i, j, step = i[new], j[new], step * 2
     return root
 
 
