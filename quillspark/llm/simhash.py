@@ -81,20 +81,15 @@ def fingerprints(docs: DataFrame, shingle: int = 3, seed: int = 42, lanes: int =
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(compute, schema)
 
 
-def key_bits(lanes: int, radius: int, blocks: int, tables: int, width: int) -> list[list[int]]:
+def key_bits(lanes: int, radius: int, blocks: int) -> list[list[int]]:
     """Bit positions of each table's key.
 
-    With ``blocks`` the bits are cut into that many blocks, and every choice
-    of ``blocks - radius`` of them is a table: fingerprints within the radius
-    agree in one of the choices for certain.  Otherwise each of ``tables``
-    tables takes ``width`` seeded random bits.
+    The bits are cut into ``blocks`` blocks, and every choice of ``blocks -
+    radius`` of them is a table: fingerprints within the radius agree in one
+    of the choices for certain.
     """
-    bits = np.arange(64 * lanes)
-    if blocks:
-        parts = np.array_split(bits, blocks)
-        return [np.concatenate(c).tolist() for c in combinations(parts, blocks - radius)]
-    draw = np.random.default_rng(7)
-    return [sorted(draw.choice(bits, width, replace=False).tolist()) for _ in range(tables)]
+    parts = np.array_split(np.arange(64 * lanes), blocks)
+    return [np.concatenate(c).tolist() for c in combinations(parts, blocks - radius)]
 
 
 def unpack(lanes: list[np.ndarray]) -> np.ndarray:
@@ -199,15 +194,53 @@ def spanning_links(bits: np.ndarray, groups: np.ndarray, radius: int, sides: np.
     return root
 
 
-def near_links(prints: DataFrame, lanes: int, radius: int, blocks: int = 5, tables: int = 0, width: int = 0, block_rows: int = 2048) -> DataFrame:
+def cells(rows: DataFrame, chunks: DataFrame, rep: str) -> DataFrame:
+    """rows(t, key, ..), chunks(t, key, chunks) -> rows + cell, side.
+
+    Rows of a key are dealt over its chunks by ``rep``, and a cell is made
+    for each pair of chunks, so no task gets a whole hot key.  Within a cell
+    only rows of different sides are compared: all rows, or the two chunks.
+    """
+    mine = F.pmod(F.xxhash64(rep), F.col("chunks")).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
+    dealt = rows.join(chunks, ["t", "key"]).withColumn("mine", mine).withColumn("other", other)
+    dealt = dealt.withColumn("cell", F.xxhash64("t", "key", F.least("mine", "other"), F.greatest("mine", "other")))
+    return dealt.withColumn("side", F.when(F.col("mine") != F.col("other"), F.col("mine"))).drop("t", "key", "chunks", "mine", "other")
+
+
+def by_cell(batches: Iterator[pa.RecordBatch], size: int = 4096, most: int = 1 << 24) -> Iterator[pa.Table]:
+    """Tables of whole cells from batches sorted by cell, of about ``size`` rows or ``most`` bytes where cells allow."""
+    held: list[pa.Table] = []
+    for batch in batches:
+        for at in range(0, batch.num_rows, size):
+            held.append(pa.Table.from_batches([batch.slice(at, size)]))
+            if sum(map(len, held)) < size and sum(t.nbytes for t in held) < most:
+                continue
+            table = pa.concat_tables(held).combine_chunks()
+            cell = table.column("cell").to_numpy()
+            cuts = np.flatnonzero(cell[1:] != cell[:-1]) + 1
+            if cuts.size:
+                yield table.slice(0, cuts[-1])
+                table = table.slice(cuts[-1])
+            held = [table]
+    if held:
+        yield pa.concat_tables(held).combine_chunks()
+
+
+def cell_arrays(table: pa.Table, lanes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bits, cell and side of each row; rows without a side each have their own."""
+    bits = unpack([table.column(f"f{k}").to_numpy() for k in range(lanes)])
+    side = table.column("side").fill_null(-1).to_numpy()
+    return bits, table.column("cell").to_numpy(), np.where(side < 0, -1 - np.arange(len(side)), side)
+
+
+def near_links(prints: DataFrame, lanes: int, radius: int, blocks: int = 5, block_rows: int = 2048) -> DataFrame:
     """prints(rep, f0..): distinct fingerprints -> links (a, b) between reps.
 
-    The links span every component of the pairs within the radius that share
-    a key.  Keys held by over ``block_rows`` fingerprints are dealt over
-    cells, one for each pair of chunks, so no task gets a whole hot key.
+    The links span every component of the pairs within the radius.
     """
     names = [f"f{i}" for i in range(lanes)]
-    positions = key_bits(lanes, radius, blocks, tables, width)
+    positions = key_bits(lanes, radius, blocks)
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -216,65 +249,35 @@ def near_links(prints: DataFrame, lanes: int, radius: int, blocks: int = 5, tabl
                 key = bits[:, own].astype(np.int64) @ (np.int64(1) << np.arange(len(own), dtype=np.int64))
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), t, np.int32)), pa.array(key), *batch.columns], ["t", "key", "rep", *names])
 
-    lanes_sql = ", ".join(f"{n} long" for n in names)
-    rows = prints.select("rep", *names).mapInArrow(keyed, f"t int, key long, rep long, {lanes_sql}")
-    sizes = rows.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1").withColumn("chunks", F.ceil(F.col("n") / block_rows).cast("int"))
-    mine = F.pmod(F.xxhash64(*names), F.col("chunks")).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
-    cells = rows.join(sizes, ["t", "key"]).withColumn("mine", mine).withColumn("other", other).withColumn("i", F.least("mine", "other")).withColumn("j", F.greatest("mine", "other"))
-    group = ["t", "key", "i", "j"]
-    cells = cells.select(*group, "rep", *names).repartition(*group).sortWithinPartitions(*group)
-
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.Table] = []
-
-        def linked(table: pa.Table) -> pa.RecordBatch:
-            cols = [table.column(k).to_numpy() for k in range(4)]
-            new = np.zeros(len(table), bool)
-            for c in cols:
-                new[1:] |= c[1:] != c[:-1]
-            rep = table.column(4).to_numpy()
-            bits = unpack([table.column(5 + k).to_numpy() for k in range(lanes)])
-            root = spanning_links(bits, np.cumsum(new), radius)
+        for table in by_cell(batches):
+            bits, cell, side = cell_arrays(table, lanes)
+            root = spanning_links(bits, cell, radius, side)
             own = np.flatnonzero(root != np.arange(len(root)))
-            return pa.RecordBatch.from_arrays([pa.array(rep[root[own]]), pa.array(rep[own])], ["a", "b"])
-
-        for batch in batches:
-            held.append(pa.Table.from_batches([batch]))
-            if sum(map(len, held)) < 8192:
-                continue
-            table = pa.concat_tables(held).combine_chunks()
-            cols = [table.column(k).to_numpy() for k in range(4)]
-            cut = np.zeros(len(table), bool)
-            for c in cols:
-                cut[1:] |= c[1:] != c[:-1]
-            if (ends := np.flatnonzero(cut)).size:
-                yield linked(table.slice(0, ends[-1]))
-                held = [table.slice(ends[-1])]
-            else:
-                held = [table]
-        if held:
-            yield linked(pa.concat_tables(held).combine_chunks())
+            rep = table.column("rep").to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array(rep[root[own]]), pa.array(rep[own])], ["a", "b"])
 
-    return cells.mapInArrow(compare, "a long, b long").distinct()
+    lanes_sql = ", ".join(f"{n} long" for n in names)
+    rows = prints.select("rep", *names).mapInArrow(keyed, f"t int, key long, rep long, {lanes_sql}")
+    chunks = rows.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1").select("t", "key", F.ceil(F.col("n") / block_rows).cast("int").alias("chunks"))
+    placed = cells(rows, chunks, "rep").select("cell", "side", "rep", *names).repartition("cell").sortWithinPartitions("cell")
+    return placed.mapInArrow(compare, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 3, seed: int = 42, lanes: int = 1, radius: int = 3, blocks: int = 5, tables: int = 0, width: int = 0, block_rows: int = 2048) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 3, seed: int = 42, lanes: int = 1, radius: int = 3, blocks: int = 5, block_rows: int = 2048) -> DataFrame:
     """docs(doc_id, text) -> doc_id, f0.., component_id, one row per input row.
 
     Texts whose fingerprints differ in at most ``radius`` bits are linked;
-    ``component_id`` is the smallest doc_id that links reach.  With ``blocks``
-    no link is missed; with ``tables`` and ``width`` (wide radius) candidates
-    come from random-bit keys.  Equal fingerprints are gathered before any
-    comparison, so copies never meet pairwise.  Null and blank texts share
-    the zero fingerprint; rows with a null doc_id get their group's id if
-    another row has one, else null; repeated rows stay repeated; other
-    columns are not read.
+    ``component_id`` is the smallest doc_id that links reach; no link is
+    missed.  Equal fingerprints are gathered before any comparison, so copies
+    never meet pairwise.  Null and blank texts share the zero fingerprint;
+    rows with a null doc_id get their group's id if another row has one, else
+    null; repeated rows stay repeated; other columns are not read.
     """
     names = [f"f{i}" for i in range(lanes)]
     prints = materialise(fingerprints(docs, shingle, seed, lanes), "fingerprints")
     distinct = materialise(prints.groupBy(*names).agg(F.min("doc_id").alias("rep")), "distinct")
-    links = near_links(distinct.where("rep IS NOT NULL"), lanes, radius, blocks, tables, width, block_rows)
+    links = near_links(distinct.where("rep IS NOT NULL"), lanes, radius, blocks, block_rows)
     parts = connected_components(links)
     known = distinct.join(parts, distinct["rep"] == parts["node"], "left").select(*names, F.coalesce("component", "rep").alias("component_id"))
     return prints.join(known, names).select("doc_id", *names, "component_id")
@@ -284,24 +287,3 @@ def op5_simhash(docs: DataFrame) -> DataFrame:
     """The contract's result: doc_id, fingerprint (hex), component_id."""
     found = near_duplicates(docs)
     return found.select("doc_id", F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def keep_one(docs: DataFrame, shingle: int = 5, lanes: int = 4, radius: int = 40, tables: int = 24, width: int = 16) -> DataFrame:
-    """One document of each near-duplicate group stays, with all its columns.
-
-    256-bit fingerprints of five-word shingles; 40 of 256 differing bits is
-    the expected distance at a similarity of 0.8.  The document with the
-    smallest doc_id of a group stays (one of them, if that id repeats); rows
-    with a null doc_id and documents without words are no one's copies and
-    all stay.
-    """
-    has_words = F.coalesce(F.col("text"), F.lit("")).rlike("[^\\x20\\x09-\\x0D]") & F.col("doc_id").isNotNull()
-    found = near_duplicates(docs.where(has_words).select("doc_id", "text"), shingle, 42, lanes, radius, 0, tables, width)
-    found = materialise(found.select("doc_id", "component_id"), "groups")
-    copies = materialise(found.where("doc_id <> component_id").select("doc_id").distinct(), "copies")
-    repeated = materialise(found.groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
-    worded = docs.where(has_words).join(copies, "doc_id", "left_anti")
-    once = worded.join(repeated, "doc_id", "left_anti")
-    again = worded.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    columns = docs.columns
-    return once.select(columns).unionByName(again.select(columns)).unionByName(docs.where(~has_words))

@@ -16,7 +16,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from quillspark.llm import cdc, decontam, langid, mixing, quality, secrets, simhash, tokens, urls, warc
+from quillspark.llm import cdc, copies, decontam, langid, mixing, quality, secrets, simhash, tokens, urls, warc
 from quillspark.llm.queries import TOKENIZER
 
 SMALL = "/root/testdata/sf0.001"
@@ -303,19 +303,52 @@ def test_close_pairs(n, radius, lanes, seed):
     assert got == [(i, j) for i, j in combinations(range(n), 2) if groups[i] == groups[j] and (bits[i] != bits[j]).sum() <= radius]
 
 
+def grams(text: str) -> frozenset:
+    w = lower(text).split()
+    return frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4)))
+
+
+def similar_groups(ids: list, texts: list) -> dict:
+    """The smallest id that links of similarity 0.8 reach, for each id."""
+    group, sets = {i: i for i in ids}, [grams(t) for t in texts]
+    for x, y in combinations(range(len(ids)), 2):
+        a, b = sets[x], sets[y]
+        if group[ids[x]] != group[ids[y]] and len(a & b) >= 0.8 * len(a | b):
+            low, high = sorted((group[ids[x]], group[ids[y]]))
+            group = {i: low if g == high else g for i, g in group.items()}
+    return group
+
+
 def test_keep_one(docs, rows, nothing):
-    out = simhash.keep_one(docs)
+    out = copies.keep_one(docs)
     assert out.columns == docs.columns
-    kept = [(r.doc_id, r.text) for r in out.collect()]
-    assert simhash.keep_one(nothing).count() == 0
-    texts = [t for i, t in kept if i is not None and t and t.strip()]
-    assert len(texts) == len(set(texts))
-    grams = lambda t: {tuple(w[i : i + 5]) for w in [lower(t).split()] for i in range(max(1, len(w) - 4))}
-    for i, text, *_ in rows:
-        if i is None or not (text or "").strip():
-            assert (i, text) in kept
-        else:  # itself or something like it stays
-            assert any(len(grams(text) & grams(t)) > 0.6 * len(grams(text) | grams(t)) for t in texts)
+    kept = sorted(((r.doc_id, r.text) for r in out.collect()), key=repr)
+    assert copies.keep_one(nothing).count() == 0
+    worded = {i: t for i, t, *_ in rows if i is not None and (t or "").strip()}
+    group = similar_groups(list(worded), list(worded.values()))
+    want = [(i, t) for i, t in worded.items() if group[i] == i]
+    assert kept == sorted(want + [(i, t) for i, t, *_ in rows if i is None or not (t or "").strip()], key=repr)
+
+
+@pytest.mark.parametrize("block", [2048, 8])
+def test_similar_groups(spark, monkeypatch, block):
+    """Families around the limit, with chains, in whole blocks and in cells."""
+    draw = random.Random(4)
+    texts = []
+    for family in range(12):
+        base = [f"f{family}w{draw.randint(0, 999)}" for _ in range(120)]
+        texts.append(" ".join(base))
+        for _ in range(20):
+            w = list(base)
+            for _ in range(draw.randint(0, 6)):
+                w[draw.randrange(len(w))] = f"x{draw.randint(0, 10_000)}"
+            texts.append(" ".join(w[draw.randint(0, 6) :]))
+    monkeypatch.setattr(copies, "BLOCK_ROWS", block)
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.keeper for r in copies.similar_groups(frame).collect()}
+    want = similar_groups(list(range(len(texts))), texts)
+    assert len(set(want.values())) > 20
+    assert got == want
 
 
 # 6 ----------------------------------------------------------------------
