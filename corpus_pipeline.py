@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quillspark.llm.common import materialise, read_table
+from quillspark.llm.copies import keep_one
 from quillspark.llm.decontam import clean_documents
 from quillspark.llm.mixing import mixed_documents
 from quillspark.llm.quality import kept_documents
 from quillspark.llm.queries import TOKENIZER
-from quillspark.llm.simhash import keep_one
 from quillspark.llm.tokens import op2_tokens
 
 
