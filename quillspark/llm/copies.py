@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from .common import materialise
 from .components import connected_components
-from .simhash import by_cell, cell_arrays, cells, close_pairs, find, fingerprint, flatten, shingle_hashes, spanning_links
+from .simhash import by_cell, cell_arrays, cells, close_pairs, find, fingerprint, fresh, shingle_hashes, spanning_links
 
 SEED = 42
 LANES = 4
@@ -89,11 +89,11 @@ def first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for table in by_cell(batches):
         bits, cell, side = cell_arrays(table, LANES)
         root = spanning_links(bits, cell, SURE, side)
-        doubt = np.zeros(len(root), bool)
-        for i, j in close_pairs(bits, cell, RADIUS, root, side):
-            doubt[i] = doubt[j] = True
+        doubt = 1 + np.arange(len(root))  # zero once a row is in doubt: two such rows need no comparison here
+        for i, j in close_pairs(bits, cell, RADIUS, (root, side, doubt)):
+            doubt[i] = doubt[j] = 0
         digest = table.column("digest").to_numpy()
-        own, open_ = np.flatnonzero(root != np.arange(len(root))), np.flatnonzero(doubt)
+        own, open_ = np.flatnonzero(root != np.arange(len(root))), np.flatnonzero(doubt == 0)
         both = np.concatenate([own, open_])
         is_open = np.arange(len(both)) >= len(own)
         rows = [pa.array(digest[both]), pa.array(digest[root[both]]), pa.array(cell[both], mask=~is_open)]
@@ -112,8 +112,8 @@ def second_pass(similarity: float):
             _, at, label = np.unique(np.stack([cell, joined]), axis=1, return_index=True, return_inverse=True)
             root = at[label.ravel()]
             links = []
-            for i, j in close_pairs(bits, cell, RADIUS, root, side):
-                for x, y in zip(i.tolist(), j.tolist(), strict=True):
+            for i, j in close_pairs(bits, cell, RADIUS, (root, side)):
+                for x, y in fresh(i, j, root):
                     a, b = find(root, x), find(root, y)
                     if a == b:
                         continue
@@ -124,7 +124,6 @@ def second_pass(similarity: float):
                     if common >= similarity * (few + many - common) - 1e-9:
                         root[max(a, b)] = min(a, b)
                         links.append((digest[x], digest[y]))
-                flatten(root)
             pairs = np.array(links, np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 

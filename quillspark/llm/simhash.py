@@ -97,14 +97,14 @@ def unpack(lanes: list[np.ndarray]) -> np.ndarray:
     return np.concatenate([np.unpackbits(x.astype("<i8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little") for x in lanes], axis=1)
 
 
-def close_pairs(bits: np.ndarray, groups: np.ndarray, radius: int, root: np.ndarray | None = None, sides: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def close_pairs(bits: np.ndarray, groups: np.ndarray, radius: int, labels: tuple[np.ndarray, ...] = ()) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs (i, j), i < j, of the same group at most ``radius`` bits apart.
 
     bits: rows by bit positions; groups: non-decreasing group numbers.  A
     batch holds (row, word) items: one row against the 64 rows of a word of
-    the bit planes.  Pairs that share a label of ``root`` or of ``sides`` are
-    left out; ``root`` is read anew for each batch, so the caller may join
-    labels between batches, and items without a pair left cost nothing more.
+    the bit planes.  Pairs of equal label in one of the arrays ``labels`` are
+    left out; labels are read anew for each batch, so the caller may join them
+    between batches, and items without a pair left cost nothing more.
     """
     n, width = bits.shape
     words = (n + 63) // 64
@@ -132,9 +132,8 @@ def close_pairs(bits: np.ndarray, groups: np.ndarray, radius: int, root: np.ndar
         word = first[row] + np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
         other = word[:, None] * 64 + np.arange(64)
         valid = (other > row[:, None]) & (other < ends[row][:, None])
-        for label in (root, sides):
-            if label is not None:
-                valid &= label[np.minimum(other, n - 1)] != label[row][:, None]
+        for label in labels:
+            valid &= label[np.minimum(other, n - 1)] != label[row][:, None]
         alive = np.packbits(valid, axis=1, bitorder="little").view("<u8").ravel()
         fill = np.where(bits[low:high].T, full, np.uint64(0))
         at = np.flatnonzero(alive)
@@ -177,20 +176,24 @@ def flatten(root: np.ndarray) -> None:
         root[:] = root[root]
 
 
+def fresh(i: np.ndarray, j: np.ndarray, root: np.ndarray, step: int = 256) -> Iterator[tuple[int, int]]:
+    """The pairs whose roots differ, looked at again after each slice, so that few are left once rows are joined."""
+    while len(i):
+        yield from zip(i[:step].tolist(), j[:step].tolist(), strict=True)
+        flatten(root)
+        i, j = i[step:], j[step:]
+        new = root[i] != root[j]
+        i, j, step = i[new], j[new], step * 2
+
+
 def spanning_links(bits: np.ndarray, groups: np.ndarray, radius: int, sides: np.ndarray | None = None) -> np.ndarray:
     """For each row the smallest row that its group's close pairs reach."""
     root = np.arange(len(bits))
-    for i, j in close_pairs(bits, groups, radius, root, sides):
-        step = 256
-        while len(i):
-            for a, b in zip(i[:step].tolist(), j[:step].tolist(), strict=True):
-                a, b = find(root, a), find(root, b)
-                if a != b:
-                    root[max(a, b)] = min(a, b)
-            flatten(root)
-            i, j = i[step:], j[step:]
-            new = root[i] != root[j]
-            i, j, step = i[new], j[new], step * 2
+    for i, j in close_pairs(bits, groups, radius, (root,) if sides is None else (root, sides)):
+        for a, b in fresh(i, j, root):
+            a, b = find(root, a), find(root, b)
+            if a != b:
+                root[max(a, b)] = min(a, b)
     return root
 
 
