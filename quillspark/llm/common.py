@@ -4,8 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: White space between words: the six ASCII white-space characters.
 SPACE = "[\\x20\\x09-\\x0D]+"
@@ -19,28 +23,52 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the setting is absent (local tests) a temporary folder of this
-    machine is taken, and remembered in the session.
+    Where the setting is absent, a local session (tests) takes a temporary
+    folder of this machine and remembers it; on a cluster that is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = f"file://{tempfile.mkdtemp(prefix='quillspark-')}"
         spark.sparkContext.setCheckpointDir(found)
     return found
 
 
+_scratch: ContextVar[str | None] = ContextVar("scratch", default=None)
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/quillspark/{name}-{uuid.uuid4().hex}"
+    return f"{_scratch.get() or shared_dir(spark) + '/quillspark'}/{name}-{uuid.uuid4().hex}"
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Remove a table of the shared folder."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+@contextmanager
+def scratch(spark: SparkSession, name: str) -> Iterator[None]:
+    """Tables that are written inside go when the block ends; write its result elsewhere before."""
+    path = f"{shared_dir(spark)}/quillspark/{name}-{uuid.uuid4().hex}"
+    token = _scratch.set(path)
+    try:
+        yield
+    finally:
+        _scratch.reset(token)
+        delete(spark, path)
+
+
+def materialise(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     Cuts the lineage, survives the loss of executors, and gives the planner
     the true size of the table, so that joins broadcast only what is small.
     """
     spark = df.sparkSession
-    path = new_path(spark, name)
+    path = path or new_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -51,15 +79,11 @@ def let(value, body):
     A one-element transform binds it: plain columns would be inlined into
     lambdas by the optimiser and evaluated there for every element.
     """
-    from pyspark.sql import functions as F
-
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
 def prefix_sums(numbers):
     """Running sums of an array column (each with its own element), by blocks of about the root of its size."""
-    from pyspark.sql import functions as F
-
     zero = F.lit(0).cast("long")
     total = lambda a: F.aggregate(a, zero, lambda s, x: s + x)
 
@@ -75,3 +99,22 @@ def prefix_sums(numbers):
         return let(width, sums)
 
     return F.when(F.size(numbers) == 0, F.array().cast("array<bigint>")).otherwise(let(numbers, by_blocks))
+
+
+def join_hot(rows: DataFrame, found: DataFrame, key: str, share: float = 0.001) -> DataFrame:
+    """rows left join found(key, n, ..) on ``key``; ``n`` of found tells how many rows have the key.
+
+    Keys that more than ``share`` of all rows have are at most 1 / share, so
+    what belongs to them is broadcast and their rows are not shuffled at all.
+    Null keys match each other.
+    """
+    total = found.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    hot, rest = found.where(F.col("n") > share * total).drop("n"), found.where(F.col("n") <= share * total).drop("n")
+    theirs = F.col("found_key")
+
+    def joined(part: DataFrame, other: DataFrame, how: str) -> DataFrame:
+        return part.join(other.withColumnRenamed(key, "found_key"), F.col(key).eqNullSafe(theirs), how)
+
+    common = joined(rows, F.broadcast(hot), "inner").drop("found_key")
+    rare = joined(rows, F.broadcast(hot.select(key)), "left_anti")
+    return common.unionByName(joined(rare, rest, "left").drop("found_key"))

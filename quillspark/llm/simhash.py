@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import join_hot, materialise
 from .components import connected_components
 
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -244,6 +244,7 @@ def near_links(prints: DataFrame, lanes: int, radius: int, blocks: int = 5, bloc
     """
     names = [f"f{i}" for i in range(lanes)]
     positions = key_bits(lanes, radius, blocks)
+    kind = dict(prints.dtypes)["rep"]
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -257,14 +258,14 @@ def near_links(prints: DataFrame, lanes: int, radius: int, blocks: int = 5, bloc
             bits, cell, side = cell_arrays(table, lanes)
             root = spanning_links(bits, cell, radius, side)
             own = np.flatnonzero(root != np.arange(len(root)))
-            rep = table.column("rep").to_numpy()
-            yield pa.RecordBatch.from_arrays([pa.array(rep[root[own]]), pa.array(rep[own])], ["a", "b"])
+            rep = table.column("rep").combine_chunks()
+            yield pa.RecordBatch.from_arrays([rep.take(pa.array(root[own])), rep.take(pa.array(own))], ["a", "b"])
 
     lanes_sql = ", ".join(f"{n} long" for n in names)
-    rows = prints.select("rep", *names).mapInArrow(keyed, f"t int, key long, rep long, {lanes_sql}")
+    rows = prints.select("rep", *names).mapInArrow(keyed, f"t int, key long, rep {kind}, {lanes_sql}")
     chunks = rows.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1").select("t", "key", F.ceil(F.col("n") / block_rows).cast("int").alias("chunks"))
     placed = cells(rows, chunks, "rep").select("cell", "side", "rep", *names).repartition("cell").sortWithinPartitions("cell")
-    return placed.mapInArrow(compare, "a long, b long").distinct()
+    return placed.mapInArrow(compare, f"a {kind}, b {kind}").distinct()
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, seed: int = 42, lanes: int = 1, radius: int = 3, blocks: int = 5, block_rows: int = 2048) -> DataFrame:
@@ -273,17 +274,21 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, seed: int = 42, lanes: in
     Texts whose fingerprints differ in at most ``radius`` bits are linked;
     ``component_id`` is the smallest doc_id that links reach; no link is
     missed.  Equal fingerprints are gathered before any comparison, so copies
-    never meet pairwise.  Null and blank texts share the zero fingerprint;
-    rows with a null doc_id get their group's id if another row has one, else
-    null; repeated rows stay repeated; other columns are not read.
+    never meet pairwise; the fingerprint itself is the node that is linked,
+    so rows with a null doc_id link others like any row.  Null and blank
+    texts share the zero fingerprint; a group without any doc_id has a null
+    component; repeated rows stay repeated; other columns are not read.
     """
     names = [f"f{i}" for i in range(lanes)]
-    prints = materialise(fingerprints(docs, shingle, seed, lanes), "fingerprints")
-    distinct = materialise(prints.groupBy(*names).agg(F.min("doc_id").alias("rep")), "distinct")
-    links = near_links(distinct.where("rep IS NOT NULL"), lanes, radius, blocks, block_rows)
-    parts = connected_components(links)
-    known = distinct.join(parts, distinct["rep"] == parts["node"], "left").select(*names, F.coalesce("component", "rep").alias("component_id"))
-    return prints.join(known, names).select("doc_id", *names, "component_id")
+    whole = F.concat(*[F.unhex(F.lpad(F.hex(n), 16, "0")) for n in names]) if lanes > 1 else F.col("f0")
+    prints = materialise(fingerprints(docs, shingle, seed, lanes).withColumn("rep", whole), "fingerprints")
+    distinct = materialise(prints.groupBy("rep", *names).agg(F.count("*").alias("n"), F.min("doc_id").alias("least")), "distinct")
+    parts = connected_components(near_links(distinct, lanes, radius, blocks, block_rows))
+    linked = materialise(distinct.join(parts, distinct["rep"] == parts["node"]).select("rep", "least", "component"), "linked")
+    sizes = materialise(linked.groupBy("component").agg(F.count("*").alias("n"), F.min("least").alias("component_id")), "sizes")
+    named = join_hot(linked.select("rep", "component"), sizes, "component").select(F.col("rep").alias("node"), "component_id")
+    known = distinct.join(named, F.col("rep") == F.col("node"), "left").select("rep", "n", F.when(F.col("node").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id"))
+    return join_hot(prints, materialise(known, "known"), "rep").select("doc_id", *names, "component_id")
 
 
 def op5_simhash(docs: DataFrame) -> DataFrame:

@@ -277,6 +277,21 @@ def test_simhash(docs, rows, nothing):
     assert simhash.op5_simhash(nothing).count() == 0
 
 
+def test_simhash_without_ids(spark):
+    """Rows without an id link others, and get the id that their group has."""
+    base = [f"v{k}" for k in range(300)]
+    near = {t: brute_print(t) for t in (" ".join([*base[:k], "changed", *base[k + 1 :]]) for k in range(0, 300, 3))}
+    first = brute_print(" ".join(base))
+    steps = lambda a, b: (a ^ b).bit_count()
+    middle = next(t for t, p in near.items() if 0 < steps(p, first) <= 3)
+    far = [t for t, p in near.items() if steps(p, first) > 3 and steps(p, near[middle]) <= 3]
+    rows = [(5, " ".join(base)), (None, middle), *[(8 + k, t) for k, t in enumerate(far)], (3, "others altogether"), (None, "alone here now")]
+    prints = [brute_print(t) for _, t in rows]
+    want = [(i, f"{p:016x}", c) for (i, _), p, c in zip(rows, prints, components(prints, [i for i, _ in rows]), strict=True)]
+    assert want[1][2] == 5 and want[-1][2] is None and all(w[2] == 5 for w in want[2:-2])
+    assert plain(simhash.op5_simhash(spark.createDataFrame(rows, "doc_id long, text string"))) == sorted(want, key=repr)
+
+
 def test_simhash_cells(spark):
     """A hot key dealt over cells, with chains of links, loses none."""
     draw = np.random.default_rng(9)
@@ -319,6 +334,15 @@ def similar_groups(ids: list, texts: list) -> dict:
     return group
 
 
+def test_keep_one_repeated_ids(spark):
+    """An id that stands for several texts: only copies go."""
+    draw = random.Random(6)
+    a, b, c, d = (" ".join(f"{x}{draw.randint(0, 999)}" for _ in range(60)) for x in "abcd")
+    rows = [(3, a), (7, b), (7, c), (9, a), (9, d), (9, d), (12, c + " more"), (3, a)]
+    kept = copies.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert plain(kept) == sorted([(3, a), (7, b), (7, c), (9, d)], key=repr)
+
+
 def test_keep_one(docs, rows, nothing):
     out = copies.keep_one(docs)
     assert out.columns == docs.columns
@@ -345,7 +369,7 @@ def test_similar_groups(spark, monkeypatch, block):
             texts.append(" ".join(w[draw.randint(0, 6) :]))
     monkeypatch.setattr(copies, "BLOCK_ROWS", block)
     frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = {r.doc_id: r.keeper for r in copies.similar_groups(frame).collect()}
+    got = {r.doc_id: r.keeper.doc_id for r in copies.similar_groups(frame).collect()}
     want = similar_groups(list(range(len(texts))), texts)
     assert len(set(want.values())) > 20
     assert got == want
