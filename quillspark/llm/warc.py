@@ -6,10 +6,12 @@ import gzip
 import hashlib
 import re
 from collections.abc import Iterable, Iterator
+from itertools import islice
 from urllib.parse import urlsplit
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialise, new_path
@@ -17,6 +19,8 @@ from .common import materialise, new_path
 #: Payloads from this size on are stored once.
 REVISIT_BYTES = 100
 RECORDS_PER_FILE = 2000
+#: Payloads up to this size share archives of RECORDS_PER_FILE records; for each doubling an archive has half as many.
+SMALL_BYTES = 32 << 10
 ID = "urn:quillspark:page:"
 END = "\r\n\r\n"
 
@@ -29,23 +33,31 @@ def first_captures(pages: DataFrame, least: int = REVISIT_BYTES) -> DataFrame:
     return seen.where("n > 1 AND first IS NOT NULL").select("digest", "first")
 
 
-def write_warc(pages: DataFrame, captured: str = "2024-01-01 00:00:00", path: str | None = None) -> str:
-    """Write pages(page_id, url, html) as gzipped WARC 1.1 files; returns the folder.
+def write_warc(pages: DataFrame, captured: str | Column = "2024-01-01 00:00:00", path: str | None = None, compression: str = "gzip") -> str:
+    """Write pages(page_id, url, html) as WARC 1.1 files; returns the folder.
 
     Each part file of Spark's text writer is an archive: its "lines" are whole
-    records and its line separator is the blank line that ends a record.  A
-    payload seen before (with a smaller page_id) is a revisit record with the
-    HTTP head alone.  Captures are dated ``captured`` plus page_id seconds.
+    records and its line separator is the blank line that ends a record.  An
+    archive holds some 64 MB at most, or one record.  A payload seen before
+    (with a smaller page_id) is a revisit record with the HTTP head alone.
+    ``captured`` is the time of all captures, or a column of ``pages`` with
+    the time of each.  With ``compression`` "none" the places in the index are
+    places in the file; with "gzip", in its one stream of decompressed bytes.
+
+    A null html is an empty payload, a null url is left out of its record, a
+    null page_id gives a record without a number; rows that share a page_id
+    share a record id.
     """
     spark = pages.sparkSession
     path = path or new_path(spark, "warc")
     firsts = materialise(first_captures(pages), "firsts")
     html = F.coalesce(F.col("html"), F.lit(""))
-    rows = pages.select("page_id", "url", html.alias("html")).withColumn("digest", F.sha2(F.col("html").cast("binary"), 256))
+    time = (F.lit(captured) if isinstance(captured, str) else captured).cast("timestamp")
+    rows = pages.select("page_id", "url", html.alias("html"), time.alias("captured")).withColumn("digest", F.sha2(F.col("html").cast("binary"), 256))
     rows = rows.join(firsts, "digest", "left")
     revisit = F.col("first").isNotNull() & ~F.coalesce(F.col("first") == F.col("page_id"), F.lit(False))
     url = F.regexp_replace(F.regexp_replace("url", "\r", "%0D"), "\n", "%0A")
-    date = F.date_format(F.timestamp_seconds(F.unix_timestamp(F.lit(captured)) + F.coalesce("page_id", F.lit(0))), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    date = F.date_format(F.to_utc_timestamp("captured", F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")
     head = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.octet_length("html").cast("string"), F.lit(END))
     record = F.concat(
         F.lit("WARC/1.1\r\nWARC-Type: "), F.when(revisit, "revisit").otherwise("response"),
@@ -58,7 +70,13 @@ def write_warc(pages: DataFrame, captured: str = "2024-01-01 00:00:00", path: st
         (F.octet_length(head) + F.when(revisit, 0).otherwise(F.octet_length("html"))).cast("string"),
         F.lit(END), head, F.when(revisit, "").otherwise(F.col("html")),
     )
-    rows.select(record.alias("value")).write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    doublings = F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(F.lit(1), F.octet_length("html")) / SMALL_BYTES))).cast("int")
+    records = rows.select(doublings.alias("doublings"), record.alias("value"))
+    sizes = pages.select(F.octet_length("html").alias("n")).agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
+    classes = max(0, (max(1, sizes) - 1) // SMALL_BYTES).bit_length()
+    for k in range(classes + 1):
+        own = records.where(F.col("doublings") == k).select("value")
+        own.write.mode("append").option("lineSep", END).option("compression", compression).option("maxRecordsPerFile", max(1, RECORDS_PER_FILE >> k)).text(path)
     return path
 
 
@@ -138,7 +156,8 @@ def read_runs(spark, path: str) -> DataFrame:
         for batch in batches:
             for name, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 rows = []
-                for headers, block, offset, length in parse_warc(gzip.decompress(content.as_py())):
+                data = content.as_py()
+                for headers, block, offset, length in parse_warc(gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data):
                     head, _, payload = block.partition(b"\r\n\r\n")
                     kind = headers["WARC-Type"]
                     size = int(re.search(rb"(?m)^Content-Length: (\d+)", head)[1])
@@ -160,21 +179,26 @@ def merge_runs(runs: DataFrame) -> DataFrame:
 
     Ranges of (URL key, time, archive, offset) go to one task each, so a URL
     with very many captures spans several; there the runs of the archives
-    meet in a loser tree.
+    meet in a loser tree.  A task holds its range as Arrow columns; the tree
+    reads the keys of each run as it goes and tells the order of the rows.
     """
     order = ["url_key", "captured", "archive", "offset"]
-    names = [x.split()[0] for x in INDEX.split(", ")]
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[str, list[tuple]] = {}
-        schema = None
-        for batch in batches:
-            schema = batch.schema
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                found.setdefault(row[8], []).append((row[0], row[1], row[8], row[9], row))
-        merged = [x[4] for x in LoserTree(list(found.values()))]
-        for at in range(0, len(merged), 10_000):
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*merged[at : at + 10_000], strict=True), schema, strict=True)], names)
+        table = pa.Table.from_batches(batches) if (batches := list(batches)) else None
+        if table is None or not len(table):
+            return
+        archive = table.column("archive").combine_chunks().dictionary_encode().indices.to_numpy()
+        starts = np.r_[0, np.flatnonzero(np.diff(archive)) + 1, len(table)]
+
+        def keys(begin: int, end: int) -> Iterator[tuple]:
+            for at in range(begin, end, 1000):
+                part = table.slice(at, min(1000, end - at))
+                yield from zip(*[part.column(n).to_pylist() for n in order], range(at, at + len(part)), strict=True)
+
+        merged = (x[-1] for x in LoserTree([keys(a, b) for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)]))
+        while rows := list(islice(merged, 10_000)):
+            yield from table.take(pa.array(rows)).combine_chunks().to_batches()
 
     ranged = runs.repartitionByRange(*order).sortWithinPartitions("archive", *order[:2], "offset")
     return ranged.mapInArrow(merge, INDEX)
@@ -183,10 +207,11 @@ def merge_runs(runs: DataFrame) -> DataFrame:
 def op8_warc(pages: DataFrame) -> DataFrame:
     """Archive the pages, read the archives back, and describe every capture.
 
-    A null html is an empty payload, a null url has the empty URL key, rows
-    with a null page_id are written without a number; repeated rows are
+    The runs of the archives are written to the shared folder and merged from
+    there.  A null html is an empty payload, a null url has the empty URL key,
+    rows with a null page_id are written without a number; repeated rows are
     separate records, all response if their page_id is the smallest.
     """
     path = write_warc(pages)
-    index = merge_runs(read_runs(pages.sparkSession, path))
-    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    runs = materialise(read_runs(pages.sparkSession, path), "runs")
+    return merge_runs(runs).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
