@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 SAMPLE_DOCS = 4000
 #: Hashed trigrams; a model has at most this many numbers for each language.
 BUCKETS = 1 << 16
-ROUNDS = 12
+#: EM has settled once no share moves by more than this in a round.
+SETTLED = 1e-4
 
 
 @cache
@@ -49,23 +50,25 @@ class Model:
 
     @staticmethod
     def mixture(p: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, float]:
-        """EM for the shares; p: P(gram | language) up to a factor for each gram."""
+        """EM for the shares, until they settle; p: P(gram | language) up to a factor for each gram.
+
+        The likelihood rises with every round, so the rounds come to an end.
+        """
         share = np.full(len(p), 1 / len(p))
-        for _ in range(ROUNDS):
+        while len(p) > 1:
             joint = share[:, None] * p
             new = (joint / joint.sum(axis=0)) @ weight
             new /= new.sum()
-            done = np.abs(new - share).max() < 1e-4
-            share = new
-            if done:
+            moved, share = np.abs(new - share).max(), new
+            if moved < SETTLED:
                 break
         return share, float(np.log(share @ p) @ weight)
 
     def predict(self, text: str | None) -> tuple[str, float, list[str]]:
-        """The leading language, its share, and the chosen set of languages.
+        """The leading language of the chosen set, its share there, and the set.
 
-        Languages enter the set in the order of their shares as long as the
-        likelihood, less a penalty of two log n for each, still rises.
+        Languages enter the set in the order of their shares among all as long
+        as the likelihood, less a penalty of two log n for each, still rises.
         """
         found = grams(text)
         if not len(found) or not self.languages:
@@ -77,19 +80,21 @@ class Model:
             unique = np.flatnonzero(weight)
             weight = weight[unique]
         log = self.log[:, unique].astype(np.float64)
-        p = np.exp(log - log.max(axis=0))
+        p = np.maximum(np.exp(log - log.max(axis=0)), 1e-300)
         share, _ = self.mixture(p, weight)
         order = np.argsort(-share, kind="stable")
         penalty = 2 * np.log(len(found) + 1)
-        best, chosen = float(np.log(np.maximum(p[order[0]], 1e-300)) @ weight), 1
+        chosen = order[:1]
+        shares, best = self.mixture(p[chosen], weight)
         for size in range(2, len(order) + 1):
             if share[order[size - 1]] < 0.01:
                 break
-            _, now = self.mixture(p[order[:size]], weight)
-            if now - (size - 1) * penalty <= best - (chosen - 1) * penalty:
+            own, now = self.mixture(p[order[:size]], weight)
+            if now - penalty <= best:
                 break
-            best, chosen = now, size
-        return self.languages[order[0]], float(min(1.0, share[order[0]])), [self.languages[k] for k in order[:chosen]]
+            chosen, shares, best = order[:size], own, now
+        rank = np.argsort(-shares, kind="stable")
+        return self.languages[chosen[rank[0]]], float(min(1.0, shares[rank[0]])), [self.languages[k] for k in chosen[rank]]
 
 
 def learn(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, seed: int = 5) -> Model:
