@@ -61,9 +61,8 @@ def repeated_spans(docs: DataFrame, min_chars: int = 100, spacing: int = 32, lea
     its passage.
 
     Null and empty texts have no chunks; rows with a null doc_id are never
-    the first; repeated rows repeat all their chunks.  Digests are 64 bits
-    wide; a span needs several neighbouring chunks, so a single collision
-    makes none.  Other columns are not read.
+    the first; repeated rows repeat all their chunks.  Digests are 128 bits
+    wide.  Other columns are not read.
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -73,20 +72,21 @@ def repeated_spans(docs: DataFrame, min_chars: int = 100, spacing: int = 32, lea
                 data = text.as_py() or b""
                 ends = chunk_ends(data, spacing, least, most)
                 begins = np.r_[np.int64(0), ends][:-1]
-                digest = xxhash.xxh3_64_intdigest
-                digests.append(np.array([digest(data[b:e]) for b, e in zip(begins.tolist(), ends.tolist(), strict=True)], np.uint64).view(np.int64))
+                digest = xxhash.xxh3_128_digest
+                digests.append(np.frombuffer(b"".join([digest(data[b:e]) for b, e in zip(begins.tolist(), ends.tolist(), strict=True)]), np.int64).reshape(-1, 2))
                 # code points begun before each end
                 count = np.cumsum((np.frombuffer(data, np.uint8) & 0xC0) != 0x80)
                 points.append(count[ends - 1].astype(np.int32) if len(ends) else ends.astype(np.int32))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.list_(pa.int64())), pa.array(points, pa.list_(pa.int32()))], ["doc_id", "digests", "ends"])
+            halves = [pa.array([d[:, k] for d in digests], pa.list_(pa.int64())) for k in range(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *halves, pa.array(points, pa.list_(pa.int32()))], ["doc_id", "high", "low", "ends"])
 
-    cuts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(cut, "doc_id long, digests array<long>, ends array<int>")
+    cuts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(cut, "doc_id long, high array<long>, low array<long>, ends array<int>")
     cuts = materialise(cuts.withColumn("row", F.monotonically_increasing_id()), "chunks")
-    seen = cuts.select("doc_id", F.explode("digests").alias("digest")).groupBy("digest").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc"))
-    repeated = seen.where("n > 1 AND first_doc IS NOT NULL").select("digest", "first_doc")
-    chunks = cuts.select("doc_id", "row", "ends", F.posexplode("digests").alias("k", "digest"))
-    chunks = chunks.select("doc_id", "row", "k", "digest", F.when(F.col("k") > 0, F.col("ends")[F.col("k") - 1]).otherwise(0).alias("begin"), F.col("ends")[F.col("k")].alias("end"))
-    found = chunks.join(repeated, "digest").withColumn("kept", F.coalesce(F.col("doc_id") == F.col("first_doc"), F.lit(False)))
+    seen = cuts.select("doc_id", F.inline(F.arrays_zip("high", "low"))).groupBy("high", "low").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc"))
+    repeated = seen.where("n > 1 AND first_doc IS NOT NULL").select("high", "low", "first_doc")
+    chunks = cuts.select("doc_id", "row", "ends", F.posexplode(F.arrays_zip("high", "low")).alias("k", "chunk"))
+    chunks = chunks.select("doc_id", "row", "k", "chunk.*", F.when(F.col("k") > 0, F.col("ends")[F.col("k") - 1]).otherwise(0).alias("begin"), F.col("ends")[F.col("k")].alias("end"))
+    found = chunks.join(repeated, ["high", "low"]).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("first_doc"), F.lit(False)))
     run = F.col("k") - F.row_number().over(Window.partitionBy("row", "kept").orderBy("k"))
     spans = found.withColumn("run", run).groupBy("row", "doc_id", "kept", "run").agg(F.min("begin").cast("long").alias("begin"), F.max("end").cast("long").alias("end"), F.min("first_doc").alias("first_doc"))
     return spans.where(F.col("end") - F.col("begin") >= min_chars).select("doc_id", "begin", "end", "first_doc", "kept")
