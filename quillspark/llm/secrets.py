@@ -20,6 +20,8 @@ KINDS = ("assign", "access", "hex", "random")
 #: (least length, share of false rejections): the shorter, the weaker the
 #: tests are, so uniformity is rejected more readily.
 LENGTH_CLASSES = ((20, 0.2), (32, 0.1), (64, 0.05))
+#: Symbols that a cell of the chi-squared test is expected to hold at least.
+CELL = 5
 #: Steps of -ln p; p-values are rounded up to them.
 GRID, TOP = 20, 2000
 ALPHABETS = (
@@ -63,7 +65,9 @@ def battery(token: Column) -> Column:
 
     The encoding is the smallest alphabet that holds the token.  Three tests
     are combined by Bonferroni: chi-squared over the alphabet, the number of
-    runs above and below its middle, and the correlation of neighbours.
+    runs above and below its middle, and the correlation of neighbours.  The
+    chi-squared test puts neighbouring symbols together into a power of two
+    of cells, so that each may expect CELL symbols or more (two cells at least).
     """
 
     def with_alphabet(alphabet: str) -> Column:
@@ -75,11 +79,12 @@ def battery(token: Column) -> Column:
         def tests(x: Column) -> Column:
             n = F.size(x).cast("double")
             total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, y: s + y)
-            counts = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda s: F.size(F.filter(x, lambda y: y == s)).cast("double"))
+            cells = F.greatest(F.lit(2.0), F.least(F.lit(float(k)), F.pow(F.lit(2.0), F.floor(F.log2(n / CELL)))))
+            df = cells - 1
+            counts = F.transform(F.sequence(F.lit(0), cells.cast("int") - 1), lambda s: F.size(F.filter(x, lambda y: F.floor(y * cells / k) == s)).cast("double"))
             squares = total(F.transform(counts, lambda c: c * c))
             # cube-root normal form of the chi-squared statistic
-            df = float(k - 1)
-            z_chi = (F.pow(F.greatest((k * squares / n - n) / df, F.lit(1e-9)), F.lit(1 / 3)) - (1 - 2 / (9 * df))) / (2 / (9 * df)) ** 0.5
+            z_chi = (F.pow(F.greatest((cells * squares / n - n) / df, F.lit(1e-9)), F.lit(1 / 3)) - (1 - 2 / (9 * df))) / F.sqrt(2 / (9 * df))
             p_chi = F.when(z_chi > 0, normal_tail(z_chi)).otherwise(1.0)
             high = total(F.transform(x, lambda y: F.when(y >= k / 2, 1.0).otherwise(0.0)))
             runs = 1 + total(F.transform(x, lambda y, i: F.when((i > 0) & ((y >= k / 2) != (F.get(x, i - 1) >= k / 2)), 1.0).otherwise(0.0)))
