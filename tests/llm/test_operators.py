@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+import math
 import random
 import re
 import zlib
@@ -197,6 +198,42 @@ def test_langid_mixture(spark):
     assert set(found) == {a, b} and 0.3 < score < 0.7
 
 
+def brute_mixture(p: dict, counts: dict, names: list) -> tuple[dict, float]:
+    """EM in plain Python over {language: {gram: P}}, run far beyond the point where it settles."""
+    share = {x: 1 / len(names) for x in names}
+    for _ in range(300):
+        total = dict.fromkeys(names, 0.0)
+        for g, n in counts.items():
+            whole = sum(share[x] * p[x][g] for x in names)
+            for x in names:
+                total[x] += n * share[x] * p[x][g] / whole
+        share = {x: v / sum(total.values()) for x, v in total.items()}
+    return share, sum(n * math.log(sum(share[x] * p[x][g] for x in names)) for g, n in counts.items())
+
+
+def test_langid_by_definition():
+    """Shares, the chosen set and its leader against plain Python, and the set against all other sets."""
+    draw = np.random.default_rng(8)
+    counts = draw.gamma(0.3, 1, (4, langid.BUCKETS)) * 100
+    model = langid.Model(["a", "b", "c", "d"], counts)
+    for sizes in ([30, 0, 0, 0], [40, 25, 0, 0], [20, 20, 20, 0], [90, 0, 0, 4]):
+        found = np.concatenate([draw.choice(langid.BUCKETS, n * 3, p=np.exp(model.log[k].astype(float)) / np.exp(model.log[k].astype(float)).sum()) for k, n in enumerate(sizes)])
+        grams = dict(zip(*np.unique(found, return_counts=True), strict=True))
+        p = {x: {g: math.exp(float(model.log[k][g])) for g in grams} for k, x in enumerate("abcd")}
+        scored = {}
+        for n in range(1, 5):
+            for names in combinations("abcd", n):
+                share, value = brute_mixture(p, grams, names)
+                scored[names] = (value - 2 * n * math.log(len(found) + 1), share)
+        best = max(scored, key=lambda x: scored[x][0])
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(langid, "grams", lambda _, found=found: found)
+            leader, score, chosen = model.predict("any")
+        share = scored[best][1]
+        assert tuple(sorted(chosen)) == best and leader == max(share, key=share.get) == chosen[0]
+        assert abs(score - share[leader]) < 0.02
+
+
 # 4 ----------------------------------------------------------------------
 
 
@@ -234,6 +271,35 @@ def test_repeated_spans(spark, nothing):
     assert cdc.repeated_spans(nothing).count() == 0
 
 
+def test_repeated_spans_by_definition(docs, rows):
+    """All spans from the chunks' bytes alone."""
+    cut, seen = [], {}
+    for doc_id, text, *_ in rows:
+        data = (text or "").encode()
+        ends = cdc.chunk_ends(data).tolist()
+        points = np.cumsum([0, *((x & 0xC0) != 0x80 for x in data)]).tolist()  # code points begun before each byte
+        chunks = [(data[b:e], points[b], points[e]) for b, e in zip([0, *ends], ends, strict=False)]
+        cut.append((doc_id, chunks))
+        for c, *_ in chunks:
+            seen.setdefault(c, []).append(doc_id)
+    want = []
+    for doc_id, chunks in cut:
+        marks = []
+        for c, b, e in chunks:
+            first = min((i for i in seen[c] if i is not None), default=None) if len(seen[c]) > 1 else None
+            marks.append((b, e, first, None if first is None else doc_id == first))
+        for kept in (True, False):
+            run: list = []
+            for m in [*marks, (0, 0, None, None)]:
+                if m[3] is kept:
+                    run.append(m)
+                elif run:
+                    if run[-1][1] - run[0][0] >= 100:
+                        want.append((doc_id, run[0][0], run[-1][1], min(x[2] for x in run), kept))
+                    run = []
+    assert plain(cdc.op4_substring_dedup(docs)) == sorted(want, key=repr) and len(want) > 20
+
+
 def test_copies_are_spans(docs, rows):
     found = {r.doc_id for r in cdc.op4_substring_dedup(docs).collect()}
     long = [r for r in rows if r[1] and len(r[1]) > 400]
@@ -394,20 +460,19 @@ def brute_hits(text: str | None) -> tuple:
     return len(words), len(hit), len(items), hashlib.sha256(",".join(sorted(items)).encode()).hexdigest(), bool(hit)
 
 
-@pytest.mark.parametrize("block_bytes", [decontam.BLOCK_BYTES, 40])
-def test_decontaminate(spark, rows, nothing, monkeypatch, block_bytes):
+@pytest.mark.parametrize("scan_bytes", [decontam.SCAN_BYTES, 40])
+def test_decontaminate(spark, rows, nothing, monkeypatch, scan_bytes):
     benchmark = spark.createDataFrame(ITEMS, "item_id long, text string")
     texts = [r[:2] for r in rows if not r[1] or len(r[1]) < 5000]
     texts += [(900, "x " + ITEMS[0][1].upper() + " y"), (901, "a quick-brown fox: jumps over the lazy dog and then it sleeps!"), (902, "the " * 25), (903, "short  item; HERE short item here"), (904, "nameless but seen words"), (905, "quick brown fox jumps over the lazy dog and")]
-    frame = spark.createDataFrame(texts, "doc_id long, text string").withColumns({"spans": F.lit(1), "n_words": F.lit(2), "kept": F.lit(3)})
-    found = decontam.contaminated_spans(frame, benchmark, block_bytes=block_bytes)
-    monkeypatch.setattr(decontam, "contaminated_spans", lambda *a, **k: found)
+    texts += [texts[-1], (None, texts[-2][1])]
+    frame = spark.createDataFrame(texts, "doc_id long, text string").withColumns({"spans": F.lit(1), "n_words": F.lit(2), "kept": F.lit(3), "text_md5": F.lit(4)})
+    whole = decontam.contaminated_spans
+    monkeypatch.setattr(decontam, "contaminated_spans", lambda *a, **k: whole(*a, **k | {"scan_bytes": scan_bytes}))
     assert plain(decontam.op6_decontaminate(frame, benchmark)) == sorted(((i, *brute_hits(t)) for i, t in texts), key=repr)
-    monkeypatch.undo()
-    if block_bytes > 40:
-        clean = decontam.clean_documents(frame, benchmark)
-        assert clean.columns == frame.columns
-        assert sorted((r.doc_id, r.text) for r in clean.where("doc_id is not null").collect() if r.text) == sorted((i, t) for i, t in texts if t and i is not None and not brute_hits(t)[4])
+    clean = decontam.clean_documents(frame, benchmark)
+    assert clean.columns == frame.columns
+    assert plain(clean) == sorted(((i, t, 1, 2, 3, 4) for i, t in texts if not brute_hits(t)[4]), key=repr)
     assert decontam.op6_decontaminate(nothing, benchmark).count() == 0
     assert not any(r.contaminated for r in decontam.op6_decontaminate(frame, benchmark.limit(0)).collect())
 
@@ -415,6 +480,25 @@ def test_decontaminate(spark, rows, nothing, monkeypatch, block_bytes):
 # 7 ----------------------------------------------------------------------
 
 
+def test_windows_of_many_items():
+    """Windows found through their rarest word are those of a plain search."""
+    draw = random.Random(12)
+    prose = lambda n: " ".join(f"u{int(draw.random() ** 2 * 40)}" for _ in range(n))
+    items = [(str(k), prose(draw.choice([0, 1, 2, 3, 4, 9, 30])).encode()) for k in range(60)]
+    own = decontam.Windows(iter(items), 4)
+    text = prose(400).encode()
+    counts = np.array([draw.randint(0, 9) for _ in own.vocabulary])
+    own.order_by_rarity(counts)
+    ids = decontam.encoded(own.vocabulary, text)
+    got = sorted((int(s), int(own.owners[w]), int(own.lengths[w])) for s, w in zip(*own.find(ids), strict=True))
+    words, want = text.split(), []
+    for k, (_, item) in enumerate(items):
+        w = item.split()
+        size = min(4, len(w))
+        want += [(at, k, size) for i in range(len(w) - size + 1 if size else 0) for at in range(len(words) - size + 1) if words[at : at + size] == w[i : i + size]]
+    assert got == sorted(want) and len(want) > 50
+
+
 def brute_quality(text: str | None) -> tuple:
     t = text or ""
     w = re.findall(WS, t)
@@ -437,15 +521,35 @@ def test_quality(spark, docs, rows, nothing):
     assert sorted((r.doc_id for r in kept.collect()), key=repr) == sorted((r.doc_id for r in out if r.kept), key=repr)
 
 
+def test_repeated_words_with_equal_hashes(spark):
+    """Different windows whose hashed bits agree hide no repetition."""
+    text = "w2297641 x y p1 p2 p3 w2950367 x y q1 q2 q3 w2297641 x y z1"
+    out = quality.op7_quality(spark.createDataFrame([(1, text, "a"), (2, text + " " + text, "a")], "doc_id long, text string, source string")).collect()
+    assert {r.doc_id: r.n_repeat_words for r in out} == {1: brute_quality(text)[4], 2: brute_quality(text + " " + text)[4]} and brute_quality(text)[4] == 6
+
+
 def test_frequent_lines(spark):
     draw = random.Random(2)
     prose = lambda n: " ".join(f"v{draw.randint(0, 9999)}" for _ in range(n))
     common = prose(60)
     rows = [(k, f"{common.upper()}\n  {common}0\n{prose(20)}", "h") for k in range(30)]
     rows += [(100 + k, f"{common}\n{prose(60)}", "other") for k in range(5)] + [(200, prose(70), None)]
-    out = {r.doc_id: r for r in quality.judge(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    rows += [(300 + k, f"{prose(50)}\n\n Page {k % 10} of it\t\n{prose(30)}", "h") for k in range(20)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = {r.doc_id: r for r in quality.judge(frame).collect()}
     assert not any(out[k].base_failed or out[k].kept for k in range(30))
     assert all(out[k].kept for k in (100, 101, 102, 103, 104, 200))
+    text, host = {r[0]: r[1] for r in rows}, {r[0]: r[2] for r in rows}
+    line = lambda x: re.sub("[1-9]", "0", x.lower()).strip(" \t\x0b\x0c\r")
+    seen: dict = {}
+    for k, h in host.items():
+        for x in {line(x) for x in text[k].split("\n")} - {""}:
+            seen[h, x] = seen.get((h, x), 0) + 1
+    often = {x for x, n in seen.items() if n > quality.LINE_DOCS and n > quality.LINE_SHARE * sum(h == x[0] for h in host.values())}
+    cleaned = {r.doc_id: r.text for r in quality.kept_documents(frame).collect()}
+    assert cleaned == {k: "\n".join(x for x in text[k].split("\n") if (host[k], line(x)) not in often) for k, r in out.items() if r.kept}
+    assert sum(cleaned[k] != text[k] for k in cleaned) > 5
+    assert {r.doc_id: r.text for r in quality.kept_documents(frame, clean=False).collect()} == {k: text[k] for k in cleaned}
 
 
 # 8 ----------------------------------------------------------------------
@@ -469,6 +573,23 @@ def test_warc(spark):
     assert warc.op8_warc(pages.limit(0)).count() == 0
 
 
+def test_warc_ids_and_sizes(spark):
+    """Very large and negative ids, a column of capture times, payloads of several sizes, archives without compression."""
+    huge = "z" * 300_000
+    rows = [(2**63 - 1, "http://a.org/1", huge), (-(2**63), "http://a.org/2", huge), (2**62, "http://a.org/1", "n" * 70_000), (0, "http://b.org/", "m" * 40_000), (-5, None, "")]
+    pages = spark.createDataFrame([(*r, f"2020-01-0{9 - k} 00:00:00") for k, r in enumerate(rows)], "page_id long, url string, html string, at string")
+    out = {r.page_id: r for r in warc.op8_warc(pages).collect()}
+    assert {k: (r.payload_bytes, r.record_type, r.refers_to) for k, r in out.items()} == {i: (len(h), "revisit" if i == 2**63 - 1 else "response", -(2**63) if i == 2**63 - 1 else None) for i, _, h in rows}
+    path = warc.write_warc(pages, F.col("at"), compression="none")
+    index = warc.merge_runs(warc.read_runs(spark, path)).collect()
+    assert [(r.url_key, r.captured[:10]) for r in index][1:] == [("org,a)/1", "2020-01-07"), ("org,a)/1", "2020-01-09"), ("org,a)/2", "2020-01-08"), ("org,b)/", "2020-01-06")]
+    for r in index:
+        with open(r.archive.removeprefix("file:"), "rb") as f:
+            f.seek(r.offset)
+            [(headers, *_)] = warc.parse_warc(f.read(r.length))
+        assert headers["WARC-Record-ID"] == f"<{warc.ID}{r.page_id}>"
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.lists(st.tuples(st.integers(0, 9))), max_size=9))
 def test_loser_tree(runs):
@@ -499,6 +620,26 @@ def test_urls(spark):
     assert {r.verdict for r in urls.judge(pages, [], []).collect()} == {"allow"}
 
 
+def test_many_patterns(spark):
+    """A long rule list gives the verdicts of a scan of all rules."""
+    draw = random.Random(3)
+    words = [f"{a}{b}{k}" for k in range(60) for a in ("shop", "news", "x") for b in ("er", "s", "")]
+    patterns = [draw.choice(["/{}/{}^", "||{}.{}.", "^{}={}|", "@@/{}/*{}", "/{}*{}/", "|http://{}.{}^", "{}-{}"]).format(draw.choice(words), draw.choice(words)) for _ in range(6000)] + ["-*-*-", "/a(b+c)^"]
+    rules = [("block", f"{draw.choice(words)}.org", f"/{draw.choice(words)[:3]}") for _ in range(1000)] + [("allow", "org", "/x")]
+    urls_ = [f"http://{draw.choice(words)}.{draw.choice(words)}.{draw.choice(['org', 'com'])}/{draw.choice(words)}/{draw.choice(words)}{draw.choice(['', '/', '-', '?a='])}{draw.choice(words)}={draw.choice(words)}" for _ in range(200)] + ["http://q.com/a(b+c)"]
+    found = {r.url: r for r in urls.judge(spark.createDataFrame([(u, u) for u in urls_], "page_id string, url string"), rules, patterns).withColumnRenamed("page_id", "url").collect()}
+    scan = {x: [re.compile(urls.pattern_regex(p)) for p in set(patterns) if p.startswith("@@") == x] for x in (False, True)}
+    verdicts = []
+    for url in urls_:
+        host, path = found[url].host, found[url].path
+        fits = [(len(h + p), -k, h + p, v) for k, (v, h, p) in enumerate(rules) if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        hit = {x: any(r.search(url.lower()) for r in scan[x]) for x in scan}
+        want = max(fits)[2:] if fits else (None, "block" if hit[False] and not hit[True] else "allow")
+        assert (found[url].rule, found[url].verdict) == want, url
+        verdicts.append(want)
+    assert min(sum(v[0] is not None for v in verdicts), sum(v == (None, "block") for v in verdicts), sum(v == (None, "allow") for v in verdicts)) > 3
+
+
 def test_rule_tokens():
     assert urls.pattern_tokens("/login^") == ["login"]
     assert urls.pattern_tokens("||ads.*") == ["ads"]
@@ -541,10 +682,72 @@ def test_secrets(spark, docs, rows, nothing):
     assert secrets.op10_secrets(docs).count() == len(rows)
 
 
+def brute_battery(token: str) -> float:
+    """The three tests by numpy and the error function."""
+    body = token.rstrip("=")
+    if re.fullmatch("[0-9a-fA-F]+", token):
+        body, alphabet = body.lower(), "0123456789abcdef"
+    elif re.fullmatch("[A-Z2-7]+=*", token):
+        alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+    else:
+        body, alphabet = body.replace("-", "+").replace("_", "/"), "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    k, x = len(alphabet), np.array([alphabet.index(c) for c in body], float)
+    n, tail = len(x), lambda z: math.erfc(z / 2**0.5) / 2
+    cells = max(2, min(k, 2 ** math.floor(math.log2(n / 5))))
+    seen = np.bincount((x * cells // k).astype(int), minlength=cells)
+    chi = ((seen - n / cells) ** 2 / (n / cells)).sum()
+    z = ((chi / (cells - 1)) ** (1 / 3) - (1 - 2 / (9 * (cells - 1)))) / (2 / (9 * (cells - 1))) ** 0.5
+    high = x >= k / 2
+    a, runs = high.sum(), 1 + (high[1:] != high[:-1]).sum()
+    mean = 2 * a * (n - a) / n + 1
+    spread = (mean - 1) * (mean - 2) / (n - 1)
+    p_runs = 2 * tail(abs(runs - mean) / spread**0.5) if spread > 0 else 0.0
+    d = x - x.mean()
+    p_serial = 2 * tail(abs((d[1:] * d[:-1]).sum() / (d * d).sum()) * n**0.5) if (d * d).sum() > 0 else 0.0
+    return min(1.0, 3 * min(tail(z) if z > 0 else 1.0, p_runs, p_serial))
+
+
+def planted(seed: int = 4) -> dict[str, list[str]]:
+    """Random tokens of each encoding and length class, and tokens that people make up."""
+    draw = random.Random(seed)
+    alphabets = {"hex": "0123456789ABCDEF", "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_"}
+    out: dict = {}
+    for name, a in alphabets.items():
+        for size in (22, 40, 80):
+            out[f"{name} {size}"] = [t for t in ("".join(draw.choices(a, k=size)) for _ in range(60)) if re.search("[0-9]", t) and re.search("[A-Za-z]", t)][:40]
+    words = "document section version release user account table index final report image thumb copy draft page chapter test build module value number".split()
+    out["made up"] = ["_".join(draw.choices(words, k=draw.randint(3, 9))) + f"_{draw.randint(1, 99)}" for _ in range(150)]
+    out["made up"] += ["".join(w.title() for w in draw.choices(words, k=draw.randint(4, 9))) + str(draw.randint(1, 9)) for _ in range(150)]
+    return out
+
+
 def test_battery(spark):
-    draw = random.Random(4)
-    alphabets = ["0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "".join(map(chr, [*range(65, 91), *range(97, 123), *range(48, 58)])) + "+/"]
-    rows = [(k, "".join(draw.choice(a) for _ in range(40))) for k, a in enumerate(alphabets * 60)] + [(1000 + k, ("thequickbrownfox1" * 4)[k : k + 40]) for k in range(20)]
+    rows = [(k, t) for k, t in enumerate(t for tokens_ in planted().values() for t in tokens_)] + [(9000, "a" * 20), (9001, "ab" * 40), (9002, "7" * 30 + "=")]
     p = {r.k: r.p for r in spark.createDataFrame(rows, "k long, token string").select("k", secrets.battery(F.col("token")).alias("p")).collect()}
-    assert sum(p[k] < 0.05 for k in range(180)) <= 25
-    assert all(p[1000 + k] < 0.01 for k in range(20))
+    for k, t in rows:
+        assert abs(p[k] - brute_battery(t)) < 1e-5, t
+
+
+def test_step_up(spark):
+    """The rejection limits against sorted p-values, class by class."""
+    draw = random.Random(7)
+    steps = [(c, draw.choice([0, 1, 5, 20, 60, 90, 200]) + draw.randint(0, 9)) for c in (0, 0, 0, 1) for _ in range(80)] + [(2, 3)]
+    frame = spark.createDataFrame([([{"begin": 0, "end": 1, "class": c, "step": s}],) for c, s in steps], "tested array<struct<begin:long,end:long,class:int,step:int>>")
+    want = {}
+    for c, share in ((0, 0.2), (1, 0.1), (2, 0.05)):
+        p = sorted(math.exp(-s / secrets.GRID) for k, s in steps if k == c)
+        passed = [x for rank, x in enumerate(p, 1) if x <= share * rank / len(p)]
+        if passed:
+            want[c] = min(s for k, s in steps if k == c and math.exp(-s / secrets.GRID) <= max(passed))
+    assert secrets.rejected_from(frame) == want and set(want) == {0, 1}
+
+
+def test_planted_secrets(spark):
+    """Recall of random tokens in every encoding and length class, and alarms over made-up ones."""
+    tokens_ = planted(5)
+    rows = [(k, f"see {t} there", kind) for k, (kind, t) in enumerate((kind, t) for kind, ts in tokens_.items() for t in ts)]
+    out = {r.doc_id: r.spans for r in secrets.op10_secrets(spark.createDataFrame(rows, "doc_id long, text string, kind string")).collect()}
+    found = {kind: [f"random:4:{4 + len(t.split()[1])}" in out[k] for k, t, x in rows if x == kind] for kind in tokens_}
+    for kind, hits in found.items():
+        share = sum(hits) / len(hits)
+        assert share <= 0.1 if kind == "made up" else share >= 0.9, (kind, share)
