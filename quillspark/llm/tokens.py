@@ -14,6 +14,7 @@ without touching other blocks.  ``doc_ids`` and ``ends`` give the documents.
 
 from __future__ import annotations
 
+import json
 import struct
 import zlib
 from collections.abc import Iterator
@@ -79,8 +80,8 @@ class PieceEncoder:
     A byte-level BPE of the usual word pattern never merges across a space
     or line end that stands alone between two other characters, so a text
     is the sequence of its pieces there.  Texts with longer runs or other
-    kinds of white space, or with what may be a special token, go to the
-    library whole.
+    kinds of white space, or with an added token, go to the library whole, as
+    all texts do if the tokenizer's file describes anything else.
     """
 
     def __init__(self, path: str) -> None:
@@ -92,24 +93,33 @@ class PieceEncoder:
         self.library = Tokenizer.from_file(path)
         self.bits = max(1, (self.library.get_vocab_size() - 1).bit_length())
         self.pieces: dict[str, np.ndarray] = {}
-        self.parted = self._splits_alike()
+        with open(path, encoding="utf-8") as f:
+            described = json.load(f)
+        self.added = [t["content"] for t in described["added_tokens"]]
+        self.parted = self._cuts_words(described)
 
     def _whole(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _splits_alike(self) -> bool:
-        """Whether this tokenizer treats pieces on their own as in a text."""
-        if len(ids := self._whole(["\n"])[0]) != 1:
+    def _cuts_words(self, described: dict) -> bool:
+        """Whether the tokenizer's file says that words are encoded on their own.
+
+        That holds for BPE without a normaliser, without chance, and with the
+        byte-level word pattern as its only cut, if a line end is one id and
+        added tokens hold no white space and take none beside them.
+        """
+        cut = described.get("pre_tokenizer") or {}
+        words = cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space", True)
+        plain = described["model"].get("type", "BPE") == "BPE" and not described["model"].get("dropout") and not described.get("normalizer") and not described.get("truncation")
+        apart = all(not (t["lstrip"] or t["rstrip"]) and t["content"] and not any(c.isspace() for c in t["content"]) for t in described["added_tokens"])
+        if not (words and plain and apart) or len(ids := self._whole(["\n"])[0]) != 1:
             return False
         self.line_end = ids[0]
-        probe = "One two's\nthree, 45 six.\n(Seven) été 8th don't"
-        own = [p if i == 0 or p[:1] == "\n" else " " + p for i, p in enumerate(probe.replace("\n", " \n").split(" "))]
-        return self._whole([probe])[0] == sum(self._whole(own), [])
-
-    @staticmethod
-    def separable(text: str) -> bool:
-        """Whether all white space is single spaces and line ends between other characters."""
-        if any(x in text for x in ("  ", "\n\n", " \n", "\n ", "<|")) or text[0] in " \n" or text[-1] in " \n":
+        return True
+
+    def separable(self, text: str) -> bool:
+        """Whether all white space is single spaces and line ends between other characters, and no added token is in the text."""
+        if any(x in text for x in ("  ", "\n\n", " \n", "\n ", *self.added)) or text[0] in " \n" or text[-1] in " \n":
             return False
         return len("".join(text.split())) == len(text) - text.count(" ") - text.count("\n")
 
@@ -146,7 +156,7 @@ class PieceEncoder:
         new = list(set().union(*filter(None, parted)).difference(known))
         odd = [k for k, text in enumerate(texts) if text and parted[k] is None]
         found = self._whole([texts[k] for k in odd])
-        fresh = dict(zip(new, self._pieces(new), strict=True))
+        fresh = dict(zip(new, self._pieces(new), strict=True)) if new else {}
         known.update(fresh)
         out: list[np.ndarray] = [np.empty(0, np.uint32)] * len(texts)
         for k, ids in zip(odd, found, strict=True):

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+import json
 import math
 import random
 import re
 import zlib
 from itertools import combinations
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -160,6 +162,18 @@ def test_pieces_equal_library(text):
     assert encoder.encode([text, "one two"])[0].tolist() == encoder.library.encode(text, add_special_tokens=False).ids
 
 
+def test_other_tokenizers_encode_whole(tmp_path):
+    """A tokenizer that lower-cases, or has an added token with a space, gets whole texts."""
+    described = json.loads(Path(TOKENIZER).read_text())
+    token = described["added_tokens"][0] | {"id": 50257, "content": "two words", "special": False}
+    for k, change in enumerate([{"normalizer": {"type": "Lowercase"}}, {"added_tokens": [*described["added_tokens"], token]}, {"pre_tokenizer": described["pre_tokenizer"] | {"use_regex": False}}]):
+        path = tmp_path / f"{k}.json"
+        path.write_text(json.dumps(described | change))
+        own = tokens.PieceEncoder(str(path))
+        text = "Some two words here\nand <|endoftext|> there"
+        assert not own.parted and own.encode([text])[0].tolist() == own.library.encode(text, add_special_tokens=False).ids
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.integers(1, 32), st.integers(0, 400), st.integers(1, 70), st.data())
 def test_packing(bits, n, block, data):
