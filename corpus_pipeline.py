@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm.common import materialise, read_table
+from quillspark.llm.common import materialise, new_path, read_table, scratch
 from quillspark.llm.copies import keep_one
 from quillspark.llm.decontam import clean_documents
 from quillspark.llm.mixing import mixed_documents
@@ -14,7 +14,7 @@ from quillspark.llm.tokens import op2_tokens
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that the quality rules reject."""
+    """Drop documents that the quality rules reject, and cut lines that are too frequent at their source."""
     return kept_documents(docs)
 
 
@@ -45,8 +45,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of ``sf_dir``, each written and read again."""
+    """All stages over the documents of ``sf_dir``, each written and read again.
+
+    What a stage writes on its way is deleted once its result is written.
+    """
     docs = read_table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), name)
+        path = new_path(spark, name)
+        with scratch(spark, name):
+            docs = materialise(stage(spark, docs, sf_dir), name, path)
     return STAGES[-1][1](spark, docs, sf_dir)
