@@ -73,8 +73,8 @@ def sketches(docs: DataFrame, shingle: int) -> DataFrame:
             bands = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, BANDS, dtype=np.int32)), pa.array(flat))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(digest, pa.binary()), pa.array(size, pa.int64()), *map(pa.array, columns), bands], ["doc_id", "text_md5", "digest", "size", *NAMES, "bands"])
 
-    schema = f"doc_id long, text_md5 string, digest binary, size long, {', '.join(f'{n} long' for n in NAMES)}, bands array<long>"
-    return docs.select(F.col("doc_id").cast("long"), F.md5("text"), F.col("text").cast("binary")).mapInArrow(compute, schema)
+    schema = f"doc_id long, text_md5 binary, digest binary, size long, {', '.join(f'{n} long' for n in NAMES)}, bands array<long>"
+    return docs.select(F.col("doc_id").cast("long"), F.unhex(F.md5("text")), F.col("text").cast("binary")).mapInArrow(compute, schema)
 
 
 def shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
@@ -156,9 +156,9 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -
     lanes_sql = ", ".join(f"{n} long" for n in NAMES)
     passed = materialise(placed.mapInArrow(first_pass, f"a binary, b binary, cell long, side int, {lanes_sql}"), "passed")
     doubts = passed.where("cell IS NOT NULL")
-    asked = distinct.join(doubts.select(F.col("a").alias("digest")).distinct(), "digest", "left_semi").select("doc_id", "text_md5")
-    texts = docs.withColumn("text_md5", F.md5("text")).join(asked, ["doc_id", "text_md5"], "left_semi")
-    sets = materialise(shingle_sets(texts, shingle).dropDuplicates(["digest"]), "sets")
+    # other texts of the same ids come along, which no row in doubt asks for
+    asked = distinct.join(doubts.select(F.col("a").alias("digest")).distinct(), "digest", "left_semi").select("doc_id")
+    sets = materialise(shingle_sets(docs.join(asked, "doc_id", "left_semi"), shingle).dropDuplicates(["digest"]), "sets")
     open_ = doubts.join(sets.withColumnRenamed("digest", "a"), "a").select("cell", "side", "a", "b", *NAMES, "hashes")
     proven = open_.repartition("cell").sortWithinPartitions("cell").mapInArrow(second_pass(similarity), "a binary, b binary")
     parts = connected_components(passed.where("cell IS NULL").select("a", "b").union(proven))
@@ -180,13 +180,15 @@ def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> Data
     one's copies and all stay.  An empty table gives an empty result.
     """
     has_words = F.coalesce(F.col("text"), F.lit("")).rlike("[^\\x20\\x09-\\x0D]") & F.col("doc_id").isNotNull()
-    found = materialise(similar_groups(docs.where(has_words).select("doc_id", "text"), shingle, similarity), "groups")
+    found = similar_groups(docs.where(has_words).select("doc_id", "text"), shingle, similarity)
     is_keeper = (F.col("doc_id") == F.col("keeper.doc_id")) & (F.col("text_md5") == F.col("keeper.text_md5"))
-    rows = found.groupBy("doc_id", "text_md5").agg(F.count("*").alias("n"), F.bool_or(is_keeper).alias("stays"))
-    # only what goes or repeats is looked up: the texts meet the shorter of the two lists
-    odd = materialise(rows.where("NOT stays OR n > 1").select(F.col("doc_id").alias("odd_id"), F.col("text_md5").alias("odd_md5"), "stays"), "odd")
-    same = (F.col("own_id") == F.col("odd_id")) & (F.md5("text") == F.col("odd_md5"))
+    rows = materialise(found.groupBy("doc_id", "text_md5").agg(F.count("*").alias("n"), F.bool_or(is_keeper).alias("stays")), "rows")
+    ids = rows.groupBy(F.col("doc_id").alias("own_id")).agg(F.sum("n").alias("n"), F.bool_or("stays").alias("stays"))
+    # most ids stand for one row, and their rows go by the id alone
+    gone = materialise(ids.where("NOT stays").select("own_id"), "gone")
+    repeated = materialise(ids.where("stays AND n > 1").select("own_id"), "repeated")
     worded = docs.where(has_words).select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("own_id"), "text")
-    once = worded.join(odd, same, "left_anti").select("row.*")
-    again = worded.join(odd.where("stays"), same).dropDuplicates(["odd_id", "odd_md5"]).select("row.*")
-    return once.unionByName(again).unionByName(docs.where(~has_words))
+    once = worded.join(gone, "own_id", "left_anti").join(repeated, "own_id", "left_anti")
+    stays = rows.where("stays").select(F.col("doc_id").alias("own_id"), F.col("text_md5").alias("own_md5")).join(repeated, "own_id", "left_semi")
+    again = worded.join(repeated, "own_id", "left_semi").withColumn("own_md5", F.unhex(F.md5("text"))).join(stays, ["own_id", "own_md5"], "left_semi").dropDuplicates(["own_id", "own_md5"])
+    return once.select("row.*").unionByName(again.select("row.*")).unionByName(docs.where(~has_words))
