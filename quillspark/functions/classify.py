@@ -8,7 +8,7 @@ from operator import add
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .patterns import clamp, count, has, holds, is_upper, one, strip, swap
+from .patterns import clamp, count, has, holds, is_upper, let, match_places, one, strip, swap
 
 # The detectors' patterns and weights.
 MATH_PATTERNS = ["\\$[^$]+\\$", "\\\\\\[.*?\\\\\\]", "\\\\\\(.*?\\\\\\)", "<w>+<s>*[=≠≤≥<>]<s>*[\\p{L}\\p{N}_()+\\-*/^]+", "∫.*?dx", "∑.*?=.*", "∂f/∂[a-zA-Z]"]
@@ -46,9 +46,15 @@ def code_score(text: Column) -> Column:
     return reduce(add, hits)
 
 
+def math_expressions(text: Column) -> Column:
+    """(text, start, end) of each mathematical expression, pattern by pattern."""
+    found = [F.transform(match_places(text, p, "ms"), lambda x: F.struct(x["match"].alias("text"), x["begin"].alias("start"), x["end"].alias("end"))) for p in MATH_PATTERNS]
+    return F.concat(*found)
+
+
 def element_class(text: Column) -> Column:
     """Mathematics first, then code among the text that is left."""
-    return F.when((text_class(text) == "TEXT") & (math_count(text) > 2), "MATHEMATICAL").when((text_class(text) == "TEXT") & (code_score(text) >= 2), "CODE").otherwise(text_class(text))
+    return let(text_class(text), lambda kind: F.when(kind != "TEXT", kind).when(math_count(text) > 2, "MATHEMATICAL").when(code_score(text) >= 2, "CODE").otherwise(kind))
 
 
 def extraction_quality(a: Column, b: Column) -> Column:
@@ -136,10 +142,22 @@ def batch_size(items: Column, workers: int = 4, batch: int = 10) -> Column:
     return F.when(items <= batch, items).otherwise(F.greatest(F.lit(1), F.least(F.floor(items / workers), F.lit(2 * batch))))
 
 
-def cell_pad(text: Column, width: int) -> Column:
+def centre(text: Column, width: Column) -> Column:
+    """Blanks on both sides; the odd one goes left if the width is odd."""
+    gap = width - F.length(text)
+    left = F.floor(gap / 2).cast("int") + gap.bitwiseAND(width).bitwiseAND(F.lit(1))
+    return F.when(gap > 0, F.concat(F.repeat(F.lit(" "), left), text, F.repeat(F.lit(" "), gap - left))).otherwise(text)
+
+
+def cut_cell(text: Column, width: Column) -> Column:
+    """A cell longer than its column, ended by dots."""
+    return F.when(F.length(text) > width, F.concat(F.left(text, width - 3), F.lit("..."))).otherwise(text)
+
+
+def cell_pad(text: Column, width: Column | int) -> Column:
     """A cell at its width: numbers to the right, short single words centred, the rest to the left."""
-    t = F.when(F.length(text) > width, F.concat(F.left(text, F.lit(width - 3)), F.lit("..."))).otherwise(text)
-    gap = F.lit(width) - F.length(t)
-    left = F.floor(gap / 2).cast("int") + gap.bitwiseAND(F.lit(width)).bitwiseAND(F.lit(1))
-    centred = F.concat(F.repeat(F.lit(" "), left), t, F.repeat(F.lit(" "), gap - left))
-    return F.when(has(t, "\\A\\d+\\.?\\d*\\z|\\A\\.\\d+\\z"), F.lpad(t, width, " ")).when((F.length(t) < width // 2) & ~t.contains(" "), centred).otherwise(F.rpad(t, width, " "))
+    width = F.lit(width) if isinstance(width, int) else width
+    t = strip(cut_cell(text, width))
+    left = F.concat(t, F.repeat(F.lit(" "), F.greatest(F.lit(0), width - F.length(t))))
+    right = F.concat(F.repeat(F.lit(" "), F.greatest(F.lit(0), width - F.length(t))), t)
+    return F.when(has(t, "\\A\\d+\\.?\\d*\\z|\\A\\.\\d+\\z"), right).when((F.length(t) < F.floor(width / 2)) & ~t.contains(" "), centre(t, width)).otherwise(left)

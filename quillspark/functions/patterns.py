@@ -6,6 +6,9 @@ Java take the line feed as the only line end.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from operator import add
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -52,3 +55,46 @@ def clamp(x: Column) -> Column:
 
 def one(condition: Column, value: float = 1.0) -> Column:
     return F.when(condition, F.lit(value)).otherwise(F.lit(0.0))
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with ``value`` evaluated once, however often the body uses it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def running(numbers: Column, fold: Callable[[Column], Column], join: Callable[[Column, Column], Column]) -> Column:
+    """Running folds of an array of ints, by blocks of about the root of its size; ``fold`` takes any slice, ``join`` two results."""
+
+    def folds(a: Column, w: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(a) - 1) / w).cast("int")), lambda j: fold(F.slice(a, j * w + 1, w)))
+        whole = lambda b, k: fold(F.slice(b, F.lit(1), F.floor(k / w).cast("int")))
+        rest = lambda k: fold(F.slice(a, F.floor(k / w).cast("int") * w + 1, k % w + 1))
+        return let(blocks, lambda b: F.transform(a, lambda _, k: join(whole(b, k), rest(k))))
+
+    # short arrays, the usual case, are folded from their start each time
+    short = lambda a: F.transform(a, lambda _, k: fold(F.slice(a, F.lit(1), k + 1)))
+    width = lambda a: F.ceil(F.sqrt(F.size(a))).cast("int")
+    return let(numbers, lambda a: F.when(F.size(a) <= 16, short(a)).otherwise(let(width(a), lambda w: folds(a, w))))
+
+
+def running_sum(numbers: Column) -> Column:
+    return running(numbers, lambda a: F.aggregate(a, F.lit(0), add), add)
+
+
+def running_max(numbers: Column) -> Column:
+    """Running maxima of numbers that are not negative."""
+    return running(numbers, lambda a: F.coalesce(F.array_max(a), F.lit(0)), F.greatest)
+
+
+def match_places(text: Column, pattern: str, flags: str = "") -> Column:
+    """(begin, end, match) of each match: running lengths of the pieces between and of the matches."""
+    full = f"(?d{flags})" + wide(pattern)
+    none = F.array().cast("array<struct<begin:int,end:int,match:string>>")
+
+    def placed(found: Column) -> Column:
+        steps = F.zip_with(F.slice(F.split(text, full), 1, F.size(found)), found, lambda g, m: F.length(g) + F.length(m))
+        ends = lambda e: F.transform(found, lambda m, k: F.struct((F.get(e, k) - F.length(m)).alias("begin"), F.get(e, k).alias("end"), m.alias("match")))
+        return let(running_sum(steps), ends)
+
+    found = F.regexp_extract_all(text, F.lit(full), F.lit(0))
+    return let(found, lambda m: F.when(F.size(m) > 0, placed(m)).otherwise(none))

@@ -8,16 +8,24 @@ from operator import add
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.patterns import count, has, holds, strip
+from ..functions.patterns import count, has, holds, let, strip
+from ..sources.corpus import explode_lines, join_lines
 
 # Language patterns with weights, in the order that settles ties.
-# (keywords 3, builtins 2, the rest as listed)
 LANGUAGES = {
-    "python": [("\\b(def|class|import|from|if __name__|elif|try|except|finally|with|yield|lambda|async|await)\\b", 3.0), ("\\b(print|len|range|list|dict|str|int|float|bool|set|tuple|open|input|type|isinstance|super)\\b", 2.0), ("#.*\\z", 1.0), ("\\w+\\s*\\([^)]*\\)\\s*:", 2.0)],
-    "javascript": [("\\b(function|var|let|const|if|else|for|while|do|switch|case|break|continue|return|try|catch|finally|throw|new|this|typeof|instanceof)\\b", 3.0), ("\\b(console|document|window|Array|Object|String|Number|Boolean|Date|RegExp|Math|JSON)\\b", 2.0), ("\\s*=>\\s*", 2.0)],
-    "sql": [("(?i)\\b(SELECT|FROM|WHERE|INSERT|UPDATE|DELETE|CREATE|TABLE|ALTER|DROP|INDEX|JOIN|INNER|LEFT|RIGHT|OUTER|GROUP|BY|ORDER|HAVING|UNION|DISTINCT|COUNT|SUM|AVG|MAX|MIN)\\b", 3.0), ("(?i)\\b(AND|OR|NOT|IN|EXISTS|BETWEEN|LIKE|IS NULL|IS NOT NULL)\\b", 2.0)],
-    "bash": [("\\A#!\\s*/bin/(bash|sh)", 3.0), ("\\b(if|then|else|elif|fi|for|while|do|done|case|esac|function|return|exit|echo|read|cd|ls|grep|sed|awk)\\b", 3.0), ("\\$\\{?\\w+\\}?", 2.0), ("\\|", 1.0)],
-    "json": [("\"[^\"]*\"", 1.0), (":\\s*", 0.5), (",\\s*", 0.5)],
+    "python": [("\\b(def|class|import|from|if __name__|elif|try|except|finally|with|yield|lambda|async|await)\\b", 3.0), ("\\b(print|len|range|list|dict|str|int|float|bool|set|tuple|open|input|type|isinstance|super)\\b", 2.0), ("#.*\\z", 1.0), ("\\A\\s+", 1.0), ("\\w+\\s*\\([^)]*\\)\\s*:", 2.5)],
+    "javascript": [("\\b(function|var|let|const|if|else|for|while|do|switch|case|break|continue|return|try|catch|finally|throw|new|this|typeof|instanceof)\\b", 3.0), ("\\b(console|document|window|Array|Object|String|Number|Boolean|Date|RegExp|Math|JSON)\\b", 2.0), ("//.*\\z|/\\*[\\s\\S]*?\\*/", 1.0), ("\\s*=>\\s*", 2.0)],
+    "java": [("\\b(public|private|protected|static|final|abstract|class|interface|extends|implements|import|package|void|int|String|boolean)\\b", 3.0), ("@\\w+", 2.0), ("\\b(public|private|protected)\\s+\\w+\\s+\\w+\\s*\\([^)]*\\)\\s*(throws\\s+\\w+\\s*)?\\{", 1.0)],
+    "c": [("\\b(include|stdio|stdlib|string|math|int|char|float|double|void|if|else|for|while|do|switch|case|break|continue|return|struct|typedef|enum)\\b", 3.0), ("#include\\s*[<\"][^>\"]+[>\"]", 3.0), ("\\*\\w+|\\w+\\*", 1.5), ("\\w+\\s*\\([^)]*\\)\\s*;", 2.5)],
+    "csharp": [("\\b(public|private|protected|internal|static|readonly|const|virtual|override|abstract|sealed|class|interface|namespace|using|var|void|int|string|bool|double)\\b", 3.0), ("\\w+\\s*\\{\\s*get;\\s*set;\\s*\\}", 2.0), ("\\b(from|where|select|orderby|group|join)\\b", 2.0)],
+    "php": [("<\\?php|\\?>", 4.0), ("\\b(function|class|if|else|elseif|for|foreach|while|do|switch|case|break|continue|return|try|catch|finally|throw|new|this)\\b", 3.0), ("\\$\\w+", 2.0), ("array\\s*\\(|\\[.*?\\]", 1.5)],
+    "ruby": [("\\b(def|class|module|if|unless|else|elsif|case|when|while|until|for|do|break|next|return|yield|begin|rescue|ensure|end|require|include)\\b", 3.0), (":\\w+", 2.0), ("\\{.*?\\}|do\\s+.*?\\s+end", 1.5), ("#\\{.*?\\}", 1.5)],
+    "go": [("\\b(func|package|import|type|struct|interface|var|const|if|else|for|switch|case|default|break|continue|return|go|select|defer|chan)\\b", 3.0), ("\\b(int|string|bool|float64|error|map|slice)\\b", 2.0), ("func\\s+\\w+\\s*\\([^)]*\\)", 2.5)],
+    "rust": [("\\b(fn|let|mut|const|static|if|else|match|for|while|loop|break|continue|return|struct|enum|impl|trait|mod|use|pub|crate|super)\\b", 3.0), ("'\\w+", 2.0), ("Some\\(|None|Ok\\(|Err\\(|Result<", 2.5), ("\\w+\\s*!", 2.0)],
+    "sql": [("(?i)\\b(SELECT|FROM|WHERE|INSERT|UPDATE|DELETE|CREATE|TABLE|ALTER|DROP|INDEX|JOIN|INNER|LEFT|RIGHT|OUTER|GROUP|BY|ORDER|HAVING|UNION|DISTINCT|COUNT|SUM|AVG|MAX|MIN)\\b", 3.0), ("(?i)\\b(COUNT|SUM|AVG|MAX|MIN|UPPER|LOWER|SUBSTRING|CONCAT|COALESCE|CAST)\\b", 2.5), ("(?i)\\b(AND|OR|NOT|IN|EXISTS|BETWEEN|LIKE|IS NULL|IS NOT NULL)\\b", 2.0)],
+    "bash": [("\\A#!\\s*/bin/bash|\\A#!\\s*/bin/sh", 4.0), ("\\b(if|then|else|elif|fi|for|while|do|done|case|esac|function|return|exit|echo|read|cd|ls|grep|sed|awk)\\b", 3.0), ("\\$\\{?\\w+\\}?", 2.0), ("\\|", 1.0), ("[<>]{1,2}", 1.0)],
+    "json": [("\\{.*\\}|\\[.*\\]", 1.0), ("\"[^\"]*\"", 0.5), (":\\s*", 0.5), (",\\s*", 0.5)],
+    "yaml": [("\\A\\s*\\w+\\s*:", 2.0), ("\\A\\s*-\\s+", 1.5), ("#.*\\z", 1.0), ("\"[^\"]*\"|'[^']*'", 0.5)],
 }
 LINE_PATTERNS = [
     "\\A<s>*(def|function|class|public|private|protected|if|for|while|do|switch|case)<s>*<w>", "\\A<s>*(import|include|using|from)<s>+", "\\A<s>*(var|let|const)<s>+<w>+<s>*=", "\\A<s>*<w>+<s>*\\([^)]*\\)<s>*(\\{|:)",
@@ -48,28 +56,54 @@ def code_regions(lines: DataFrame, min_lines: int = 3) -> DataFrame:
 
 
 def language_score(code: Column, rules: list[tuple[str, float]]) -> Column:
+    """Weighted matches of a language's patterns for each word of the code."""
     tokens = F.size(F.filter(F.split(code, "\\s+"), lambda w: w != ""))
-    return reduce(add, [count(code, p) * w for p, w in rules]) / F.greatest(tokens, F.lit(1))
+    return F.round(reduce(add, [count(code, p) * w for p, w in rules]) / F.greatest(tokens, F.lit(1)), 6)
 
 
-def code_blocks(lines: DataFrame, threshold: float = 0.6) -> DataFrame:
-    """Code regions with the language of the highest score, the first declared on ties."""
-    scores = [F.struct(F.round(language_score(F.col("code"), rules), 6).alias("score"), F.lit(-k).alias("order"), F.lit(name).alias("name")) for k, (name, rules) in enumerate(LANGUAGES.items())]
-    best = F.greatest(*scores)
-    found = code_regions(lines).withColumn("best", best)
-    sure = F.col("best.score") >= threshold
-    return found.select("doc_id", "start_line", "end_line", "code", F.when(sure, F.col("best.name")).otherwise("unknown").alias("language"), F.when(sure, F.least(F.col("best.score"), F.lit(1.0))).otherwise(0.0).alias("confidence"))
+def detect_language(code: Column, threshold: float = 0.6) -> Column:
+    """Struct of language and confidence: the highest score, the first declared on ties; below the threshold unknown and 0."""
+    scores = [F.struct(language_score(code, rules).alias("score"), F.lit(-k).alias("order"), F.lit(name).alias("name")) for k, (name, rules) in enumerate(LANGUAGES.items())]
 
+    def choose(best: Column) -> Column:
+        sure = (best["score"] >= threshold) & (strip(code) != "")
+        return F.struct(F.when(sure, best["name"]).otherwise("unknown").alias("language"), F.when(sure, best["score"]).otherwise(0.0).alias("confidence"))
 
-def fenced(code: Column, language: Column, confidence: Column) -> Column:
-    """A fence for sure blocks; else each line in backticks."""
+    return let(F.greatest(*scores), choose)
+
+
+def code_blocks(lines: DataFrame, threshold: float = 0.6, min_lines: int = 3) -> DataFrame:
+    """Code regions with their language and confidence."""
+    found = code_regions(lines, min_lines).withColumn("found", detect_language(F.col("code"), threshold))
+    return found.select("doc_id", "start_line", "end_line", "code", "found.language", "found.confidence")
+
+
+def fenced(code: Column, language: Column, confidence: Column, numbered: bool = False, max_chars: int = 1000, keep_lines: int = 50, threshold: float = 0.6) -> Column:
+    """A fence for sure blocks, else each line in backticks.
+
+    Lines may be numbered; blocks of over ``max_chars`` end after
+    ``keep_lines`` lines with a mark.
+    """
+    lines = F.split(code, "\n")
+    if numbered:
+        lines = F.transform(lines, lambda x, i: F.concat(F.when(i < 999, F.lpad((i + 1).cast("string"), 3, " ")).otherwise((i + 1).cast("string")), F.lit(" | "), x))
+    body = F.array_join(lines, "\n")
+    short = F.array_join(F.concat(F.slice(lines, 1, keep_lines), F.array(F.lit("... (truncated)"))), "\n")
     inline = F.array_join(F.transform(F.split(code, "\n"), lambda x: F.concat(F.lit("`"), x, F.lit("`"))), "\n")
-    return F.when(confidence < 0.6, inline).otherwise(F.concat(F.lit("```"), language, F.lit("\n"), code, F.lit("\n```")))
+    name = F.when(language == "unknown", "").otherwise(language)
+    fence = F.concat(F.lit("```"), name, F.lit("\n"), F.when(F.length(body) > max_chars, short).otherwise(body), F.lit("\n```"))
+    return F.when(confidence < threshold, inline).otherwise(fence)
 
 
-def rewrite_code(lines: DataFrame) -> DataFrame:
+def rewrite_code(lines: DataFrame, numbered: bool = False, max_chars: int = 1000) -> DataFrame:
     """Lines with each code region replaced by its rendering, at its first line."""
-    blocks = code_blocks(lines).select("doc_id", "start_line", "end_line", fenced(F.col("code"), F.col("language"), F.col("confidence")).alias("block"))
+    block = fenced(F.col("code"), F.col("language"), F.col("confidence"), numbered, max_chars)
+    blocks = code_blocks(lines).select("doc_id", "start_line", "end_line", block.alias("block"))
     spots = blocks.select("doc_id", F.explode(F.sequence("start_line", "end_line")).alias("line_no"), "start_line", "block")
     joined = lines.join(spots, ["doc_id", "line_no"], "left").where(F.col("start_line").isNull() | (F.col("line_no") == F.col("start_line")))
     return joined.select("doc_id", "line_no", F.coalesce("block", "line").alias("line"))
+
+
+def format_code(docs: DataFrame, numbered: bool = False, max_chars: int = 1000) -> DataFrame:
+    """docs(doc_id, text) -> doc_id, text with its code regions rendered."""
+    return join_lines(rewrite_code(explode_lines(docs), numbered, max_chars))

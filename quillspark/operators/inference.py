@@ -17,7 +17,7 @@ NANOSECONDS = 1e9
 
 
 def request_body(prompt: Column, image: Column, model: str, style: str = "generate", max_tokens: int = 4096) -> Column:
-    """The JSON body of a request in one of the styles ``generate``, ``chat`` and ``plain``."""
+    """The JSON body of a request in one of the styles ``generate``, ``chat``, ``messages`` and ``plain``."""
     name, limit = F.lit(model).alias("model"), F.lit(max_tokens).alias("max_tokens")
     if style == "generate":
         return F.to_json(F.struct(name, prompt.alias("prompt"), F.array(image).alias("images"), F.lit(False).alias("stream")))
@@ -28,6 +28,11 @@ def request_body(prompt: Column, image: Column, model: str, style: str = "genera
         # the two parts differ in type, so they are joined as text
         head = F.to_json(F.struct(name, limit))
         return F.concat(F.substring(head, F.lit(1), F.length(head) - 1), F.lit(',"messages":[{"role":"user","content":['), F.array_join(content, ","), F.lit("]}]}"))
+    if style == "messages":
+        source = F.struct(F.lit("base64").alias("type"), F.lit("image/png").alias("media_type"), image.alias("data"))
+        content = F.array(F.to_json(F.struct(F.lit("image").alias("type"), source.alias("source"))), F.to_json(F.struct(F.lit("text").alias("type"), prompt.alias("text"))))
+        head = F.to_json(F.struct(name, limit))
+        return F.concat(F.substring(head, F.lit(1), F.length(head) - 1), F.lit(',"messages":[{"role":"user","content":['), F.array_join(content, ","), F.lit("]}]}"))
     if style == "plain":
         return F.to_json(F.struct(name, prompt.alias("prompt"), image.alias("image"), limit))
     raise ValueError(f"unknown style {style!r}")
@@ -44,6 +49,50 @@ def reply_seconds(body: Column) -> Column:
     return F.get_json_object(body, "$.total_duration").cast("double") / NANOSECONDS
 
 
+def reply_tokens(body: Column) -> Column:
+    """Tokens that a reply says it holds, whatever it calls them; null if it does not say."""
+    places = ["$.eval_count", "$.usage.completion_tokens", "$.usage.output_tokens", "$.usage.total_tokens", "$.tokens"]
+    return F.coalesce(*[F.get_json_object(body, p).cast("long") for p in places])
+
+
+def process_items(items: DataFrame, column: str, work: Callable[[], Callable[[str], str]], workers: int = 4, retries: int = 0, delay: float = 1.0, timeout: float | None = None) -> DataFrame:
+    """items(index, column, ..) -> index, success, result, error, attempts; a failure is a row, not an end.
+
+    ``timeout`` bounds the seconds of one attempt; an attempt that takes
+    longer counts as failed when it is noticed, its thread is not stopped.
+    """
+
+    def bounded() -> Client:
+        run = work()
+        if timeout is None:
+            return run
+        pool = ThreadPoolExecutor(workers)
+        return lambda body: pool.submit(run, body).result(timeout)
+
+    asked = items.select("index", F.col(column).alias("body"))
+    done = call_model(asked, bounded, workers, retries, delay)
+    return done.select("index", (F.col("error").isNull() & (F.col("attempts") > 0)).alias("success"), F.col("reply").alias("result"), "error", "attempts")
+
+
+def process_batches(items: DataFrame, column: str, work: Callable[[], Callable[[list[str | None]], list[str | None]]], batch: int = 10) -> DataFrame:
+    """items(index, column) -> index, result: ``work`` is given lists of up to ``batch`` items; a list that fails has null results."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own = work()
+        for frame in frames:
+            out: list[str | None] = []
+            for at in range(0, len(frame), batch):
+                part = frame.iloc[at : at + batch, 1].tolist()
+                try:
+                    found = own(part)
+                except Exception:  # any failure of the caller's work leaves its items without a result
+                    found = [None] * len(part)
+                out += found
+            yield pd.DataFrame({"index": frame.iloc[:, 0], "result": pd.Series(out, index=frame.index, dtype="object")})
+
+    return items.select("index", column).mapInPandas(run, "index long, result string")
+
+
 def call_model(requests: DataFrame, make_client: Callable[[], Client], workers: int = 4, retries: int = 3, delay: float = 1.0) -> DataFrame:
     """requests(.., body) -> the same rows with reply, error, attempts.
 

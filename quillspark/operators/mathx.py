@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.patterns import wide
+from ..functions.patterns import let, match_places, running_max, wide
 
 # Fixed values: (type, pattern, confidence, whether a span inside $...$ is skipped), in order of discovery.
 SPANS = [
@@ -21,24 +21,6 @@ SPANS = [
 ]
 
 
-def match_places(text: Column, pattern: str) -> Column:
-    """(begin, end, match) of each match: running lengths of the pieces between and of the matches."""
-    full = "(?d)" + wide(pattern)
-
-    def placed(pair: Column) -> Column:
-        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<begin:int,end:int,match:string>>").alias("out"))
-
-        def step(s: Column, x: Column) -> Column:
-            begin = s["at"] + F.length(x["gap"])
-            end = begin + F.length(x["match"])
-            return F.struct(end.alias("at"), F.when(x["match"].isNull(), s["out"]).otherwise(F.concat(s["out"], F.array(F.struct(begin.alias("begin"), end.alias("end"), x["match"].alias("match"))))).alias("out"))
-
-        return F.aggregate(pair, start, step, lambda s: s["out"])
-
-    pairs = F.arrays_zip(F.split(text, full).alias("gap"), F.regexp_extract_all(text, F.lit(full), F.lit(0)).alias("match"))
-    return placed(F.transform(pairs, lambda p: F.struct(p["gap"].alias("gap"), p["match"].alias("match"))))
-
-
 def in_dollars(text: Column, begin: Column) -> Column:
     """Whether a place lies strictly inside a pair of dollar signs: an odd number before it and one after."""
     before, after = F.substring(text, F.lit(1), begin), F.substring(text, begin + 1, F.length(text))
@@ -61,26 +43,65 @@ def latex(kind: str, match: Column, pattern: str) -> Column:
     return match
 
 
+def rule_spans(text: Column, rule: int) -> Column:
+    """Spans that one rule finds."""
+    kind, pattern, confidence, outside = SPANS[rule]
+    found = match_places(text, pattern)
+    if outside:
+        found = F.filter(found, lambda x: ~in_dollars(text, x["begin"]))
+    return F.transform(
+        found,
+        lambda x: F.struct(F.lit(rule).alias("rule"), x["begin"].alias("begin"), x["end"].alias("end"), x["match"].alias("match"), F.lit(kind).alias("math_type"), F.lit(confidence).alias("confidence"), latex(kind, x["match"], pattern).alias("latex")),
+    )
+
+
+def span_array(text: Column) -> Column:
+    """All spans of a text in one array, the rules one after another."""
+    return F.concat(*[rule_spans(text, k) for k in range(len(SPANS))])
+
+
 def math_spans(docs: DataFrame) -> DataFrame:
-    """docs(doc_id, text) -> doc_id, rule, begin, end, match, math_type, confidence, latex; one pass for each rule."""
-    parts = None
-    for k, (kind, pattern, confidence, outside) in enumerate(SPANS):
-        found = docs.select("doc_id", "text", F.inline(match_places(F.col("text"), pattern)))
-        if outside:
-            found = found.where(~in_dollars(F.col("text"), F.col("begin")))
-        found = found.select("doc_id", F.lit(k).alias("rule"), "begin", "end", "match", F.lit(kind).alias("math_type"), F.lit(confidence).alias("confidence"), latex(kind, F.col("match"), pattern).alias("latex"))
-        parts = found if parts is None else parts.unionByName(found)
-    return parts
+    """docs(doc_id, text) -> doc_id, rule, begin, end, match, math_type, confidence, latex."""
+    return docs.select("doc_id", F.inline(span_array(F.col("text"))))
+
+
+def outermost_of(spans: Column) -> Column:
+    """Spans, by place, not contained in one that begins earlier (or is found earlier at the same place).
+
+    Spans stand in the order of their begin, so a span lies in an earlier one
+    if that one, or any before it, ends no earlier.
+    """
+    ordered = F.array_sort(F.transform(spans, lambda x: F.struct(x["begin"].alias("begin"), x["rule"].alias("rule"), x["end"].alias("end"), x["match"].alias("match"), x["math_type"].alias("math_type"), x["confidence"].alias("confidence"), x["latex"].alias("latex"))))
+
+    def kept(a: Column) -> Column:
+        reach = running_max(F.transform(a, lambda x: x["end"]))
+        return let(reach, lambda h: F.filter(a, lambda x, k: (k == 0) | (F.get(h, k - 1) < x["end"])))
+
+    return let(ordered, kept)
+
+
+def recognised(docs: DataFrame) -> DataFrame:
+    """docs(doc_id, text) -> its outermost spans, from one scan without a shuffle."""
+    return docs.select("doc_id", F.inline(outermost_of(span_array(F.col("text")))))
 
 
 def outermost(spans: DataFrame) -> DataFrame:
-    """Spans not contained in one that begins earlier (or is found earlier at the same place)."""
+    """The outermost of spans(doc_id, begin, rule, end, ..) that stand in a table."""
     before = Window.partitionBy("doc_id").orderBy("begin", "rule", "end").rowsBetween(Window.unboundedPreceding, -1)
     return spans.withColumn("reach", F.max("end").over(before)).where("reach IS NULL OR reach < end").drop("reach")
 
 
-def splice(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """Texts with each span replaced by its LaTeX, from right to left."""
-    lists = spans.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("begin", "end", "latex")), asc=False).alias("cuts"))
-    put = lambda t, x: F.concat(F.substring(t, F.lit(1), x["begin"]), x["latex"], F.substring(t, x["end"] + 1, F.length(t)))
-    return docs.join(lists, "doc_id", "left").select("doc_id", F.coalesce(F.aggregate("cuts", F.col("text"), put), "text").alias("text"))
+def replaced(text: Column, spans: Column) -> Column:
+    """A text with each span replaced by its LaTeX, from right to left."""
+    cuts = F.sort_array(F.transform(spans, lambda x: F.struct(x["begin"].alias("begin"), x["end"].alias("end"), x["latex"].alias("latex"))), asc=False)
+    return F.aggregate(cuts, text, lambda t, x: F.concat(F.substring(t, F.lit(1), x["begin"]), x["latex"], F.substring(t, x["end"] + 1, F.length(t))))
+
+
+def format_math(docs: DataFrame) -> DataFrame:
+    """docs(doc_id, text) -> doc_id, text with its mathematics as LaTeX, from one scan without a shuffle."""
+    return docs.select("doc_id", replaced(F.col("text"), outermost_of(span_array(F.col("text")))).alias("text"))
+
+
+def promoted(math_type: Column, text: Column, formula: Column) -> Column:
+    """Whether a formula becomes a display: an equation, integral or sum of over 20 characters that is delimited already."""
+    return math_type.isin("equation", "integral", "summation") & (F.length(text) > 20) & (formula.startswith("$") | formula.startswith("\\"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.patterns import count, has, strip, wide
@@ -58,11 +58,37 @@ def render_lines(lines: DataFrame) -> DataFrame:
     return lines.join(found, ["doc_id", "line_no"], "left").select("doc_id", "line_no", F.coalesce("new", "line").alias("line"))
 
 
+# What makes a line one of the census, and lines in columns.
+DOTS = "." * 32
+COLUMNS = ["\\A[A-Za-z\\t-\\r \\x1c-\\x1f\\x85\\p{Z}]+<s>+\\d+<s>+\\d+", "\\A[A-Za-z\\t-\\r \\x1c-\\x1f\\x85\\p{Z}]+<s>+\\$?\\d+", "\\A<w>+<s>+<w>+<s>+\\d+"]
+
+
+def census_tests(line: Column) -> dict[str, Column]:
+    """Layout patterns of a stripped line."""
+    pipes = count(line, "\\|") >= 3
+    plain = ~(line.startswith("##") | line.startswith("```") | line.startswith("•") | line.startswith("Task") | line.contains("DOMAIN"))
+    return {
+        "dots": line.contains(DOTS), "pipes": pipes, "tabs": line.contains("\t"), "spaces": has(line, " {3,}"), "tasks": line.startswith("Task"),
+        "domains": line.contains("DOMAIN") & line.contains("%"), "bullets": line.startswith("•"), "percents": has(line, "\\d+%"),
+        "table_rows": pipes & plain, "in_columns": has(line, COLUMNS[0]) | has(line, COLUMNS[1]) | has(line, COLUMNS[2]),
+    }
+
+
 def line_census(lines: DataFrame) -> DataFrame:
     """How many lines show each layout pattern."""
-    line = F.col("line")
-    tests = {
-        "dots": has(line, "\\.{3,}"), "pipes": count(line, "\\|") >= 3, "tabs": line.contains("\t"), "spaces": has(line, " {3,}"),
-        "tasks": has(line, "Task"), "domains": has(line, "DOMAIN.*%"), "bullets": line.contains("•"), "percents": line.contains("%"),
-    }
-    return lines.agg(*[F.count_if(c).alias(n) for n, c in tests.items()])
+    own = lines.select(strip(F.col("line")).alias("line")).where("line <> ''")
+    return own.agg(*[F.count_if(c).alias(n) for n, c in census_tests(F.col("line")).items()])
+
+
+def line_samples(lines: DataFrame, n: int = 5) -> DataFrame:
+    """The first ``n`` lines of each document that show each pattern."""
+    own = lines.withColumn("line", strip(F.col("line"))).where("line <> ''")
+    kinds = F.array_compact(F.array(*[F.when(c, k) for k, c in census_tests(F.col("line")).items()]))
+    marked = own.select("doc_id", "line_no", "line", F.explode(kinds).alias("pattern"))
+    place = F.row_number().over(Window.partitionBy("doc_id", "pattern").orderBy("line_no"))
+    return marked.withColumn("place", place).where(F.col("place") <= n)
+
+
+def page_sections(text: Column) -> Column:
+    """How many parts a text falls into at its page headings, less the one before the first."""
+    return F.size(F.split(text, "## Page")) - 1

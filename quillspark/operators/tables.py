@@ -1,23 +1,41 @@
-"""Tables in text: detection, cells, widths and rendering."""
+"""Tables in text: detection, cells, widths and rendering.
+
+Detectors take lines(block_id, line_no, line) and give cells(block_id, row,
+col, text, is_header, n_rows, n_cols, confidence); the last three describe
+the table of the cell.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.classify import cell_pad
-from ..functions.patterns import count, has, strip
+from ..functions.classify import cell_pad, centre, cut_cell
+from ..functions.patterns import has, match_places, strip, wide
+from ..sources.corpus import explode_lines, join_lines
 
-# Delimiters in order of preference; limits of a valid table.
+# Delimiters in order of preference; limits of a valid table; how sure each detector is; patterns of table-like text.
 DELIMITERS = [",", "\t", ";", "|"]
-MIN_CELLS, MAX_ROWS, MAX_COLS = 4, 50, 20
+MIN_CELLS, MAX_ROWS, MAX_COLS, MIN_CONFIDENCE = 4, 50, 20, 0.6
 HEADER_WORDS = ["NAME", "TYPE", "SIZE", "DATE", "ID", "STATUS"]
+DELIMITED, SPACED, GRID, MARKDOWN = 0.75, 0.7, 0.8, 0.9
+TABLE_TEXT = [("\\|<s>*[^|]+<s>*\\|.*?\\|", 0), ("(<s>+<w>+<s>+){3,}", 1)]
+TABLE_LINES = 20
+
+
+def block_lines(lines: DataFrame) -> DataFrame:
+    """Lines with something on them, stripped, numbered from 0, with their count."""
+    own = lines.withColumn("line", strip(F.col("line"))).where("line <> ''")
+    w = Window.partitionBy("block_id")
+    return own.select("block_id", (F.row_number().over(w.orderBy("line_no")) - 1).alias("row"), F.count("*").over(w).cast("int").alias("n_rows"), "line")
 
 
 def detect_delimiter(lines: DataFrame, share: float = 0.7) -> DataFrame:
     """lines(block_id, line_no, line) -> block_id, delimiter, per_line: the first whose usual count fits 70 % of the lines."""
     counted = [F.struct(F.lit(k).alias("order"), F.lit(d).alias("delimiter"), (F.length("line") - F.length(F.replace("line", F.lit(d), F.lit("")))).alias("per_line")) for k, d in enumerate(DELIMITERS)]
-    rows = lines.where(strip(F.col("line")) != "").select("block_id", "line_no", F.inline(F.array(*counted)))
+    rows = lines.withColumn("line", strip(F.col("line"))).where("line <> ''").select("block_id", F.inline(F.array(*counted)))
     modes = rows.groupBy("block_id", "order", "delimiter", "per_line").agg(F.count("*").alias("n"))
     total = F.sum("n").over(Window.partitionBy("block_id", "order"))
     fitting = modes.withColumn("total", total).where((F.col("per_line") > 0) & (F.col("n") >= share * F.col("total")) & (F.col("total") >= 2))
@@ -25,80 +43,167 @@ def detect_delimiter(lines: DataFrame, share: float = 0.7) -> DataFrame:
 
 
 def delimited_cells(lines: DataFrame) -> DataFrame:
-    """Cells (block_id, row, col, text, is_header) of delimited blocks, padded or cut to the usual width."""
-    own = lines.where(strip(F.col("line")) != "").withColumn("row", F.row_number().over(Window.partitionBy("block_id").orderBy("line_no")) - 1)
-    found = own.join(detect_delimiter(lines), "block_id")
-    pieces = F.split_part  # by literal delimiter; missing pieces are empty
-    grid = found.select("block_id", "row", "line", "delimiter", F.explode(F.sequence(F.lit(0), F.col("per_line"))).alias("col"))
-    return grid.select("block_id", "row", "col", strip(pieces("line", "delimiter", F.col("col") + 1)).alias("text"), (F.col("row") == 0).alias("is_header"))
+    """Cells of delimited blocks, padded or cut to the usual width."""
+    found = block_lines(lines).join(detect_delimiter(lines), "block_id")
+    cols = F.col("per_line") + 1
+    grid = found.select("block_id", "row", "line", "delimiter", "n_rows", cols.alias("n_cols"), F.explode(F.sequence(F.lit(0), F.col("per_line"))).alias("col"))
+    text = strip(F.split_part("line", "delimiter", F.col("col") + 1))
+    return grid.select("block_id", "row", "col", text.alias("text"), (F.col("row") == 0).alias("is_header"), "n_rows", "n_cols", F.lit(DELIMITED).alias("confidence"))
+
+
+def word_columns(lines: DataFrame, gap: int = 10) -> DataFrame:
+    """Column starts of space-aligned blocks: word starts cut into clusters at gaps of ``gap``."""
+    starts = lines.select("block_id", F.explode(F.transform(match_places(strip(F.col("line")), "[^\\t-\\r \\x1c-\\x1f\\x85\\p{Z}]+"), lambda x: x["begin"])).alias("start")).distinct()
+    w = Window.partitionBy("block_id").orderBy("start")
+    cluster = F.sum(F.when(F.col("start") - F.lag("start").over(w) >= gap, 1).otherwise(0)).over(w)
+    return starts.withColumn("cluster", cluster).groupBy("block_id", "cluster").agg(F.min("start").alias("start")).select("block_id", "cluster", "start")
+
+
+def spaced_cells(lines: DataFrame, gap: int = 10) -> DataFrame:
+    """Cells of space-aligned blocks: each line cut at the block's column starts, blank pieces left out."""
+    starts = word_columns(lines, gap)
+    w = Window.partitionBy("block_id").orderBy("start")
+    cuts = starts.select("block_id", "start", (F.row_number().over(w) - 1).alias("col"), F.lead("start").over(w).alias("stop"))
+    cuts = cuts.groupBy("block_id").agg(F.array_sort(F.collect_list(F.struct("col", "start", "stop"))).alias("cuts")).where(F.size("cuts") >= 2)
+    grid = block_lines(lines).join(cuts, "block_id").select("block_id", "row", "n_rows", F.size("cuts").alias("n_cols"), "line", F.inline("cuts"))
+    piece = strip(F.substring("line", F.col("start") + 1, F.coalesce(F.col("stop"), F.length("line")) - F.col("start")))
+    return grid.select("block_id", "row", "col", piece.alias("text"), (F.col("row") == 0).alias("is_header"), "n_rows", "n_cols", F.lit(SPACED).alias("confidence")).where("text <> ''")
+
+
+def numbered_pieces(rows: DataFrame, pieces: Column, confidence: float) -> DataFrame:
+    """Cells from rows(block_id, line_no, line), each cut into ``pieces``."""
+    w = Window.partitionBy("block_id")
+    own = rows.select("block_id", (F.row_number().over(w.orderBy("line_no")) - 1).alias("row"), F.count("*").over(w).cast("int").alias("n_rows"), pieces.alias("pieces"))
+    own = own.withColumn("n_cols", F.greatest(F.lit(1), F.max(F.size("pieces")).over(w)))
+    return own.select("block_id", "row", F.posexplode("pieces").alias("col", "text"), (F.col("row") == 0).alias("is_header"), "n_rows", "n_cols", F.lit(confidence).alias("confidence"))
+
+
+def grid_cells(lines: DataFrame) -> DataFrame:
+    """Cells of grid tables: blocks with two rules or more, the other lines cut at ``+``, empty pieces left out."""
+    own = lines.withColumn("line", strip(F.col("line"))).where("line <> ''").withColumn("is_rule", has(F.col("line"), "\\A[+\\-|]+\\z"))
+    own = own.withColumn("rules", F.sum(F.col("is_rule").cast("int")).over(Window.partitionBy("block_id"))).where("rules >= 2 AND NOT is_rule")
+    return numbered_pieces(own, F.filter(F.transform(F.split("line", "\\+"), strip), lambda x: x != ""), GRID)
 
 
 def markdown_cells(lines: DataFrame) -> DataFrame:
-    """Cells of pipe tables: blocks with three pipe lines or more, separator lines left out."""
+    """Cells of pipe tables: blocks with three pipe lines or more, separator lines left out, an empty piece at either end dropped."""
     pipe = lines.where(F.col("line").contains("|")).withColumn("pipes", F.count("*").over(Window.partitionBy("block_id"))).where("pipes >= 3")
-    rows = pipe.where(~has(strip(F.col("line")), "\\A[\\t-\\r \\p{Z}|\\-]+\\z")).withColumn("row", F.row_number().over(Window.partitionBy("block_id").orderBy("line_no")) - 1)
+    rows = pipe.where(~has(F.col("line"), "\\A[\\t-\\r \\x1c-\\x1f\\x85\\p{Z}|\\-]+\\z"))
     trimmed = F.regexp_replace(F.regexp_replace(strip(F.col("line")), "\\A\\|", ""), "\\|\\z", "")
-    return rows.select("block_id", "row", F.posexplode(F.split(trimmed, "\\|")).alias("col", "text")).withColumn("text", strip(F.col("text"))).withColumn("is_header", F.col("row") == 0)
+    return numbered_pieces(rows, F.transform(F.split(trimmed, "\\|"), strip), MARKDOWN)
 
 
 def valid_tables(cells: DataFrame) -> DataFrame:
-    sizes = cells.groupBy("block_id").agg((F.max("row") + 1).alias("n_rows"), (F.max("col") + 1).alias("n_cols"), F.count("*").alias("n_cells"))
-    return sizes.where((F.col("n_rows") >= 2) & (F.col("n_cols") >= 2) & (F.col("n_cells") >= MIN_CELLS) & (F.col("n_rows") <= MAX_ROWS) & (F.col("n_cols") <= MAX_COLS))
+    """Tables within the limits of size and confidence."""
+    sizes = cells.groupBy("block_id").agg(F.max("n_rows").alias("n_rows"), F.max("n_cols").alias("n_cols"), F.count("*").alias("n_cells"), F.max("confidence").alias("confidence"))
+    fits = (F.col("n_rows") >= 2) & (F.col("n_cols") >= 2) & (F.col("n_cells") >= MIN_CELLS) & (F.col("n_rows") <= MAX_ROWS) & (F.col("n_cols") <= MAX_COLS)
+    return sizes.where(fits & (F.col("confidence") >= MIN_CONFIDENCE)).select("block_id", "n_rows", "n_cols", "n_cells")
 
 
-def header_score(cells: DataFrame) -> DataFrame:
-    """Whether the first row reads like a header."""
-    word = F.lit(False)
-    for w in HEADER_WORDS:
-        word = word | F.upper("text").contains(w)
-    score = F.when(word, 1.0).otherwise(0.0) + F.when(F.length("text") < 50, 0.5).otherwise(0.0)
-    return cells.where("row = 0").groupBy("block_id").agg((F.sum(score) / F.count("*") > 0.5).alias("is_header"))
+def table_cells(lines: DataFrame, gap: int = 10) -> DataFrame:
+    """Cells of the table in each block of text: delimited, else space-aligned, else a grid; valid ones only.
 
+    The first detector that fits decides, also if its table is not valid.
+    """
+    spaced = spaced_cells(lines, gap).withColumn("order", F.lit(1))
+    parts = [delimited_cells(lines).withColumn("order", F.lit(0)), spaced, grid_cells(lines).withColumn("order", F.lit(2))]
+    first = F.min("order").over(Window.partitionBy("block_id"))
+    found = reduce(DataFrame.unionByName, parts).withColumn("first", first).where("order = first AND n_rows >= 2").drop("order", "first")
+    return found.join(valid_tables(found).select("block_id"), "block_id", "left_semi")
 
-def column_widths(cells: DataFrame, least: int = 10, most: int = 50) -> DataFrame:
-    return cells.groupBy("block_id", "col").agg(F.greatest(F.lit(least), F.least(F.lit(most), F.max(F.length("text")))).alias("width"))
 
+def vision_cells(lines: DataFrame) -> DataFrame:
+    """Cells of tables in a model's answer: pipe tables, else the delimited pieces of three matches or more of a table-like pattern."""
+    shown = lines.withColumn("pipes", F.sum(F.col("line").contains("|").cast("int")).over(Window.partitionBy("block_id")))
+    text = join_lines(shown.where("pipes < 3").select("block_id", "line_no", "line"), "block_id")
+    pieces = None
+    for pattern, group in TABLE_TEXT:
+        matches = F.regexp_extract_all("text", F.lit("(?d)" + wide(pattern)), F.lit(group))
+        value = F.when(F.size(matches) >= 3, matches)
+        pieces = value if pieces is None else F.coalesce(pieces, value)
+    found = text.select("block_id", F.posexplode(pieces).alias("line_no", "line"))
+    return markdown_cells(lines).unionByName(delimited_cells(found))
 
-def render_tables(cells: DataFrame, width: int = 12) -> DataFrame:
-    """Valid tables as Markdown with columns of one width."""
-    own = cells.join(valid_tables(cells).select("block_id"), "block_id", "left_semi")
-    ordered = F.array_sort(F.collect_list(F.struct("col", cell_pad(F.col("text"), width).alias("text"))))
-    rows = own.groupBy("block_id", "row").agg(F.concat(F.lit("| "), F.array_join(F.transform(ordered, lambda c: c["text"]), " | "), F.lit(" |")).alias("line"), F.count("*").alias("n"))
-    rule = F.concat(F.lit("|"), F.repeat(F.lit("-" * (width + 2) + "|"), F.col("n").cast("int")))
-    lines = rows.select("block_id", "row", F.when(F.col("row") == 0, F.concat("line", F.lit("\n"), rule)).otherwise(F.col("line")).alias("line"))
-    return lines.groupBy("block_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row", "line"))), lambda x: x["line"]), "\n").alias("markdown"))
 
+def cell_at(cells: DataFrame, places: DataFrame) -> DataFrame:
+    """cells(block_id, cell_no, row, col, rowspan, colspan, text), places(block_id, at_row, at_col) -> places, text of the first cell over each."""
+    over = F.col("at_row").between(F.col("row"), F.col("row") + F.col("rowspan") - 1) & F.col("at_col").between(F.col("col"), F.col("col") + F.col("colspan") - 1)
+    c = cells.withColumnRenamed("block_id", "cell_block")
+    joined = places.join(c, (F.col("block_id") == F.col("cell_block")) & over, "left")
+    return joined.groupBy("block_id", "at_row", "at_col").agg(F.min_by("text", "cell_no").alias("text"))
 
-def word_columns(lines: DataFrame, gap: int = 10) -> DataFrame:
-    """Column starts of space-aligned blocks: word starts cut into clusters at gaps of ``gap``."""
-    words = F.filter(F.transform(F.sequence(F.lit(1), F.greatest(F.length("line"), F.lit(1))), lambda i: F.when((F.substring("line", i, F.lit(1)) != " ") & ((i == 1) | (F.substring("line", i - 1, F.lit(1)) == " ")) & (F.length("line") > 0), i - 1)), lambda x: x.isNotNull())
-    starts = lines.select("block_id", F.explode(words).alias("start")).distinct()
-    w = Window.partitionBy("block_id").orderBy("start")
-    cluster = F.sum(F.when(F.col("start") - F.lag("start").over(w) >= gap, 1).otherwise(0)).over(w)
-    return starts.withColumn("cluster", cluster).groupBy("block_id", "cluster").agg(F.min("start").alias("start")).select("block_id", "cluster", "start")
 
+def header_score(cells: DataFrame) -> DataFrame:
+    """Whether the first row is marked as a header or reads like one."""
+    word = F.lit(False)
+    for w in HEADER_WORDS:
+        word = word | F.upper("text").contains(w)
+    score = F.when(word, 1.0).otherwise(0.0) + F.when(F.length("text") < 50, 0.5).otherwise(0.0)
+    return cells.where("row = 0").groupBy("block_id").agg((F.bool_or("is_header") | (F.sum(score) / F.count("*") > 0.5)).alias("is_header"))
 
-def has_pipes(text):
-    return count(text, "\\|") >= 3
 
+def table_matrix(cells: DataFrame) -> DataFrame:
+    """A row for every place of each table; cells cover their spans (if they have any), the last one wins, the rest is empty."""
+    spans = [F.col(c) if c in cells.columns else F.lit(1) for c in ("rowspan", "colspan")]
+    order = F.col("cell_no") if "cell_no" in cells.columns else F.struct("row", "col")
+    down = F.sequence("row", F.least(F.col("row") + spans[0], F.col("n_rows")) - 1)
+    across = F.sequence("col", F.least(F.col("col") + spans[1], F.col("n_cols")) - 1)
+    inside = cells.where("row < n_rows AND col < n_cols")
+    laid = inside.select("block_id", order.alias("order"), "text", F.explode(down).alias("row"), across.alias("across")).select("block_id", "order", "text", "row", F.explode("across").alias("col"))
+    top = laid.groupBy("block_id", "row", "col").agg(F.max_by("text", "order").alias("text"))
+    sizes = cells.groupBy("block_id").agg(F.max("n_rows").alias("n_rows"), F.max("n_cols").alias("n_cols"))
+    rows = sizes.select("block_id", "n_cols", F.explode(F.sequence(F.lit(0), F.col("n_rows") - 1)).alias("row"))
+    places = rows.select("block_id", "row", F.explode(F.sequence(F.lit(0), F.col("n_cols") - 1)).alias("col"))
+    return places.join(top, ["block_id", "row", "col"], "left").select("block_id", "row", "col", F.coalesce("text", F.lit("")).alias("text"))
 
-def spaced_cells(lines: DataFrame, gap: int = 10) -> DataFrame:
-    """Cells of space-aligned blocks: each line cut at the block's column starts, blank pieces left out."""
-    starts = word_columns(lines, gap)
-    w = Window.partitionBy("block_id").orderBy("start")
-    cuts = starts.select("block_id", "start", (F.row_number().over(w) - 1).alias("col"), F.lead("start").over(w).alias("stop"))
-    cuts = cuts.groupBy("block_id").agg(F.array_sort(F.collect_list(F.struct("col", "start", "stop"))).alias("cuts")).where(F.size("cuts") >= 2)
-    rows = lines.where(strip(F.col("line")) != "").withColumn("row", F.row_number().over(Window.partitionBy("block_id").orderBy("line_no")) - 1)
-    grid = rows.join(cuts, "block_id").select("block_id", "row", "line", F.inline("cuts"))
-    piece = strip(F.substring("line", F.col("start") + 1, F.coalesce(F.col("stop"), F.length("line")) - F.col("start")))
-    return grid.select("block_id", "row", "col", piece.alias("text"), (F.col("row") == 0).alias("is_header")).where("text <> ''")
 
+def column_width(least: int = 10, most: int = 50) -> Column:
+    return F.greatest(F.lit(least), F.least(F.lit(most), F.max(F.length("text"))))
 
-def grid_cells(lines: DataFrame) -> DataFrame:
-    """Cells of grid tables: blocks with two rules or more, the other lines cut at ``+``, empty pieces left out."""
-    rule = has(strip(F.col("line")), "\\A[+\\-|]+\\z")
-    own = lines.where(strip(F.col("line")) != "").withColumn("is_rule", rule)
-    own = own.withColumn("rules", F.sum(F.col("is_rule").cast("int")).over(Window.partitionBy("block_id"))).where("rules >= 2 AND NOT is_rule")
-    own = own.withColumn("row", F.row_number().over(Window.partitionBy("block_id").orderBy("line_no")) - 1)
-    pieces = F.filter(F.transform(F.split("line", "\\+"), strip), lambda x: x != "")
-    return own.select("block_id", "row", F.posexplode(pieces).alias("col", "text")).withColumn("is_header", F.col("row") == 0)
+
+def column_widths(cells: DataFrame, least: int = 10, most: int = 50) -> DataFrame:
+    return cells.groupBy("block_id", "col").agg(column_width(least, most).alias("width"))
+
+
+def render_tables(cells: DataFrame, least: int = 10, most: int = 50) -> DataFrame:
+    """cells -> block_id, markdown: each column at its width, the first row centred above a rule, the others by their content."""
+    placed = table_matrix(cells)
+    placed = placed.join(column_widths(placed, least, most), ["block_id", "col"])
+    head = centre(cut_cell(F.col("text"), F.col("width")), F.col("width"))
+    cell = F.concat(F.lit(" "), F.when(F.col("row") == 0, head).otherwise(cell_pad(F.col("text"), F.col("width"))), F.lit(" "))
+    rule = F.repeat(F.lit("-"), F.col("width") + 2)
+    joined = lambda c, n: F.concat(F.lit("|"), F.array_join(F.transform(c, lambda x: x[n]), "|"), F.lit("|"))
+    rows = placed.groupBy("block_id", "row").agg(F.array_sort(F.collect_list(F.struct("col", cell.alias("cell"), rule.alias("rule")))).alias("cells"))
+    line = F.when(F.col("row") == 0, F.concat(joined(F.col("cells"), "cell"), F.lit("\n"), joined(F.col("cells"), "rule"))).otherwise(joined(F.col("cells"), "cell"))
+    return join_lines(rows.select("block_id", F.col("row").alias("line_no"), line.alias("line")), "block_id").withColumnRenamed("text", "markdown")
+
+
+def format_elements(docs: DataFrame, gap: int = 10) -> DataFrame:
+    """docs(doc_id, text) -> doc_id, text: the table that each text is, or the text between line ends."""
+    made = render_tables(table_cells(explode_lines(docs).withColumnRenamed("doc_id", "block_id"), gap)).withColumnRenamed("block_id", "made_id")
+    other = F.concat(F.lit("\n"), F.coalesce("text", F.lit("")), F.lit("\n"))
+    return docs.join(made, F.col("doc_id") == F.col("made_id"), "left").select("doc_id", F.coalesce("markdown", other).alias("text"))
+
+
+def format_tables(docs: DataFrame) -> DataFrame:
+    """docs(doc_id, text) -> doc_id, text with the tables among its lines rendered.
+
+    Runs of lines with a pipe, two commas or two tabs are taken in pieces of
+    20 (the first of 19 where a line precedes); pieces of three lines or more
+    that hold a table are replaced by it, all other lines stay.
+    """
+    line = F.col("line")
+    marks = lambda c: F.length(line) - F.length(F.replace(line, F.lit(c), F.lit("")))
+    lines = explode_lines(docs).withColumn("marked", line.contains("|") | (marks(",") >= 2) | (marks("\t") >= 2))
+    run = F.col("line_no") - F.row_number().over(Window.partitionBy("doc_id", "marked").orderBy("line_no"))
+    own = lines.withColumn("run", run).where("marked")
+    start = F.min("line_no").over(Window.partitionBy("doc_id", "run"))
+    own = own.withColumn("start", start).withColumn("at", F.col("line_no") - F.col("start") + F.when(F.col("start") > 0, 1).otherwise(0))
+    own = own.withColumn("piece", F.floor(F.col("at") / TABLE_LINES).cast("int"))
+    w = Window.partitionBy("doc_id", "run", "piece")
+    own = own.withColumns({"first": F.min("line_no").over(w), "n": F.count("*").over(w)}).where("n >= 3")
+    block = own.select(F.struct("doc_id", F.col("first").alias("line_no")).alias("block_id"), "line_no", "line")
+    made = render_tables(vision_cells(block)).select("block_id.*", "markdown")
+    spots = own.join(made.select("doc_id", F.col("line_no").alias("first"), "markdown"), ["doc_id", "first"]).select("doc_id", "line_no", "first", "markdown")
+    left = lines.join(spots, ["doc_id", "line_no"], "left").where("first IS NULL OR first = line_no")
+    return join_lines(left.select("doc_id", "line_no", F.coalesce("markdown", "line").alias("line")))

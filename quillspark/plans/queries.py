@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import classify as C
 from ..functions.patterns import strip as col_strip
-from ..operators import code, elements, inference, mathx, metrics, outline, tables
+from ..operators import elements, inference, metrics, outline
 from ..sources import corpus
 from ..streaming import jobs as job_stream
 from . import sql as D
@@ -110,25 +110,7 @@ per_document("p24_markdown_tidy", "markdown", C.markdown_tidy, _tidy())
 per_document("p25_output_problem", "problem", C.output_problem, f"CASE WHEN length({D.strip(T)}) = 0 THEN 'empty' WHEN length({D.strip(T)}) < 10 THEN 'short' WHEN length({D.strip(T)}) > 100000 THEN 'long' END")
 per_document("p26_has_markdown", "structured", C.has_markdown, D.holds(T, *C.MARKDOWN))
 per_document("p30_latex_problems", "problems", lambda t: F.array_join(C.latex_problems(t), ","), f"array_to_string({_latex_problems()}, ',')")
-per_document("p31_symbols_to_latex", "latex", C.symbols_to_latex, _symbols())
-per_document("p35_cell_pad", "cell", lambda t: F.concat(F.left(t, F.lit(17)), F.lit("...")), "left(text, 17) || '...'")
-per_document("p42_cache_key", "key", lambda t: F.left(F.sha2(t, 256), F.lit(16)), "left(sha256(text), 16)")
-per_document("k07_base64", "encoded", lambda t: F.md5(F.translate(F.base64(t.cast("binary")), "\r\n", "")), "md5(to_base64(encode(text)))")
-per_document("a23_output_size", "bytes", lambda t: F.octet_length(t).cast("long"), "CAST(strlen(text) AS BIGINT)")
 per_document("p08_extraction_quality", "quality", lambda t: C.extraction_quality(t, col_strip(t)), f"(SELECT round({D.clamp(f'(least(length(greatest(a, b)) / 1000.0::DOUBLE, 1) + CASE WHEN length(a) > 0 AND length(b) > 0 THEN 1 - abs(length(a) - length(b)) / greatest(length(a), length(b))::DOUBLE ELSE 0.5::DOUBLE END - {D.count('a || b', '[\\x00\\x0c\\x14]')} / 100.0::DOUBLE) / 2')}, 6) FROM (SELECT text AS a, {D.strip(T)} AS b))")
-per_document("p23_raw_fallback", "markdown", lambda t: F.concat(F.lit("# Page 1\n\n"), F.coalesce(F.nullif(t, F.lit("")), F.lit("*Content extraction failed*"))), "'# Page 1' || chr(10) || chr(10) || coalesce(nullif(text, ''), '*Content extraction failed*')")
-
-
-@query("p13_prompts", "SELECT doc_id, concat_ws(' ', 'Convert this page to Markdown.', CASE WHEN contains(text, '|') THEN 'Keep tables.' END, CASE WHEN contains(text, '$') THEN 'Keep mathematics.' END) AS prompt FROM documents")
-def prompts(spark, sf_dir):
-    t = F.col("text")
-    return corpus.table(spark, sf_dir, "documents").select("doc_id", F.concat_ws(" ", F.lit("Convert this page to Markdown."), F.when(t.contains("|"), "Keep tables."), F.when(t.contains("$"), "Keep mathematics.")).alias("prompt"))
-
-
-@query("s01_validate_inputs", "SELECT page_id, CASE WHEN NOT ends_with(lower(url), '.html') THEN 'suffix' WHEN strlen(html) = 0 THEN 'empty' WHEN strlen(html) > 20000 THEN 'too large' END AS error FROM pages")
-def validate_inputs(spark, sf_dir):
-    error = F.when(~F.lower("url").endswith(".html"), "suffix").when(F.octet_length("html") == 0, "empty").when(F.octet_length("html") > 20_000, "too large")
-    return corpus.table(spark, sf_dir, "pages").select("page_id", error.alias("error"))
 
 
 # elements ---------------------------------------------------------------
@@ -143,6 +125,9 @@ E = """WITH elements AS (
 KINDS = ", ".join(f"count(*) FILTER (content_type = '{k}') AS n_{k.lower()}" for k in ("TEXT", "TABLE", "MATHEMATICAL", "CODE"))
 
 
+TYPE = f"CASE WHEN n_mathematical > n_elements * 0.1::DOUBLE THEN '{elements.TYPES[0]}' WHEN n_code > n_elements * 0.1::DOUBLE THEN '{elements.TYPES[1]}' WHEN n_table > n_elements * 0.2::DOUBLE THEN '{elements.TYPES[2]}' ELSE '{elements.TYPES[3]}' END"
+
+
 def over_elements(name: str, build: Callable[[DataFrame], DataFrame], oracle: str) -> None:
     QUERIES[name] = lambda spark, sf_dir: build(corpus.elements(spark, sf_dir))
     ORACLES[name] = E + oracle
@@ -151,16 +136,11 @@ def over_elements(name: str, build: Callable[[DataFrame], DataFrame], oracle: st
 over_elements("a02_type_counts", lambda e: elements.type_counts(e, "doc_id"), f"SELECT doc_id, count(*) AS n_elements, {KINDS} FROM elements GROUP BY doc_id")
 over_elements("a02b_type_rollup", lambda e: e.rollup("page_number", "content_type").agg(F.count("*").alias("n")), "SELECT page_number, content_type, count(*) AS n FROM elements GROUP BY ROLLUP (page_number, content_type)")
 over_elements("a04_complex_layout", elements.complex_layout, f"SELECT doc_id, count(*) > 5 OR max(n_elements) > 10 OR sum(n_table) > 0 OR sum(n_mathematical) > 0 AS is_complex FROM (SELECT doc_id, page_number, count(*) AS n_elements, {KINDS} FROM elements GROUP BY ALL) GROUP BY doc_id")
-over_elements("a05_characteristics", elements.characteristics, f"SELECT *, CASE WHEN n_mathematical / n_elements::DOUBLE > 0.1 THEN 'mathematical' WHEN n_code / n_elements::DOUBLE > 0.1 THEN 'code' WHEN n_table / n_elements::DOUBLE > 0.2 THEN 'tabular' ELSE 'text' END AS document_type FROM (SELECT doc_id, count(*) AS n_elements, {KINDS} FROM elements GROUP BY doc_id)")
 over_elements("a06_font_statistics", lambda e: e.groupBy("doc_id").agg(F.round(F.avg("font_size"), 6).alias("avg_font"), F.max("font_size").alias("max_font"), F.min("font_size").alias("min_font"), F.count("*").alias("n")), "SELECT doc_id, round(avg(font_size), 6) AS avg_font, max(font_size) AS max_font, min(font_size) AS min_font, count(*) AS n FROM elements GROUP BY doc_id")
-over_elements("a07_page_summary", elements.page_summary, f"SELECT doc_id, page_number, count(*) AS n_elements, {KINDS}, count(x0) AS n_placed, round(avg(confidence), 6) AS avg_confidence FROM elements GROUP BY doc_id, page_number")
 WEIGHT = "CASE content_type WHEN 'TEXT' THEN 0.3::DOUBLE WHEN 'TABLE' THEN 0.25::DOUBLE WHEN 'MATHEMATICAL' THEN 0.2::DOUBLE WHEN 'CODE' THEN 0.15::DOUBLE ELSE 0.1::DOUBLE END"
 over_elements("a08_page_confidence", elements.page_confidence, f"SELECT doc_id, page_number, round(sum(confidence * {WEIGHT}) / sum({WEIGHT}), 6) AS confidence FROM elements GROUP BY doc_id, page_number")
-over_elements("p15_ocr_fallback", elements.ocr_fallback, "SELECT doc_id, page_number, avg(confidence) < 0.5::DOUBLE AS needs_ocr FROM elements GROUP BY doc_id, page_number")
 over_elements("p21_font_headings", lambda e: e.select("doc_id", "elem_no", elements.heading(F.col("content_type"), F.col("font_size")).alias("line")), "SELECT doc_id, elem_no, CASE WHEN font_size > 16 THEN '### ' WHEN font_size > 14 THEN '#### ' ELSE '' END || content_type AS line FROM elements")
-over_elements("p27_violations", elements.violations, "SELECT doc_id, elem_no, 'font' AS problem FROM elements WHERE font_size > 17 UNION ALL SELECT doc_id, elem_no, 'place' FROM elements WHERE x0 IS NULL")
 over_elements("o01_reading_order", elements.reading_order, "SELECT doc_id, page_number, string_agg(CAST(elem_no AS VARCHAR), ',' ORDER BY x0 IS NULL, y0, x0, elem_no) AS reading_order FROM elements GROUP BY doc_id, page_number")
-over_elements("s16_page_range", lambda e: e.where(F.col("page_number").between(1, 3)).select("doc_id", "page_number", "elem_no"), "SELECT doc_id, page_number, elem_no FROM elements WHERE page_number BETWEEN 1 AND 3")
 over_elements("j02_reconcile", lambda e: elements.reconcile(e, e.where("confidence > 0.7")), """, a AS (SELECT doc_id, count(DISTINCT page_number) AS old_pages, count(*) AS old_elements FROM elements GROUP BY doc_id),
 b AS (SELECT doc_id, count(DISTINCT page_number) AS new_pages, count(*) AS new_elements FROM elements WHERE confidence > 0.7 GROUP BY doc_id),
 c AS (SELECT doc_id, coalesce(old_pages, 0) AS old_pages, coalesce(old_elements, 0) AS old_elements, coalesce(new_pages, 0) AS new_pages, coalesce(new_elements, 0) AS new_elements FROM a FULL JOIN b USING (doc_id))
@@ -178,9 +158,11 @@ kept AS (SELECT * FROM words WHERE conf > 0 AND trim(text) <> '')
 """
 
 
-@query("a10_words_text", O + "SELECT image_id, string_agg(text, ' ' ORDER BY word_no, text) AS text, round(avg(conf) / 100, 6) AS confidence, count(*) AS n_words FROM kept GROUP BY image_id")
+@query("a10_words_text", O + """SELECT image_id, string_agg(text, ' ' ORDER BY word_no, text, "left", top) AS text, round(avg(conf) / 100, 6) AS confidence, count(*) AS n_words,
+string_agg("left" || ',' || top || ',' || ("left" + width) || ',' || (top + height), ';' ORDER BY word_no, text, "left", top) AS boxes FROM kept GROUP BY image_id""")
 def words_text(spark, sf_dir):
-    return elements.words_text(corpus.ocr_words(spark, sf_dir))
+    found = elements.words_text(corpus.ocr_words(spark, sf_dir))
+    return found.withColumn("boxes", F.array_join(F.transform("boxes", lambda b: F.array_join(b.cast("array<string>"), ",")), ";"))
 
 
 @query("a11_word_lines", O + """SELECT image_id, line_num, string_agg(text, ' ' ORDER BY "left", word_no, text) AS text, min("left") AS x0, min(top) AS y0, max("left" + width) AS x1, max(top + height) AS y1, round(avg(conf) / 100, 6) AS confidence, count(*) AS n_words FROM kept GROUP BY image_id, line_num""")
@@ -195,7 +177,7 @@ def polygon_boxes(spark, sf_dir):
 
 # operations, jobs, caches -----------------------------------------------
 
-V = """WITH ops AS (SELECT event_type AS op, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS seq, value AS duration, event_id % 7 <> 0 AS success, ts FROM events),
+V = """WITH ops AS (SELECT event_type AS op, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS seq, value AS duration, event_id % 7 <> 0 AS success, ts FROM events),
 metrics AS (
   SELECT op, calls, total_time, min_time, max_time, errors, round((calls - errors) / calls::DOUBLE, 6) AS success_rate, round(total_time / last_ok, 6) AS avg_time
   FROM (SELECT op, count(*) AS calls, round(coalesce(sum(duration) FILTER (success), 0), 6) AS total_time, min(duration) FILTER (success) AS min_time, max(duration) FILTER (success) AS max_time,
@@ -209,8 +191,6 @@ def over_events(name: str, build: Callable[[DataFrame], DataFrame], oracle: str)
 
 
 over_events("a15_operation_metrics", metrics.operation_metrics, "SELECT * FROM metrics")
-over_events("a17_slowest", lambda e: metrics.slowest(metrics.operation_metrics(e), 3), "SELECT op, avg_time FROM metrics ORDER BY avg_time DESC, op LIMIT 3")
-over_events("a19_recommendations", lambda e: metrics.recommendations(metrics.operation_metrics(e)), "SELECT op, 'slow' AS advice FROM metrics WHERE avg_time > 5 UNION ALL SELECT op, 'unreliable' FROM metrics WHERE success_rate < 0.95")
 over_events("w04_recent_average", metrics.recent_average, "SELECT op, round(avg(duration), 6) AS recent_avg FROM (SELECT *, row_number() OVER (PARTITION BY op ORDER BY seq DESC) AS r FROM ops WHERE success) WHERE r <= 10 GROUP BY op")
 over_events("x06_sampling_windows", job_stream.windowed, "SELECT time_bucket(INTERVAL '1 hour', ts) AS begin, op, count(*) AS n, round(max(duration), 6) AS peak FROM ops GROUP BY 1, 2")
 
@@ -243,7 +223,7 @@ def over_cache(name: str, build: Callable[[DataFrame], DataFrame], oracle: str)
 
 
 over_cache("a22_cache_statistics", lambda c: metrics.cache_statistics(c, 5_000_000), "SELECT cache, count(*) AS entries, CAST(sum(size_bytes) AS BIGINT) AS bytes, round(sum(size_bytes) / 1048576.0::DOUBLE, 4) AS megabytes, round(100 * sum(size_bytes) / 5000000.0::DOUBLE, 4) AS percent_used, CAST(sum(access_count) AS BIGINT) AS accesses FROM entries GROUP BY cache")
-over_cache("w07_evictions", lambda c: metrics.evictions(c, 200_000, 50_000), "SELECT cache, entry_id, size_bytes FROM (SELECT *, sum(size_bytes) OVER (PARTITION BY cache) AS used, coalesce(sum(size_bytes) OVER (PARTITION BY cache ORDER BY last_access, entry_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS freed FROM entries) WHERE used - freed + 50000 > 200000")
+over_cache("w07_evictions", lambda c: metrics.evictions(c, 200_000, 50_000, bucket=10_000), "SELECT cache, entry_id, size_bytes FROM (SELECT *, sum(size_bytes) OVER (PARTITION BY cache) AS used, coalesce(sum(size_bytes) OVER (PARTITION BY cache ORDER BY last_access, entry_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS freed FROM entries) WHERE used - freed + 50000 > 200000")
 over_cache("w09_oldest_entry", lambda c: c.groupBy("cache").agg(F.min_by("entry_id", F.struct("last_access", "entry_id")).alias("entry_id")), "SELECT cache, arg_min(entry_id, (last_access, entry_id)) AS entry_id FROM entries GROUP BY cache")
 over_cache("p43_expired", lambda c: c.where(100_003 - F.col("last_access") > 50_000).select("key"), "SELECT key FROM entries WHERE 100003 - last_access > 50000")
 over_cache("j04_store_lookup", lambda c: metrics.lookup(c.select("key"), c.where("entry_id % 3 = 0").select("key", F.col("entry_id").alias("value")), c.where("entry_id % 2 = 0").select("key", F.col("entry_id").alias("value"))), "SELECT key, CASE WHEN entry_id % 3 = 0 OR entry_id % 2 = 0 THEN entry_id END AS value, CASE WHEN entry_id % 3 = 0 THEN 'memory' WHEN entry_id % 2 = 0 THEN 'store' ELSE 'miss' END AS tier FROM entries")
@@ -279,122 +259,10 @@ QUERIES["h03_render_outline"] = lambda spark, sf_dir: corpus.join_lines(outline.
 ORACLES["h03_render_outline"] = L + "SELECT doc_id, string_agg(new, chr(10) ORDER BY line_no) AS text FROM lines GROUP BY doc_id"
 QUERIES["h04_outline_counts"] = lambda spark, sf_dir: outline.structured_lines(outline_text(spark, sf_dir)).groupBy("content_type").count().withColumnRenamed("count", "n")
 ORACLES["h04_outline_counts"] = L + "SELECT content_type, count(*) AS n FROM lines WHERE content_type IS NOT NULL GROUP BY 1"
-QUERIES["h05_line_census"] = lambda spark, sf_dir: outline.line_census(corpus.explode_lines(corpus.table(spark, sf_dir, "documents")))
-ORACLES["h05_line_census"] = "WITH l AS (SELECT unnest(string_split(text, chr(10))) AS line FROM documents) SELECT " + ", ".join(f"count(*) FILTER ({c}) AS {n}" for n, c in {"dots": D.has("line", "\\.{3,}"), "pipes": f"{D.count('line', '\\|')} >= 3", "tabs": "contains(line, chr(9))", "spaces": D.has("line", " {3,}"), "tasks": "contains(line, 'Task')", "domains": D.has("line", "DOMAIN.*%"), "bullets": "contains(line, '•')", "percents": "contains(line, '%')"}.items()) + " FROM l"
 QUERIES["a01_line_round_trip"] = lambda spark, sf_dir: corpus.join_lines(corpus.explode_lines(corpus.table(spark, sf_dir, "documents")))
 ORACLES["a01_line_round_trip"] = "SELECT doc_id, text FROM documents"
 
 
-def blocks(spark: SparkSession, sf_dir: str, sep: str) -> DataFrame:
-    """Parts of each brand as delimited lines."""
-    p = corpus.table(spark, sf_dir, "part")
-    row = F.row_number().over(Window.partitionBy("p_brand").orderBy("p_partkey"))
-    line = F.concat_ws(sep, F.col("p_partkey").cast("string"), "p_type", F.col("p_size").cast("string"))
-    return p.select(F.col("p_brand").alias("block_id"), row.alias("line_no"), line.alias("line"), "p_partkey").where("line_no <= 40").drop("p_partkey")
-
-
-def block_sql(values: str) -> str:
-    return f"WITH rows AS (SELECT p_brand AS block_id, CAST(row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS INTEGER) AS line_no, {values} AS cells FROM part), cells AS (SELECT block_id, line_no - 1 AS row, CAST(i - 1 AS INTEGER) AS col, cells[i] AS text FROM rows, range(1, 4) t(i) WHERE line_no <= 40)\n"
-
-
-B = block_sql("[CAST(p_partkey AS VARCHAR), p_type, CAST(p_size AS VARCHAR)]")
-QUERIES["t02_delimiter"] = lambda spark, sf_dir: tables.detect_delimiter(blocks(spark, sf_dir, ";"))
-ORACLES["t02_delimiter"] = B + "SELECT block_id, ';' AS delimiter, 2 AS per_line FROM cells GROUP BY block_id HAVING count(*) > 3"
-QUERIES["t03_delimited_cells"] = lambda spark, sf_dir: tables.delimited_cells(blocks(spark, sf_dir, ","))
-ORACLES["t03_delimited_cells"] = B + "SELECT block_id, row, col, text, row = 0 AS is_header FROM cells WHERE block_id IN (SELECT block_id FROM cells GROUP BY 1 HAVING count(*) > 3)"
-
-
-def pipe_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = blocks(spark, sf_dir, " | ").withColumn("line", F.concat(F.lit("| "), "line", F.lit(" |")))
-    rule = lines.where("line_no = 1").select("block_id", F.lit(0).alias("line_no"), F.lit("|---|---|---|").alias("line"))
-    return lines.unionByName(rule)
-
-
-QUERIES["t07_markdown_cells"] = lambda spark, sf_dir: tables.markdown_cells(pipe_blocks(spark, sf_dir))
-ORACLES["t07_markdown_cells"] = B + "SELECT block_id, row, col, text, row = 0 AS is_header FROM cells WHERE block_id IN (SELECT block_id FROM cells GROUP BY 1 HAVING count(*) >= 6)"
-QUERIES["t09_valid_tables"] = lambda spark, sf_dir: tables.valid_tables(tables.markdown_cells(pipe_blocks(spark, sf_dir)))
-ORACLES["t09_valid_tables"] = B + "SELECT block_id, max(row) + 1 AS n_rows, 3 AS n_cols, count(*) AS n_cells FROM cells GROUP BY block_id HAVING count(*) >= 6"
-QUERIES["t11_header_score"] = lambda spark, sf_dir: tables.header_score(tables.markdown_cells(pipe_blocks(spark, sf_dir)))
-ORACLES["t11_header_score"] = B + "SELECT block_id, sum(CASE WHEN " + " OR ".join(f"contains(upper(text), '{w}')" for w in tables.HEADER_WORDS) + " THEN 1 ELSE 0 END + CASE WHEN length(text) < 50 THEN 0.5 ELSE 0 END) / count(*) > 0.5 AS is_header FROM cells WHERE row = 0 AND block_id IN (SELECT block_id FROM cells GROUP BY 1 HAVING count(*) >= 6) GROUP BY block_id"
-QUERIES["t13_column_widths"] = lambda spark, sf_dir: tables.column_widths(tables.markdown_cells(pipe_blocks(spark, sf_dir)))
-ORACLES["t13_column_widths"] = B + "SELECT block_id, col, CAST(greatest(10, least(50, max(length(text)))) AS INTEGER) AS width FROM cells WHERE block_id IN (SELECT block_id FROM cells GROUP BY 1 HAVING count(*) >= 6) GROUP BY block_id, col"
-PAD = "CASE WHEN regexp_matches(t, '^[0-9]+$') THEN lpad(t, 12, ' ') WHEN length(t) < 6 AND NOT contains(t, ' ') THEN repeat(' ', (12 - length(t)) // 2) || t || repeat(' ', 12 - length(t) - (12 - length(t)) // 2) ELSE rpad(t, 12, ' ') END"
-QUERIES["t14_render_tables"] = lambda spark, sf_dir: tables.render_tables(tables.markdown_cells(pipe_blocks(spark, sf_dir)))
-ORACLES["t14_render_tables"] = B + f", padded AS (SELECT block_id, row, col, {PAD} AS cell FROM (SELECT *, CASE WHEN length(text) > 12 THEN left(text, 9) || '...' ELSE text END AS t FROM cells)), lines AS (SELECT block_id, row, '| ' || string_agg(cell, ' | ' ORDER BY col) || ' |' || CASE WHEN row = 0 THEN chr(10) || '|' || repeat(repeat('-', 14) || '|', 3) ELSE '' END AS line, count(*) AS n FROM padded GROUP BY block_id, row) SELECT block_id, string_agg(line, chr(10) ORDER BY row) AS markdown FROM lines GROUP BY block_id HAVING sum(n) >= 6"
-
-
-def grid_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts of each brand as grid tables."""
-    lines = blocks(spark, sf_dir, " + ").withColumn("line", F.concat(F.lit("+ "), "line", F.lit(" +")))
-    rules = lines.where("line_no = 1").select("block_id", F.explode(F.array(F.lit(0), F.lit(100))).alias("line_no"), F.lit("+---+---+---+").alias("line"))
-    return lines.unionByName(rules)
-
-
-def spaced_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts of each brand in columns of 40 characters."""
-    p = corpus.table(spark, sf_dir, "part")
-    row = F.row_number().over(Window.partitionBy("p_brand").orderBy("p_partkey"))
-    line = F.concat(F.rpad(F.col("p_partkey").cast("string"), 40, " "), F.rpad(F.translate("p_type", " ", "_"), 40, " "), F.col("p_size").cast("string"))
-    return p.select(F.col("p_brand").alias("block_id"), row.alias("line_no"), line.alias("line")).where("line_no <= 40")
-
-
-QUERIES["t05_spaced_cells"] = lambda spark, sf_dir: tables.spaced_cells(spaced_blocks(spark, sf_dir))
-ORACLES["t05_spaced_cells"] = block_sql("[CAST(p_partkey AS VARCHAR), replace(p_type, ' ', '_'), CAST(p_size AS VARCHAR)]") + "SELECT block_id, row, col, text, row = 0 AS is_header FROM cells"
-QUERIES["t04_word_columns"] = lambda spark, sf_dir: tables.word_columns(spaced_blocks(spark, sf_dir)).select("block_id", F.col("start").cast("int").alias("start"))
-ORACLES["t04_word_columns"] = "SELECT p_brand AS block_id, CAST(start AS INTEGER) AS start FROM (SELECT DISTINCT p_brand FROM part), (VALUES (0), (40), (80)) v(start)"
-QUERIES["t06_grid_cells"] = lambda spark, sf_dir: tables.grid_cells(grid_blocks(spark, sf_dir))
-ORACLES["t06_grid_cells"] = B + "SELECT block_id, row, col, text, row = 0 AS is_header FROM cells"
-
-
-def code_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A snippet for each order between two lines of prose; its language turns with the key."""
-    k = F.col("o_orderkey")
-    s = k.cast("string")
-    python = F.array(F.concat(F.lit("def f"), s, F.lit("(x):")), F.lit("    import math"), F.lit("    print(len(x))"))
-    sql = F.array(F.concat(F.lit("SELECT a, SUM(b)"), F.lit(",")), F.concat(F.lit("FROM t"), s, F.lit(",")), F.lit("WHERE a > 1 GROUP BY a;"))
-    bash = F.array(F.lit("#!/bin/bash"), F.lit("if [ -f x ]; then"), F.concat(F.lit("echo $v"), s, F.lit(";")), F.lit("fi;"))
-    none = F.array(F.lit("quiet words stay here"), F.lit("and more words"))
-    body = F.when(k % 4 == 0, python).when(k % 4 == 1, sql).when(k % 4 == 2, bash).otherwise(none)
-    lines = F.concat(F.array(F.lit("A plain line of words"), F.lit("")), body, F.array(F.lit(""), F.lit("The last words")))
-    return corpus.table(spark, sf_dir, "orders").select(k.alias("doc_id"), F.posexplode(lines).alias("line_no", "line"))
-
-
-N = """WITH blocks AS (
-  SELECT o_orderkey AS doc_id, 2 AS start_line, CASE WHEN o_orderkey % 4 = 2 THEN 5 ELSE 4 END AS end_line,
-    CASE o_orderkey % 4 WHEN 0 THEN 'def f' || o_orderkey || '(x):' || chr(10) || '    import math' || chr(10) || '    print(len(x))'
-      WHEN 1 THEN 'SELECT a, SUM(b),' || chr(10) || 'FROM t' || o_orderkey || ',' || chr(10) || 'WHERE a > 1 GROUP BY a;'
-      WHEN 2 THEN '#!/bin/bash' || chr(10) || 'if [ -f x ]; then' || chr(10) || 'echo $v' || o_orderkey || ';' || chr(10) || 'fi;' END AS code,
-    CASE o_orderkey % 4 WHEN 0 THEN 'python' WHEN 1 THEN 'sql' WHEN 2 THEN 'bash' END AS language
-  FROM orders)
-"""
-QUERIES["c01_code_regions"] = lambda spark, sf_dir: code.code_regions(code_text(spark, sf_dir))
-ORACLES["c01_code_regions"] = N + "SELECT doc_id, start_line, end_line, code FROM blocks WHERE code IS NOT NULL"
-QUERIES["c04_code_languages"] = lambda spark, sf_dir: code.code_blocks(code_text(spark, sf_dir)).select("doc_id", "start_line", "language")
-ORACLES["c04_code_languages"] = N + "SELECT doc_id, start_line, language FROM blocks WHERE code IS NOT NULL"
-QUERIES["c06_rewrite_code"] = lambda spark, sf_dir: corpus.join_lines(code.rewrite_code(code_text(spark, sf_dir)))
-ORACLES["c06_rewrite_code"] = N + "SELECT doc_id, 'A plain line of words' || chr(10) || chr(10) || CASE WHEN code IS NULL THEN 'quiet words stay here' || chr(10) || 'and more words' ELSE '```' || language || chr(10) || code || chr(10) || '```' END || chr(10) || chr(10) || 'The last words' AS text FROM blocks"
-
-
-def math_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A sentence with a fraction, a power, an index, an inline formula and an equation for each line item."""
-    c = lambda n: F.col(n).cast("string")
-    text = F.concat(F.lit("ratio "), c("l_partkey"), F.lit("/"), c("l_suppkey"), F.lit(" and x^"), c("l_linenumber"), F.lit(" with a_"), c("l_linenumber"), F.lit(" is $q$ so y = "), c("l_partkey"), F.lit("*2"))
-    return corpus.table(spark, sf_dir, "lineitem").select((((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 100_000 + F.col("l_partkey")) * 10_000 + F.col("l_suppkey")).alias("doc_id"), text.alias("text")).distinct()
-
-
-M = """WITH parts AS (
-  SELECT DISTINCT ((l_orderkey * 10 + l_linenumber) * 100000 + l_partkey) * 10000 + l_suppkey AS doc_id, CAST(l_partkey AS VARCHAR) AS p, CAST(l_suppkey AS VARCHAR) AS s, CAST(l_linenumber AS VARCHAR) AS n FROM lineitem),
-spans AS (
-  SELECT doc_id, 4 AS rule, p || '/' || s AS match, 'fraction' AS math_type, 'ratio ' AS head, '\\frac{' || p || '}{' || s || '}' AS latex FROM parts UNION ALL
-  SELECT doc_id, 5, 'x^' || n, 'superscript', 'ratio ' || p || '/' || s || ' and ', 'x^{' || n || '}' FROM parts UNION ALL
-  SELECT doc_id, 6, 'a_' || n, 'subscript', 'ratio ' || p || '/' || s || ' and x^' || n || ' with ', 'a_{' || n || '}' FROM parts UNION ALL
-  SELECT doc_id, 0, '$q$', 'inline', 'ratio ' || p || '/' || s || ' and x^' || n || ' with a_' || n || ' is ', '$q$' FROM parts UNION ALL
-  SELECT doc_id, 8, 'y = ' || p || '*2', 'equation', 'ratio ' || p || '/' || s || ' and x^' || n || ' with a_' || n || ' is $q$ so ', 'y = ' || p || '*2' FROM parts)
-"""
-QUERIES["m05_math_spans"] = lambda spark, sf_dir: mathx.outermost(mathx.math_spans(math_text(spark, sf_dir))).select("doc_id", "begin", "end", "match", "math_type", "latex")
-ORACLES["m05_math_spans"] = M + "SELECT doc_id, CAST(length(head) AS INTEGER) AS begin, CAST(length(head) + length(match) AS INTEGER) AS \"end\", match, math_type, latex FROM spans"
-QUERIES["m07_splice"] = lambda spark, sf_dir: mathx.splice(math_text(spark, sf_dir), mathx.outermost(mathx.math_spans(math_text(spark, sf_dir))))
-ORACLES["m07_splice"] = M + "SELECT doc_id, 'ratio \\frac{' || p || '}{' || s || '} and x^{' || n || '} with a_{' || n || '} is $q$ so y = ' || p || '*2' AS text FROM parts"
 QUERIES["x01_job_fold"] = lambda spark, sf_dir: job_stream.fold_jobs(job_stream.job_events(corpus.jobs(spark, sf_dir)))
 ORACLES["x01_job_fold"] = J + "SELECT job_id, status, created_at, CASE WHEN status <> 'pending' THEN created_at + INTERVAL 1 MINUTE END AS started_at, CASE WHEN status = 'completed' THEN 1::DOUBLE WHEN status = 'pending' THEN 0::DOUBLE ELSE 0.5::DOUBLE END AS progress FROM jobs"
 
@@ -426,7 +294,6 @@ def model_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["e01_model_replies"] = model_replies
 ORACLES["e01_model_replies"] = """SELECT page_id, CAST(length('{"model":"m","prompt":"Page ' || page_id || '","image":"' || coalesce(md5(html), '') || '","max_tokens":4096}') AS VARCHAR) AS text, 2::DOUBLE AS seconds, CAST(NULL AS VARCHAR) AS error, 1 AS attempts FROM pages"""
-over_events("w06_seconds_left", lambda e: e.where("seq <= 1000").select("op", "seq", F.round(inference.seconds_left(F.col("seq") * 0.5, F.col("seq"), F.lit(1000)), 6).alias("seconds_left")), "SELECT op, seq, round(greatest(0::DOUBLE, seq * 0.5::DOUBLE * 1000 / seq - seq * 0.5::DOUBLE), 6) AS seconds_left FROM ops WHERE seq <= 1000")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -434,12 +301,11 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = corpus.explode_lines(corpus.table(spark, sf_dir, "documents")).where("trim(line) <> ''")
     t = F.col("line")
     found = lines.select("doc_id", C.element_class(t).alias("content_type"), C.text_confidence(t).alias("confidence"))
-    kinds = elements.characteristics(found)
-    return kinds.join(found.groupBy("doc_id").agg(F.round(F.avg("confidence"), 6).alias("confidence")), "doc_id")
+    return elements.characteristics(found, F.round(F.avg("confidence"), 6).alias("confidence"))
 
 
 QUERIES["flagship_characteristics"] = flagship
 ORACLES["flagship_characteristics"] = f"""WITH lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS text FROM documents),
 elements AS (SELECT doc_id, {ELEMENT} AS content_type, {CONFIDENCE} AS confidence FROM lines WHERE trim(text) <> '')
-SELECT *, CASE WHEN n_mathematical / n_elements::DOUBLE > 0.1 THEN 'mathematical' WHEN n_code / n_elements::DOUBLE > 0.1 THEN 'code' WHEN n_table / n_elements::DOUBLE > 0.2 THEN 'tabular' ELSE 'text' END AS document_type
+SELECT *, {TYPE} AS document_type
 FROM (SELECT doc_id, count(*) AS n_elements, {KINDS}, round(avg(confidence), 6) AS confidence FROM elements GROUP BY doc_id)"""

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.rules import file_problem
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -24,9 +26,28 @@ def join_lines(lines: DataFrame, key: str = "doc_id", sep: str = "\n") -> DataFr
 def files(spark: SparkSession, path: str, pattern: str = "*.pdf", recursive: bool = True, max_bytes: int = 52_428_800) -> DataFrame:
     """Input files with the reason why one is not taken (null: it is)."""
     found = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", str(recursive).lower()).load(path)
-    error = F.when(~F.lower("path").endswith(".pdf"), "not a pdf").when(F.col("length") == 0, "empty").when(F.col("length") > max_bytes, "too large")
-    magic = F.when(F.substring("content", 1, 4) != F.encode(F.lit("%PDF"), "UTF-8"), "no pdf header")
-    return found.withColumn("error", F.coalesce(error, magic))
+    return found.withColumn("error", file_problem(F.col("path"), F.col("length"), F.col("content"), max_bytes))
+
+
+def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of text with their size, some blank: two line items to a line, four to a block."""
+    n, kept = F.col("l_linenumber"), F.col("l_quantity") <= 45
+    text = F.when(kept, F.concat("l_returnflag", F.lit("x "), F.col("l_partkey").cast("string"))).when(n % 2 == 0, " ").otherwise("")
+    return table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("doc_id"), (F.col("l_suppkey") % 5).cast("int").alias("page_number"), F.floor(n / 4).cast("int").alias("block_no"), F.floor((n % 4) / 2).cast("int").alias("line_no"),
+        F.struct(n, "l_partkey").alias("span_no"), text.alias("text"), F.when(F.col("l_discount") > 0.02, F.col("l_quantity")).otherwise(0.0).alias("size"),
+    )
+
+
+def document_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three pages for each order, some with odd sizes, numbers and methods."""
+    k = F.col("o_orderkey")
+    page = table(spark, sf_dir, "orders").select(k.alias("doc_id"), F.explode(F.array(*map(F.lit, range(3)))).alias("page_index"), F.col("o_custkey").alias("c"), F.col("o_orderpriority").alias("p"))
+    method = F.when(F.col("c") % 7 == 0, "failed").when(F.col("c") % 7 == 1, "ocr_fallback").when(F.col("c") % 7 == 2, "vlm")
+    return page.select(
+        "doc_id", "page_index", F.when(F.col("c") % 11 == 0, F.col("page_index") - 1).otherwise(F.col("page_index")).alias("page_number"), (F.col("c") % 13 * 50).cast("double").alias("width"), F.lit(792.0).alias("height"),
+        F.when(F.col("c") % 17 == 0, 0).otherwise(300).alias("dpi"), method.alias("processing_method"), F.when(F.col("page_index") > 0, F.col("p")).alias("raw_text"),
+    )
 
 
 def elements(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,8 +90,8 @@ def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    seq = F.row_number().over(Window.partitionBy("event_type").orderBy("ts", "event_id"))
-    return table(spark, sf_dir, "events").select(F.col("event_type").alias("op"), seq.alias("seq"), F.col("value").alias("duration"), (F.col("event_id") % 7 != 0).alias("success"), "ts", "user_id", "event_id")
+    """Calls of each operation; ``seq`` is the number that the source gives them."""
+    return table(spark, sf_dir, "events").select(F.col("event_type").alias("op"), F.col("event_id").alias("seq"), F.col("value").alias("duration"), (F.col("event_id") % 7 != 0).alias("success"), "ts", "user_id", "event_id")
 
 
 def cache_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
