@@ -24,7 +24,7 @@ def join_lines(lines: DataFrame, key: str = "doc_id", sep: str = "\n") -> DataFr
 
 
 def files(spark: SparkSession, path: str, pattern: str = "*.pdf", recursive: bool = True, max_bytes: int = 52_428_800) -> DataFrame:
-    """Input files with the reason why one is not taken (null: it is)."""
+    """Input files with the reason why one is not taken (null: it is); Spark itself passes over empty files."""
     found = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", str(recursive).lower()).load(path)
     return found.withColumn("error", file_problem(F.col("path"), F.col("length"), F.col("content"), max_bytes))
 
