@@ -53,7 +53,7 @@ def layout_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.layout_elements(corpus.spans(spark, sf_dir)).withColumn("font_size", F.round("font_size", 6))
 
 
-per_document("s08_better_text", "text", lambda t: rules.better_text(F.substring(t, F.lit(1), F.lit(200)), F.when(F.length(t) % 3 != 0, strip(t))), f"(SELECT CASE WHEN length(b) > length(a) THEN b ELSE a END FROM (SELECT left(text, 200) AS a, CASE WHEN length(text) % 3 <> 0 THEN {D.strip(T)} ELSE '' END AS b))")
+per_document("s08_better_text", "text", lambda t: rules.better_text(F.replace(t, F.lit("\n"), F.lit("")), F.when(F.length(t) % 3 != 0, strip(t))), f"(SELECT CASE WHEN length(b) > length(a) THEN b ELSE a END FROM (SELECT replace(text, {NL}, '') AS a, CASE WHEN length(text) % 3 <> 0 THEN {D.strip(T)} ELSE '' END AS b))")
 
 
 @query("s14_confident_text", O + f"SELECT image_id, string_agg(text, {NL} ORDER BY word_no, text) AS text FROM words WHERE conf > 50 GROUP BY image_id")
