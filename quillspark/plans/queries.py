@@ -244,20 +244,40 @@ def outline_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.select(F.col("n_nationkey").cast("long").alias("doc_id"), F.posexplode(lines).alias("line_no", "line"))
 
 
-L = """WITH lines AS (
-  SELECT CAST(n_nationkey AS BIGINT) AS doc_id, CAST(i - 1 AS INTEGER) AS line_no,
-    ['DOMAIN I ' || r_name || ' —' || n_nationkey || '%', 'Task ' || n_nationkey || ' Prepare ' || n_name, '• ' || n_name || ' of ' || r_name, 'Section about ' || n_name || ' ..... ' || n_nationkey, n_name || ': ' || n_nationkey || '%', 'plain ' || n_name, ''][i] AS line,
-    ['domain', 'task', 'bullet', 'table_of_contents', 'percentage_breakdown', NULL, NULL][i] AS content_type, [1, 2, 3, 1, 2, NULL, NULL][i] AS level,
-    ['I', CAST(n_nationkey AS VARCHAR), n_name || ' of ' || r_name, 'Section about ' || n_name, n_name, NULL, NULL][i] AS k1,
-    [r_name, 'Prepare ' || n_name, '', CAST(n_nationkey AS VARCHAR), n_nationkey || '%', NULL, NULL][i] AS k2, [n_nationkey || '%', '', '', '', '', NULL, NULL][i] AS k3,
-    ['## Domain I: ' || r_name || ' (' || n_nationkey || '%)', '### Task ' || n_nationkey || ': Prepare ' || n_name, '- ' || n_name || ' of ' || r_name, '- **Section about ' || n_name || '** ... Page ' || n_nationkey, '- **' || n_name || '**: ' || n_nationkey || '%', 'plain ' || n_name, ''][i] AS new
-  FROM nation JOIN region ON n_regionkey = r_regionkey, range(1, 8) t(i))
+def outline_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nations' outlines, and the lines of all documents."""
+    docs = corpus.explode_lines(corpus.table(spark, sf_dir, "documents"))
+    return outline_text(spark, sf_dir).withColumn("doc_id", -1 - F.col("doc_id")).unionByName(docs)
+
+
+RULES = {k: D.rx(p) for k, _, p in outline.LINE_RULES}
+
+
+def _key(kind: str, slot: int) -> str:
+    group = outline.KEYS[kind][slot]
+    if group is None:
+        return "''"
+    found = f"regexp_extract(s, {RULES[kind]}, {group})"
+    return D.strip(f"coalesce(nullif({found}, ''), regexp_extract(s, {RULES[kind]}, 3))" if (kind, slot) == ("domain", 0) else found)
+
+
+_SLOTS = ", ".join(f"CASE content_type {' '.join(f'WHEN {chr(39)}{k}{chr(39)} THEN {_key(k, n)}' for k in RULES)} END AS k{n + 1}" for n in range(3))
+L = f"""WITH nations AS (
+  SELECT -1 - CAST(n_nationkey AS BIGINT) AS doc_id, CAST(i - 1 AS INTEGER) AS line_no,
+    ['DOMAIN I ' || r_name || ' —' || n_nationkey || '%', 'Task ' || n_nationkey || ' Prepare ' || n_name, '• ' || n_name || ' of ' || r_name, 'Section about ' || n_name || ' ..... ' || n_nationkey, n_name || ': ' || n_nationkey || '%', 'plain ' || n_name, ''][i] AS line
+  FROM nation JOIN region ON n_regionkey = r_regionkey, range(1, 8) t(i)),
+raw AS (SELECT * FROM nations UNION ALL SELECT doc_id, CAST(unnest(range(0, len(string_split(text, chr(10))))) AS INTEGER), unnest(string_split(text, chr(10))) FROM documents),
+kinds AS (SELECT *, CASE {' '.join(f"WHEN s <> '' AND regexp_matches(s, {x}) THEN '{k}'" for k, x in RULES.items())} END AS content_type FROM (SELECT *, {D.strip('line')} AS s FROM raw)),
+lines AS (SELECT *, CASE content_type {' '.join(f"WHEN '{k}' THEN {n}" for k, n, _ in outline.LINE_RULES)} END AS level, {_SLOTS} FROM kinds),
+shown AS (SELECT *, CASE content_type WHEN 'domain' THEN '## Domain ' || k1 || ': ' || k2 || ' (' || k3 || ')'
+  WHEN 'task' THEN CASE WHEN k1 <> '' AND k2 <> '' THEN '### Task ' || k1 || ': ' || k2 WHEN k2 <> '' THEN '### ' || k2 ELSE '### ' || s END
+  WHEN 'bullet' THEN '- ' || k1 WHEN 'table_of_contents' THEN '- **' || k1 || '** ... Page ' || k2 WHEN 'percentage_breakdown' THEN '- **' || k1 || '**: ' || k2 ELSE line END AS new FROM lines)
 """
-QUERIES["h01_structured_lines"] = lambda spark, sf_dir: outline.structured_lines(outline_text(spark, sf_dir))
-ORACLES["h01_structured_lines"] = L + "SELECT doc_id, line_no, line, content_type, level, k1, k2, k3 FROM lines WHERE content_type IS NOT NULL"
-QUERIES["h03_render_outline"] = lambda spark, sf_dir: corpus.join_lines(outline.render_lines(outline_text(spark, sf_dir)))
-ORACLES["h03_render_outline"] = L + "SELECT doc_id, string_agg(new, chr(10) ORDER BY line_no) AS text FROM lines GROUP BY doc_id"
-QUERIES["h04_outline_counts"] = lambda spark, sf_dir: outline.structured_lines(outline_text(spark, sf_dir)).groupBy("content_type").count().withColumnRenamed("count", "n")
+QUERIES["h01_structured_lines"] = lambda spark, sf_dir: outline.structured_lines(outline_lines(spark, sf_dir))
+ORACLES["h01_structured_lines"] = L + "SELECT doc_id, line_no, s AS line, content_type, level, k1, k2, k3 FROM lines WHERE content_type IS NOT NULL"
+QUERIES["h03_render_outline"] = lambda spark, sf_dir: corpus.join_lines(outline.render_lines(outline_lines(spark, sf_dir)))
+ORACLES["h03_render_outline"] = L + "SELECT doc_id, string_agg(new, chr(10) ORDER BY line_no) AS text FROM shown GROUP BY doc_id"
+QUERIES["h04_outline_counts"] = lambda spark, sf_dir: outline.structured_lines(outline_lines(spark, sf_dir)).groupBy("content_type").count().withColumnRenamed("count", "n")
 ORACLES["h04_outline_counts"] = L + "SELECT content_type, count(*) AS n FROM lines WHERE content_type IS NOT NULL GROUP BY 1"
 QUERIES["a01_line_round_trip"] = lambda spark, sf_dir: corpus.join_lines(corpus.explode_lines(corpus.table(spark, sf_dir, "documents")))
 ORACLES["a01_line_round_trip"] = "SELECT doc_id, text FROM documents"
