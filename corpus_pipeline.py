@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quillspark.llm.common import materialise, new_path, read_table, scratch
 from quillspark.llm.copies import keep_one
@@ -15,7 +16,8 @@ from quillspark.llm.tokens import op2_tokens
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that the quality rules reject, and cut lines that are too frequent at their source."""
-    return kept_documents(docs)
+    kept = kept_documents(docs)
+    return kept.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in kept.columns else kept
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
