@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 import re
 from pathlib import Path
 
@@ -36,6 +37,21 @@ def test_stages(spark):
     assert [r.start for r in sorted(out, key=lambda r: r.start)][0] == 0
 
 
+def test_odd_tables(spark, tmp_path):
+    """No documents give no tokens; ids that repeat with several texts lose none of them."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame([], schema).write.parquet(str(tmp_path / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+    draw = random.Random(1)
+    texts = [" ".join(f"t{k}w{draw.randint(0, 9999)}" for _ in range(80)) for k in range(4)]
+    rows = [(5, texts[0], None, "a", 1), (5, texts[1], None, "a", 1), (7, texts[0] + " tail", None, "a", 1), (None, texts[2], "x", None, None), (9, None, None, None, None), (2**62, texts[3], None, "a", 1)]
+    docs = spark.createDataFrame(rows, schema)
+    for _, stage in corpus_pipeline.STAGES[:3]:
+        docs = stage(spark, docs, str(tmp_path))
+    assert sorted(((r.doc_id, r.text) for r in docs.collect()), key=repr) == sorted([(5, texts[0]), (5, texts[1]), (None, texts[2]), (2**62, texts[3])], key=repr)
+
+
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_oracle(spark, name):
     con = duckdb.connect()
