@@ -100,8 +100,3 @@ def replaced(text: Column, spans: Column) -> Column:
 def format_math(docs: DataFrame) -> DataFrame:
     """docs(doc_id, text) -> doc_id, text with its mathematics as LaTeX, from one scan without a shuffle."""
     return docs.select("doc_id", replaced(F.col("text"), outermost_of(span_array(F.col("text")))).alias("text"))
-
-
-def promoted(math_type: Column, text: Column, formula: Column) -> Column:
-    """Whether a formula becomes a display: an equation, integral or sum of over 20 characters that is delimited already."""
-    return math_type.isin("equation", "integral", "summation") & (F.length(text) > 20) & (formula.startswith("$") | formula.startswith("\\"))
