@@ -15,6 +15,7 @@ without touching other blocks.  ``doc_ids`` and ``ends`` give the documents.
 from __future__ import annotations
 
 import json
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -36,6 +37,8 @@ ROW_DOCS, ROW_IDS = 512, 1 << 20
 CACHE_PIECES = 500_000
 #: Pieces that go to the library as one text.
 JOINED_PIECES = 2000
+#: White space other than the space and the line end.
+OTHER_SPACE = re.compile(r"[^\S \n]")
 
 
 def pack(ids: np.ndarray, bits: int) -> bytes:
@@ -121,7 +124,7 @@ class PieceEncoder:
         """Whether all white space is single spaces and line ends between other characters, and no added token is in the text."""
         if any(x in text for x in ("  ", "\n\n", " \n", "\n ", *self.added)) or text[0] in " \n" or text[-1] in " \n":
             return False
-        return len("".join(text.split())) == len(text) - text.count(" ") - text.count("\n")
+        return OTHER_SPACE.search(text) is None
 
     def _pieces(self, pieces: list[str]) -> list[bytes]:
         """Ids of each piece: many to a text, a line for each, cut at the line ends.
