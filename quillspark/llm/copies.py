@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_hot, materialise
+from .common import join_hot, materialise, new_path, scratch
 from .components import connected_components
 from .simhash import by_cell, cell_arrays, cells, close_pairs, find, fingerprint, fresh, shingle_hashes, spanning_links
 
@@ -180,9 +180,11 @@ def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> Data
     one's copies and all stay.  An empty table gives an empty result.
     """
     has_words = F.coalesce(F.col("text"), F.lit("")).rlike("[^\\x20\\x09-\\x0D]") & F.col("doc_id").isNotNull()
-    found = similar_groups(docs.where(has_words).select("doc_id", "text"), shingle, similarity)
+    path = new_path(docs.sparkSession, "rows")
     is_keeper = (F.col("doc_id") == F.col("keeper.doc_id")) & (F.col("text_md5") == F.col("keeper.text_md5"))
-    rows = materialise(found.groupBy("doc_id", "text_md5").agg(F.count("*").alias("n"), F.bool_or(is_keeper).alias("stays")), "rows")
+    with scratch(docs.sparkSession, "groups"):
+        found = similar_groups(docs.where(has_words).select("doc_id", "text"), shingle, similarity)
+        rows = materialise(found.groupBy("doc_id", "text_md5").agg(F.count("*").alias("n"), F.bool_or(is_keeper).alias("stays")), "rows", path)
     ids = rows.groupBy(F.col("doc_id").alias("own_id")).agg(F.sum("n").alias("n"), F.bool_or("stays").alias("stays"))
     # most ids stand for one row, and their rows go by the id alone
     gone = materialise(ids.where("NOT stays").select("own_id"), "gone")
