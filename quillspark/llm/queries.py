@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import cdc, decontam, langid, mixing, quality, secrets, simhash, tokens, urls, warc
+from . import cdc, decontam, exact, langid, mixing, negatives, quality, secrets, simhash, tokens, urls, warc, whitening
 from .common import read_table
 
 try:
@@ -34,6 +34,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_warc": over("pages", warc.op8_warc),
         "op9_urls": over("pages", urls.op9_urls),
         "op10_secrets": over("documents", secrets.op10_secrets),
+        "op11_whitening": over("embeddings", whitening.op11_whitening),
+        "op12_exact_dedup": over("documents", exact.op12_exact_dedup),
+        "op13_hard_negatives": over("embeddings", negatives.op13_hard_negatives),
     }
 
 
@@ -125,5 +128,31 @@ SELECT doc_id, n_words, word_chars, n_symbols, CAST(len(ls) - len(list_distinct(
 FROM judged LEFT JOIN losses USING (r)"""
 
 
+EXACT = r"""
+WITH plain AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents),
+ranked AS (
+  SELECT doc_id, t, row_number() OVER (PARTITION BY t ORDER BY doc_id NULLS LAST) AS k,
+         min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size
+  FROM plain)
+SELECT doc_id, keep_id, group_size, k = 1 AS kept, sha256(t) AS text_sha256 FROM ranked"""
+
+NEGATIVES = f"""
+WITH vectors AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda c: floor({negatives.SCALE} * CAST(c AS DOUBLE))) AS x
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+scored AS (
+  SELECT a.vec_id AS anchor_id, a.label = b.label AS alike, b.vec_id AS other, CAST(list_dot_product(a.x, b.x) AS BIGINT) AS score
+  FROM vectors a JOIN vectors b ON a.vec_id <> b.vec_id
+  WHERE a.vec_id % 50 = 0),
+positives AS (SELECT * FROM scored WHERE alike QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= {negatives.POSITIVES}),
+found AS (
+  SELECT p.anchor_id, p.other AS positive_id, CAST(row_number() OVER (PARTITION BY p.anchor_id, p.other ORDER BY n.score DESC, n.other) AS INTEGER) AS rank,
+         n.other AS negative_id, p.score AS positive_score, n.score AS negative_score
+  FROM positives p JOIN scored n ON p.anchor_id = n.anchor_id AND NOT n.alike AND 50 * p.score <= 100 * n.score AND 100 * n.score <= 95 * p.score)
+SELECT * FROM found WHERE rank <= {negatives.NEGATIVES}"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op6_decontaminate": DECONTAM, "op7_quality": QUALITY, "op8_warc": WARC, "op9_urls": URLS}
+    return {"op6_decontaminate": DECONTAM, "op7_quality": QUALITY, "op8_warc": WARC, "op9_urls": URLS, "op12_exact_dedup": EXACT, "op13_hard_negatives": NEGATIVES}
