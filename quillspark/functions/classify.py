@@ -155,9 +155,13 @@ def cut_cell(text: Column, width: Column) -> Column:
 
 
 def cell_pad(text: Column, width: Column | int) -> Column:
-    """A cell at its width: numbers to the right, short single words centred, the rest to the left."""
+    """A cell at its width, cut and stripped."""
     width = F.lit(width) if isinstance(width, int) else width
-    t = strip(cut_cell(text, width))
+    return padded(strip(cut_cell(text, width)), width)
+
+
+def padded(t: Column, width: Column) -> Column:
+    """Numbers to the right, short single words centred, the rest to the left."""
     left = F.concat(t, F.repeat(F.lit(" "), F.greatest(F.lit(0), width - F.length(t))))
     right = F.concat(F.repeat(F.lit(" "), F.greatest(F.lit(0), width - F.length(t))), t)
     return F.when(has(t, "\\A\\d+\\.?\\d*\\z|\\A\\.\\d+\\z"), right).when((F.length(t) < F.floor(width / 2)) & ~t.contains(" "), centre(t, width)).otherwise(left)

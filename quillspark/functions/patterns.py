@@ -62,39 +62,40 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def running(numbers: Column, fold: Callable[[Column], Column], join: Callable[[Column, Column], Column]) -> Column:
-    """Running folds of an array of ints, by blocks of about the root of its size; ``fold`` takes any slice, ``join`` two results."""
-
-    def folds(a: Column, w: Column) -> Column:
-        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(a) - 1) / w).cast("int")), lambda j: fold(F.slice(a, j * w + 1, w)))
-        whole = lambda b, k: fold(F.slice(b, F.lit(1), F.floor(k / w).cast("int")))
-        rest = lambda k: fold(F.slice(a, F.floor(k / w).cast("int") * w + 1, k % w + 1))
-        return let(blocks, lambda b: F.transform(a, lambda _, k: join(whole(b, k), rest(k))))
-
-    # short arrays, the usual case, are folded from their start each time
-    short = lambda a: F.transform(a, lambda _, k: fold(F.slice(a, F.lit(1), k + 1)))
-    width = lambda a: F.ceil(F.sqrt(F.size(a))).cast("int")
-    return let(numbers, lambda a: F.when(F.size(a) <= 16, short(a)).otherwise(let(width(a), lambda w: folds(a, w))))
+def running(values: Column, op: Callable[[Column, Column], Column]) -> Column:
+    """Running folds of an array with an associative ``op``: each pass folds in what stands twice as far back."""
+    steps = F.filter(F.array(*[F.lit(1 << k) for k in range(30)]), lambda s: s < F.size(values))
+    return F.aggregate(steps, values, lambda own, s: F.transform(own, lambda x, i: F.when(i >= s, op(F.get(own, i - s), x)).otherwise(x)))
 
 
 def running_sum(numbers: Column) -> Column:
-    return running(numbers, lambda a: F.aggregate(a, F.lit(0), add), add)
+    return running(numbers, add)
 
 
 def running_max(numbers: Column) -> Column:
-    """Running maxima of numbers that are not negative."""
-    return running(numbers, lambda a: F.coalesce(F.array_max(a), F.lit(0)), F.greatest)
+    return running(numbers, F.greatest)
 
 
-def match_places(text: Column, pattern: str, flags: str = "") -> Column:
-    """(begin, end, match) of each match: running lengths of the pieces between and of the matches."""
-    full = f"(?d{flags})" + wide(pattern)
-    none = F.array().cast("array<struct<begin:int,end:int,match:string>>")
+#: Two characters that no text holds (Unicode reserves them for a program's own use) mark matches and their parts.
+MATCH, PART = "\uFDD0", "\uFDD1"
+
+
+def cut(text: Column, pattern: str, flags: str = "", groups: int = 0) -> Column:
+    """A text cut by one pass of a pattern: [what precedes], then [match, its groups.., what follows] for each match.
 
-    def placed(found: Column) -> Column:
-        steps = F.zip_with(F.slice(F.split(text, full), 1, F.size(found)), found, lambda g, m: F.length(g) + F.length(m))
-        ends = lambda e: F.transform(found, lambda m, k: F.struct((F.get(e, k) - F.length(m)).alias("begin"), F.get(e, k).alias("end"), m.alias("match")))
-        return let(running_sum(steps), ends)
+    The two marks, should a text hold them, count as U+FFFD.
+    """
+    marked = MATCH + "$0" + PART + "".join(f"${k}{PART}" for k in range(1, groups + 1))
+    own = F.when(holds(text, MATCH, PART), F.translate(text, MATCH + PART, "\uFFFD\uFFFD")).otherwise(text)
+    return F.transform(F.split(swap(own, pattern, marked, flags), MATCH), lambda x: F.split(x, PART))
 
-    found = F.regexp_extract_all(text, F.lit(full), F.lit(0))
-    return let(found, lambda m: F.when(F.size(m) > 0, placed(m)).otherwise(none))
+
+def places(pieces: Column) -> Column:
+    """Begin of each match of a cut text: running lengths of the matches and of what stands between them."""
+    return running_sum(F.transform(pieces, lambda x, i: F.when(i > 0, F.length(x[0])).otherwise(0) + F.length(F.element_at(x, -1))))
+
+
+def match_places(text: Column, pattern: str, flags: str = "") -> Column:
+    """(begin, end, match) of each match, in order."""
+    found = lambda p, at: F.transform(F.slice(p, F.lit(2), F.size(p)), lambda x, i: F.struct(F.get(at, i).alias("begin"), (F.get(at, i) + F.length(x[0])).alias("end"), x[0].alias("match")))
+    return let(cut(text, pattern, flags), lambda p: let(places(p), lambda at: found(p, at)))

@@ -1,20 +1,20 @@
 """Tables in text: detection, cells, widths and rendering.
 
-Detectors take lines(block_id, line_no, line) and give cells(block_id, row,
-col, text, is_header, n_rows, n_cols, confidence); the last three describe
-the table of the cell.
+A block is an array of lines, and a detector an expression over it: it gives a
+table(n_rows, n_cols, confidence, rows), with null for a place without a cell,
+or null if the block is none.  Detection, cells, widths and rendering thus
+happen inside one row; ``gather`` makes blocks of a table of lines.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.classify import cell_pad, centre, cut_cell
-from ..functions.patterns import has, match_places, strip, wide
-from ..sources.corpus import explode_lines, join_lines
+from ..functions.classify import centre, cut_cell, padded
+from ..functions.patterns import has, let, match_places, running_sum, strip, wide
 
 # Delimiters in order of preference; limits of a valid table; how sure each detector is; patterns of table-like text.
 DELIMITERS = [",", "\t", ";", "|"]
@@ -24,105 +24,192 @@ DELIMITED, SPACED, GRID, MARKDOWN = 0.75, 0.7, 0.8, 0.9
 TABLE_TEXT = [("\\|<s>*[^|]+<s>*\\|.*?\\|", 0), ("(<s>+<w>+<s>+){3,}", 1)]
 TABLE_LINES = 20
 
+Detector = Callable[[Column], Column]
 
-def block_lines(lines: DataFrame) -> DataFrame:
-    """Lines with something on them, stripped, numbered from 0, with their count."""
-    own = lines.withColumn("line", strip(F.col("line"))).where("line <> ''")
-    w = Window.partitionBy("block_id")
-    return own.select("block_id", (F.row_number().over(w.orderBy("line_no")) - 1).alias("row"), F.count("*").over(w).cast("int").alias("n_rows"), "line")
+
+def gather(lines: DataFrame) -> DataFrame:
+    """lines(block_id, line_no, line) -> block_id, lines: an array in order."""
+    ordered = F.array_sort(F.collect_list(F.struct("line_no", "line")))
+    return lines.groupBy("block_id").agg(F.transform(ordered, lambda x: x["line"]).alias("lines"))
+
+
+def text_lines(text: Column) -> Column:
+    return F.split(F.coalesce(text, F.lit("")), "\n")
+
+
+def filled(lines: Column) -> Column:
+    """Lines with something on them, stripped."""
+    return F.filter(F.transform(lines, strip), lambda x: x != "")
+
+
+def widest(rows: Column) -> Column:
+    return F.greatest(F.lit(1), F.coalesce(F.array_max(F.transform(rows, F.size)), F.lit(1)))
+
+
+def as_table(rows: Column, n_cols: Column, confidence: float) -> Column:
+    return F.struct(F.size(rows).alias("n_rows"), n_cols.cast("int").alias("n_cols"), F.lit(confidence).alias("confidence"), rows.alias("rows"))
+
+
+# detectors --------------------------------------------------------------
+
+
+def delimiter_of(lines: Column, share: float = 0.7) -> Column:
+    """(delimiter, per_line): the first whose usual count fits 70 % of the lines; a count that more than half have is the median."""
+
+    def usual(delimiter: str) -> Column:
+        counts = F.sort_array(F.transform(lines, lambda x: F.length(x) - F.length(F.replace(x, F.lit(delimiter), F.lit("")))))
+        fits = lambda c, v: (v > 0) & (F.size(F.filter(c, lambda x: x == v)) >= share * F.size(c))
+        return let(counts, lambda c: let(F.get(c, F.floor(F.size(c) / 2).cast("int")), lambda v: F.when(fits(c, v), F.struct(F.lit(delimiter).alias("delimiter"), v.alias("per_line")))))
+
+    return F.when(F.size(lines) >= 2, F.coalesce(*map(usual, DELIMITERS)))
+
+
+def delimited(lines: Column) -> Column:
+    """The table of a delimited block, its lines padded or cut to the usual width."""
+    own = filled(lines)
+    cells = lambda x, d: let(F.split(x, F.concat(F.lit("["), d["delimiter"], F.lit("]"))), lambda p: F.transform(F.sequence(F.lit(0), d["per_line"]), lambda i: strip(F.coalesce(F.get(p, i), F.lit("")))))
+    return let(own, lambda o: let(delimiter_of(o), lambda d: F.when(d.isNotNull(), as_table(F.transform(o, lambda x: cells(x, d)), d["per_line"] + 1, DELIMITED))))
+
+
+def column_starts(lines: Column, gap: int = 10) -> Column:
+    """Column starts of a space-aligned block: word starts cut into clusters at gaps of ``gap``."""
+    begins = F.transform(lines, lambda x: F.transform(match_places(strip(x), "[^\\t-\\r \\x1c-\\x1f\\x85\\p{Z}]+"), lambda m: m["begin"]))
+    starts = F.array_sort(F.array_distinct(F.flatten(begins)))
+    return let(starts, lambda s: F.filter(s, lambda x, i: (i == 0) | (x - F.get(s, i - 1) >= gap)))
+
+
+def spaced(gap: int = 10) -> Detector:
+    """Of a space-aligned block: each line cut at the block's column starts, blank pieces left out."""
+    piece = lambda x, c, i: strip(F.substring(x, F.get(c, i) + 1, F.coalesce(F.get(c, i + 1), F.length(x)) - F.get(c, i)))
+    cut = lambda o, c: F.transform(o, lambda x: F.transform(c, lambda _, i: F.nullif(piece(x, c, i), F.lit(""))))
+    return lambda lines: let(filled(lines), lambda o: let(column_starts(o, gap), lambda c: F.when(F.size(c) >= 2, as_table(cut(o, c), F.size(c), SPACED))))
+
+
+def grid(lines: Column) -> Column:
+    """Of a grid: two rules or more, the other lines cut at ``+``, empty pieces left out."""
+    is_rule = lambda x: has(x, "\\A[+\\-|]+\\z")
+    pieces = lambda x: F.filter(F.transform(F.split(x, "\\+"), strip), lambda p: p != "")
+    rows = lambda o: let(F.transform(F.filter(o, lambda x: ~is_rule(x)), pieces), lambda r: F.when(F.exists(r, lambda x: F.size(x) > 0), as_table(r, widest(r), GRID)))
+    return let(filled(lines), lambda o: F.when(F.size(F.filter(o, is_rule)) >= 2, rows(o)))
+
+
+def pipe_lines(lines: Column) -> Column:
+    return F.filter(lines, lambda x: x.contains("|"))
+
+
+def markdown(lines: Column) -> Column:
+    """Of a pipe table: three pipe lines or more, separator lines left out, an empty piece at either end dropped."""
+    kept = lambda o: F.filter(o, lambda x: ~has(x, "\\A[\\t-\\r \\x1c-\\x1f\\x85\\p{Z}|\\-]+\\z"))
+    trimmed = lambda x: F.regexp_replace(F.regexp_replace(strip(x), "\\A\\|", ""), "\\|\\z", "")
+    pieces = lambda x: F.transform(F.split(trimmed(x), "\\|"), strip)
+    rows = lambda o: let(F.transform(kept(o), pieces), lambda r: F.when(F.size(r) > 0, as_table(r, widest(r), MARKDOWN)))
+    return let(pipe_lines(lines), lambda o: F.when(F.size(o) >= 3, rows(o)))
+
+
+def vision(lines: Column) -> Column:
+    """Of a model's answer: a pipe table, else the delimited pieces of three matches or more of a table-like pattern."""
+    found = lambda t, pattern, group: let(F.regexp_extract_all(t, F.lit("(?d)" + wide(pattern)), F.lit(group)), lambda m: F.when(F.size(m) >= 3, m))
+    pieces = lambda t: F.coalesce(*[found(t, *p) for p in TABLE_TEXT])
+    other = let(F.array_join(lines, "\n"), lambda t: let(pieces(t), lambda p: F.when(p.isNotNull(), delimited(p))))
+    return F.when(F.size(pipe_lines(lines)) >= 3, markdown(lines)).otherwise(other)
+
+
+def n_cells(found: Column) -> Column:
+    return F.aggregate(found["rows"], F.lit(0), lambda s, r: s + F.size(F.filter(r, lambda x: x.isNotNull())))
+
+
+def is_valid(found: Column) -> Column:
+    """Within the limits of size and confidence."""
+    fits = (found["n_rows"] >= 2) & (found["n_cols"] >= 2) & (found["n_rows"] <= MAX_ROWS) & (found["n_cols"] <= MAX_COLS)
+    return fits & (found["confidence"] >= MIN_CONFIDENCE) & (n_cells(found) >= MIN_CELLS)
+
+
+def detected(gap: int = 10) -> Detector:
+    """Delimited, else space-aligned, else a grid; the first that fits decides, also if its table is not valid."""
+    return lambda lines: let(F.coalesce(delimited(lines), spaced(gap)(lines), grid(lines)), lambda t: F.when(is_valid(t), t))
+
+
+# what a table gives -----------------------------------------------------
+
+
+def matrix(found: Column) -> Column:
+    """All rows at full width, blank where there is no cell."""
+    return F.transform(found["rows"], lambda r: F.transform(F.sequence(F.lit(0), found["n_cols"] - 1), lambda i: F.coalesce(F.get(r, i), F.lit(""))))
+
+
+def widths(rows: Column, least: int = 10, most: int = 50) -> Column:
+    """Width of each column of a matrix."""
+    return F.transform(rows[0], lambda _, i: F.greatest(F.lit(least), F.least(F.lit(most), F.array_max(F.transform(rows, lambda r: F.length(F.get(r, i)))))))
+
+
+def rendered(found: Column, least: int = 10, most: int = 50) -> Column:
+    """Markdown of a table: each column at its width, the first row centred above a rule, the others by their content."""
+    piped = lambda cells: F.concat(F.lit("|"), F.array_join(cells, "|"), F.lit("|"))
+    blank = lambda x: F.concat(F.lit(" "), x, F.lit(" "))
+    head = lambda r, w: F.transform(r, lambda x, i: blank(centre(cut_cell(x, F.get(w, i)), F.get(w, i))))
+    body = lambda r, w: F.transform(r, lambda x, i: blank(let(strip(cut_cell(x, F.get(w, i))), lambda t: padded(t, F.get(w, i)))))
+    rule = lambda w: F.transform(w, lambda x: F.repeat(F.lit("-"), x + 2))
+    drawn = lambda m, w: F.concat(F.array(piped(head(m[0], w)), piped(rule(w))), F.transform(F.slice(m, F.lit(2), F.size(m)), lambda r: piped(body(r, w))))
+    text = lambda t: let(matrix(t), lambda m: let(widths(m, least, most), lambda w: F.array_join(drawn(m, w), "\n")))
+    return let(found, lambda t: F.when(t.isNotNull(), text(t)))
+
+
+# over tables of lines ---------------------------------------------------
+
+
+def tables_of(lines: DataFrame, detector: Detector) -> DataFrame:
+    """lines(block_id, line_no, line) -> block_id, table of the blocks that are one."""
+    return gather(lines).select("block_id", detector(F.col("lines")).alias("table")).where("table IS NOT NULL")
+
+
+def cells_of(tables: DataFrame) -> DataFrame:
+    """block_id, table -> block_id, row, col, text, is_header, n_rows, n_cols, confidence."""
+    rows = tables.select("block_id", "table.n_rows", "table.n_cols", "table.confidence", F.posexplode("table.rows").alias("row", "cells"))
+    cells = rows.select("block_id", "row", F.posexplode("cells").alias("col", "text"), (F.col("row") == 0).alias("is_header"), "n_rows", "n_cols", "confidence")
+    return cells.where("text IS NOT NULL")
 
 
 def detect_delimiter(lines: DataFrame, share: float = 0.7) -> DataFrame:
-    """lines(block_id, line_no, line) -> block_id, delimiter, per_line: the first whose usual count fits 70 % of the lines."""
-    counted = [F.struct(F.lit(k).alias("order"), F.lit(d).alias("delimiter"), (F.length("line") - F.length(F.replace("line", F.lit(d), F.lit("")))).alias("per_line")) for k, d in enumerate(DELIMITERS)]
-    rows = lines.withColumn("line", strip(F.col("line"))).where("line <> ''").select("block_id", F.inline(F.array(*counted)))
-    modes = rows.groupBy("block_id", "order", "delimiter", "per_line").agg(F.count("*").alias("n"))
-    total = F.sum("n").over(Window.partitionBy("block_id", "order"))
-    fitting = modes.withColumn("total", total).where((F.col("per_line") > 0) & (F.col("n") >= share * F.col("total")) & (F.col("total") >= 2))
-    return fitting.groupBy("block_id").agg(F.min_by(F.struct("delimiter", "per_line"), "order").alias("d")).select("block_id", "d.*")
+    """lines(block_id, line_no, line) -> block_id, delimiter, per_line; see ``delimiter_of``."""
+    found = gather(lines).select("block_id", delimiter_of(filled(F.col("lines")), share).alias("found"))
+    return found.where("found IS NOT NULL").select("block_id", "found.*")
 
 
 def delimited_cells(lines: DataFrame) -> DataFrame:
-    """Cells of delimited blocks, padded or cut to the usual width."""
-    found = block_lines(lines).join(detect_delimiter(lines), "block_id")
-    cols = F.col("per_line") + 1
-    grid = found.select("block_id", "row", "line", "delimiter", "n_rows", cols.alias("n_cols"), F.explode(F.sequence(F.lit(0), F.col("per_line"))).alias("col"))
-    text = strip(F.split_part("line", "delimiter", F.col("col") + 1))
-    return grid.select("block_id", "row", "col", text.alias("text"), (F.col("row") == 0).alias("is_header"), "n_rows", "n_cols", F.lit(DELIMITED).alias("confidence"))
+    return cells_of(tables_of(lines, delimited))
 
 
 def word_columns(lines: DataFrame, gap: int = 10) -> DataFrame:
-    """Column starts of space-aligned blocks: word starts cut into clusters at gaps of ``gap``."""
-    starts = lines.select("block_id", F.explode(F.transform(match_places(strip(F.col("line")), "[^\\t-\\r \\x1c-\\x1f\\x85\\p{Z}]+"), lambda x: x["begin"])).alias("start")).distinct()
-    w = Window.partitionBy("block_id").orderBy("start")
-    cluster = F.sum(F.when(F.col("start") - F.lag("start").over(w) >= gap, 1).otherwise(0)).over(w)
-    return starts.withColumn("cluster", cluster).groupBy("block_id", "cluster").agg(F.min("start").alias("start")).select("block_id", "cluster", "start")
+    """block_id, cluster, start: see ``column_starts``."""
+    return gather(lines).select("block_id", F.posexplode(column_starts(F.col("lines"), gap)).alias("cluster", "start"))
 
 
 def spaced_cells(lines: DataFrame, gap: int = 10) -> DataFrame:
-    """Cells of space-aligned blocks: each line cut at the block's column starts, blank pieces left out."""
-    starts = word_columns(lines, gap)
-    w = Window.partitionBy("block_id").orderBy("start")
-    cuts = starts.select("block_id", "start", (F.row_number().over(w) - 1).alias("col"), F.lead("start").over(w).alias("stop"))
-    cuts = cuts.groupBy("block_id").agg(F.array_sort(F.collect_list(F.struct("col", "start", "stop"))).alias("cuts")).where(F.size("cuts") >= 2)
-    grid = block_lines(lines).join(cuts, "block_id").select("block_id", "row", "n_rows", F.size("cuts").alias("n_cols"), "line", F.inline("cuts"))
-    piece = strip(F.substring("line", F.col("start") + 1, F.coalesce(F.col("stop"), F.length("line")) - F.col("start")))
-    return grid.select("block_id", "row", "col", piece.alias("text"), (F.col("row") == 0).alias("is_header"), "n_rows", "n_cols", F.lit(SPACED).alias("confidence")).where("text <> ''")
-
-
-def numbered_pieces(rows: DataFrame, pieces: Column, confidence: float) -> DataFrame:
-    """Cells from rows(block_id, line_no, line), each cut into ``pieces``."""
-    w = Window.partitionBy("block_id")
-    own = rows.select("block_id", (F.row_number().over(w.orderBy("line_no")) - 1).alias("row"), F.count("*").over(w).cast("int").alias("n_rows"), pieces.alias("pieces"))
-    own = own.withColumn("n_cols", F.greatest(F.lit(1), F.max(F.size("pieces")).over(w)))
-    return own.select("block_id", "row", F.posexplode("pieces").alias("col", "text"), (F.col("row") == 0).alias("is_header"), "n_rows", "n_cols", F.lit(confidence).alias("confidence"))
+    return cells_of(tables_of(lines, spaced(gap)))
 
 
 def grid_cells(lines: DataFrame) -> DataFrame:
-    """Cells of grid tables: blocks with two rules or more, the other lines cut at ``+``, empty pieces left out."""
-    own = lines.withColumn("line", strip(F.col("line"))).where("line <> ''").withColumn("is_rule", has(F.col("line"), "\\A[+\\-|]+\\z"))
-    own = own.withColumn("rules", F.sum(F.col("is_rule").cast("int")).over(Window.partitionBy("block_id"))).where("rules >= 2 AND NOT is_rule")
-    return numbered_pieces(own, F.filter(F.transform(F.split("line", "\\+"), strip), lambda x: x != ""), GRID)
+    return cells_of(tables_of(lines, grid))
 
 
 def markdown_cells(lines: DataFrame) -> DataFrame:
-    """Cells of pipe tables: blocks with three pipe lines or more, separator lines left out, an empty piece at either end dropped."""
-    pipe = lines.where(F.col("line").contains("|")).withColumn("pipes", F.count("*").over(Window.partitionBy("block_id"))).where("pipes >= 3")
-    rows = pipe.where(~has(F.col("line"), "\\A[\\t-\\r \\x1c-\\x1f\\x85\\p{Z}|\\-]+\\z"))
-    trimmed = F.regexp_replace(F.regexp_replace(strip(F.col("line")), "\\A\\|", ""), "\\|\\z", "")
-    return numbered_pieces(rows, F.transform(F.split(trimmed, "\\|"), strip), MARKDOWN)
+    return cells_of(tables_of(lines, markdown))
 
 
-def valid_tables(cells: DataFrame) -> DataFrame:
-    """Tables within the limits of size and confidence."""
-    sizes = cells.groupBy("block_id").agg(F.max("n_rows").alias("n_rows"), F.max("n_cols").alias("n_cols"), F.count("*").alias("n_cells"), F.max("confidence").alias("confidence"))
-    fits = (F.col("n_rows") >= 2) & (F.col("n_cols") >= 2) & (F.col("n_cells") >= MIN_CELLS) & (F.col("n_rows") <= MAX_ROWS) & (F.col("n_cols") <= MAX_COLS)
-    return sizes.where(fits & (F.col("confidence") >= MIN_CONFIDENCE)).select("block_id", "n_rows", "n_cols", "n_cells")
+def vision_cells(lines: DataFrame) -> DataFrame:
+    return cells_of(tables_of(lines, vision))
 
 
 def table_cells(lines: DataFrame, gap: int = 10) -> DataFrame:
-    """Cells of the table in each block of text: delimited, else space-aligned, else a grid; valid ones only.
+    """Cells of the valid table in each block of text."""
+    return cells_of(tables_of(lines, detected(gap)))
 
-    The first detector that fits decides, also if its table is not valid.
-    """
-    spaced = spaced_cells(lines, gap).withColumn("order", F.lit(1))
-    parts = [delimited_cells(lines).withColumn("order", F.lit(0)), spaced, grid_cells(lines).withColumn("order", F.lit(2))]
-    first = F.min("order").over(Window.partitionBy("block_id"))
-    found = reduce(DataFrame.unionByName, parts).withColumn("first", first).where("order = first AND n_rows >= 2").drop("order", "first")
-    return found.join(valid_tables(found).select("block_id"), "block_id", "left_semi")
 
-
-def vision_cells(lines: DataFrame) -> DataFrame:
-    """Cells of tables in a model's answer: pipe tables, else the delimited pieces of three matches or more of a table-like pattern."""
-    shown = lines.withColumn("pipes", F.sum(F.col("line").contains("|").cast("int")).over(Window.partitionBy("block_id")))
-    text = join_lines(shown.where("pipes < 3").select("block_id", "line_no", "line"), "block_id")
-    pieces = None
-    for pattern, group in TABLE_TEXT:
-        matches = F.regexp_extract_all("text", F.lit("(?d)" + wide(pattern)), F.lit(group))
-        value = F.when(F.size(matches) >= 3, matches)
-        pieces = value if pieces is None else F.coalesce(pieces, value)
-    found = text.select("block_id", F.posexplode(pieces).alias("line_no", "line"))
-    return markdown_cells(lines).unionByName(delimited_cells(found))
+def valid_tables(cells: DataFrame) -> DataFrame:
+    """Tables of cells within the limits of size and confidence."""
+    sizes = cells.groupBy("block_id").agg(F.max("n_rows").alias("n_rows"), F.max("n_cols").alias("n_cols"), F.count("*").alias("n_cells"), F.max("confidence").alias("confidence"))
+    fits = (F.col("n_rows") >= 2) & (F.col("n_cols") >= 2) & (F.col("n_cells") >= MIN_CELLS) & (F.col("n_rows") <= MAX_ROWS) & (F.col("n_cols") <= MAX_COLS)
+    return sizes.where(fits & (F.col("confidence") >= MIN_CONFIDENCE)).select("block_id", "n_rows", "n_cols", "n_cells")
 
 
 def cell_at(cells: DataFrame, places: DataFrame) -> DataFrame:
@@ -142,68 +229,70 @@ def header_score(cells: DataFrame) -> DataFrame:
     return cells.where("row = 0").groupBy("block_id").agg((F.bool_or("is_header") | (F.sum(score) / F.count("*") > 0.5)).alias("is_header"))
 
 
-def table_matrix(cells: DataFrame) -> DataFrame:
-    """A row for every place of each table; cells cover their spans (if they have any), the last one wins, the rest is empty."""
+def overlaid(cells: DataFrame) -> DataFrame:
+    """cells, with spans if they have any -> block_id, table: cells cover their spans, and the last one of a place wins."""
     spans = [F.col(c) if c in cells.columns else F.lit(1) for c in ("rowspan", "colspan")]
     order = F.col("cell_no") if "cell_no" in cells.columns else F.struct("row", "col")
-    down = F.sequence("row", F.least(F.col("row") + spans[0], F.col("n_rows")) - 1)
-    across = F.sequence("col", F.least(F.col("col") + spans[1], F.col("n_cols")) - 1)
-    inside = cells.where("row < n_rows AND col < n_cols")
-    laid = inside.select("block_id", order.alias("order"), "text", F.explode(down).alias("row"), across.alias("across")).select("block_id", "order", "text", "row", F.explode("across").alias("col"))
-    top = laid.groupBy("block_id", "row", "col").agg(F.max_by("text", "order").alias("text"))
-    sizes = cells.groupBy("block_id").agg(F.max("n_rows").alias("n_rows"), F.max("n_cols").alias("n_cols"))
-    rows = sizes.select("block_id", "n_cols", F.explode(F.sequence(F.lit(0), F.col("n_rows") - 1)).alias("row"))
-    places = rows.select("block_id", "row", F.explode(F.sequence(F.lit(0), F.col("n_cols") - 1)).alias("col"))
-    return places.join(top, ["block_id", "row", "col"], "left").select("block_id", "row", "col", F.coalesce("text", F.lit("")).alias("text"))
+    down = F.when(F.col("row") < F.col("n_rows"), F.sequence("row", F.least(F.col("row") + spans[0], F.col("n_rows")) - 1))
+    across = F.when(F.col("col") < F.col("n_cols"), F.sequence("col", F.least(F.col("col") + spans[1], F.col("n_cols")) - 1))
+    laid = cells.select("block_id", order.alias("order"), "text", "n_rows", "n_cols", F.explode_outer(down).alias("row"), across.alias("across")).select("block_id", "order", "text", "n_rows", "n_cols", "row", F.explode_outer("across").alias("col"))
+    top = laid.groupBy("block_id", "row", "col").agg(F.max_by("text", "order").alias("text"), F.max("n_rows").alias("n_rows"), F.max("n_cols").alias("n_cols"))
+    places = F.map_from_entries(F.collect_list(F.when(F.col("row").isNotNull() & F.col("col").isNotNull(), F.struct(F.struct("row", "col"), "text"))))
+    found = top.groupBy("block_id").agg(F.max("n_rows").alias("n_rows"), F.max("n_cols").alias("n_cols"), places.alias("places"))
+    at = lambda r, c: F.element_at("places", F.struct(r.alias("row"), c.alias("col")))
+    rows = F.transform(F.sequence(F.lit(0), F.col("n_rows") - 1), lambda r: F.transform(F.sequence(F.lit(0), F.col("n_cols") - 1), lambda c: at(r, c)))
+    return found.select("block_id", as_table(rows, F.col("n_cols"), 1.0).alias("table"))
 
 
-def column_width(least: int = 10, most: int = 50) -> Column:
-    return F.greatest(F.lit(least), F.least(F.lit(most), F.max(F.length("text"))))
+def matrix_rows(tables: DataFrame) -> DataFrame:
+    """block_id, table -> block_id, row, col, text: a row for every place."""
+    return tables.select("block_id", F.posexplode(matrix(F.col("table"))).alias("row", "cells")).select("block_id", "row", F.posexplode("cells").alias("col", "text"))
 
 
-def column_widths(cells: DataFrame, least: int = 10, most: int = 50) -> DataFrame:
-    return cells.groupBy("block_id", "col").agg(column_width(least, most).alias("width"))
+def column_widths(tables: DataFrame, least: int = 10, most: int = 50) -> DataFrame:
+    return tables.select("block_id", F.posexplode(let(matrix(F.col("table")), lambda m: widths(m, least, most))).alias("col", "width"))
 
 
-def render_tables(cells: DataFrame, least: int = 10, most: int = 50) -> DataFrame:
-    """cells -> block_id, markdown: each column at its width, the first row centred above a rule, the others by their content."""
-    placed = table_matrix(cells)
-    placed = placed.join(column_widths(placed, least, most), ["block_id", "col"])
-    head = centre(cut_cell(F.col("text"), F.col("width")), F.col("width"))
-    cell = F.concat(F.lit(" "), F.when(F.col("row") == 0, head).otherwise(cell_pad(F.col("text"), F.col("width"))), F.lit(" "))
-    rule = F.repeat(F.lit("-"), F.col("width") + 2)
-    joined = lambda c, n: F.concat(F.lit("|"), F.array_join(F.transform(c, lambda x: x[n]), "|"), F.lit("|"))
-    rows = placed.groupBy("block_id", "row").agg(F.array_sort(F.collect_list(F.struct("col", cell.alias("cell"), rule.alias("rule")))).alias("cells"))
-    line = F.when(F.col("row") == 0, F.concat(joined(F.col("cells"), "cell"), F.lit("\n"), joined(F.col("cells"), "rule"))).otherwise(joined(F.col("cells"), "cell"))
-    return join_lines(rows.select("block_id", F.col("row").alias("line_no"), line.alias("line")), "block_id").withColumnRenamed("text", "markdown")
+def render_tables(tables: DataFrame, least: int = 10, most: int = 50) -> DataFrame:
+    """block_id, table -> block_id, markdown."""
+    return tables.select("block_id", rendered(F.col("table"), least, most).alias("markdown"))
+
+
+# over texts -------------------------------------------------------------
 
 
 def format_elements(docs: DataFrame, gap: int = 10) -> DataFrame:
-    """docs(doc_id, text) -> doc_id, text: the table that each text is, or the text between line ends."""
-    made = render_tables(table_cells(explode_lines(docs).withColumnRenamed("doc_id", "block_id"), gap)).withColumnRenamed("block_id", "made_id")
-    other = F.concat(F.lit("\n"), F.coalesce("text", F.lit("")), F.lit("\n"))
-    return docs.join(made, F.col("doc_id") == F.col("made_id"), "left").select("doc_id", F.coalesce("markdown", other).alias("text"))
+    """docs(doc_id, text) -> doc_id, text: the table that each text is, or the text between line ends; one scan, no shuffle."""
+    made = rendered(detected(gap)(text_lines(F.col("text"))))
+    return docs.select("doc_id", F.coalesce(made, F.concat(F.lit("\n"), F.coalesce("text", F.lit("")), F.lit("\n"))).alias("text"))
+
+
+def table_runs(lines: Column) -> Column:
+    """Pieces (start, size, marked) of a text's lines, in order.
+
+    Lines with a pipe, two commas or two tabs are marked.  Runs of them are
+    taken in pieces of 20, the first of 19 where a line precedes; a word of a
+    letter for each line says which, and a pattern cuts it.
+    """
+    marks = lambda x, c: F.length(x) - F.length(F.replace(x, F.lit(c), F.lit("")))
+    letter = lambda x: F.when(x.contains("|") | (marks(x, ",") >= 2) | (marks(x, "\t") >= 2), "m").otherwise("-")
+    pieces = F.regexp_extract_all(F.array_join(F.transform(lines, letter), ""), F.lit(f"(?<=-)m{{1,{TABLE_LINES - 1}}}|m{{1,{TABLE_LINES}}}|-+"), F.lit(0))
+    placed = lambda p: let(running_sum(F.transform(p, F.length)), lambda e: F.transform(p, lambda x, i: F.struct((F.get(e, i) - F.length(x)).alias("start"), F.length(x).alias("size"), x.startswith("m").alias("marked"))))
+    return let(pieces, placed)
 
 
 def format_tables(docs: DataFrame) -> DataFrame:
-    """docs(doc_id, text) -> doc_id, text with the tables among its lines rendered.
+    """docs(doc_id, text) -> doc_id, text with the tables among its lines rendered; one scan, no shuffle.
 
-    Runs of lines with a pipe, two commas or two tabs are taken in pieces of
-    20 (the first of 19 where a line precedes); pieces of three lines or more
-    that hold a table are replaced by it, all other lines stay.
+    Pieces of three marked lines or more that hold a table are replaced by it,
+    all other lines stay.
     """
-    line = F.col("line")
-    marks = lambda c: F.length(line) - F.length(F.replace(line, F.lit(c), F.lit("")))
-    lines = explode_lines(docs).withColumn("marked", line.contains("|") | (marks(",") >= 2) | (marks("\t") >= 2))
-    run = F.col("line_no") - F.row_number().over(Window.partitionBy("doc_id", "marked").orderBy("line_no"))
-    own = lines.withColumn("run", run).where("marked")
-    start = F.min("line_no").over(Window.partitionBy("doc_id", "run"))
-    own = own.withColumn("start", start).withColumn("at", F.col("line_no") - F.col("start") + F.when(F.col("start") > 0, 1).otherwise(0))
-    own = own.withColumn("piece", F.floor(F.col("at") / TABLE_LINES).cast("int"))
-    w = Window.partitionBy("doc_id", "run", "piece")
-    own = own.withColumns({"first": F.min("line_no").over(w), "n": F.count("*").over(w)}).where("n >= 3")
-    block = own.select(F.struct("doc_id", F.col("first").alias("line_no")).alias("block_id"), "line_no", "line")
-    made = render_tables(vision_cells(block)).select("block_id.*", "markdown")
-    spots = own.join(made.select("doc_id", F.col("line_no").alias("first"), "markdown"), ["doc_id", "first"]).select("doc_id", "line_no", "first", "markdown")
-    left = lines.join(spots, ["doc_id", "line_no"], "left").where("first IS NULL OR first = line_no")
-    return join_lines(left.select("doc_id", "line_no", F.coalesce("markdown", "line").alias("line")))
+
+    def replaced(lines: Column) -> Column:
+        def made(piece: Column) -> Column:
+            own = F.slice(lines, piece["start"] + 1, piece["size"])
+            return let(own, lambda x: F.coalesce(F.when(piece["marked"] & (piece["size"] >= 3), rendered(vision(x))), F.array_join(x, "\n")))
+
+        return F.array_join(F.transform(table_runs(lines), made), "\n")
+
+    return docs.select("doc_id", let(text_lines(F.col("text")), replaced).alias("text"))

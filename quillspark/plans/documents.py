@@ -166,7 +166,7 @@ def to_latex(spark: SparkSession, sf_dir: str) -> DataFrame:
     k, c = (col(n).cast("string") for n in ("o_orderkey", "o_custkey"))
     t = F.when(col("o_orderkey") % 2 == 0, F.concat(F.lit("so "), k, F.lit(" / "), c, F.lit(" and x^2"))).otherwise(F.concat(F.lit("x plus β times "), c))
     docs = corpus.table(spark, sf_dir, "orders").select("o_orderkey", t.alias("text"))
-    return docs.select("o_orderkey", rules.to_latex(col("text"), mathx.outermost_of(mathx.span_array(col("text")))).alias("latex"))
+    return docs.select("o_orderkey", rules.to_latex(col("text"), mathx.outermost_array("text")).alias("latex"))
 
 
 over("orders", "p32_equation_to_latex", lambda: ["o_orderkey", rules.equation_to_latex(F.concat(F.lit("2x ≤ "), col("o_custkey").cast("string"), F.lit("y / z √"))).alias("latex")], "SELECT o_orderkey, '2 \\cdot x \\leq \\frac{' || o_custkey || ' \\cdot y}{z} \\sqrt{}' AS latex FROM orders")

@@ -111,9 +111,9 @@ over_tables("t07_markdown_cells", lambda x: tables.markdown_cells(x).select(*CEL
 over_tables("t08_vision_cells", lambda x: tables.vision_cells(x).select(*CELLS), "SELECT * FROM pipe_cells")
 over_tables("t09_valid_tables", lambda x: tables.valid_tables(tables.table_cells(x)), "SELECT * FROM valid")
 over_tables("t11_header_score", lambda x: tables.header_score(tables.markdown_cells(x).withColumn("is_header", F.lit(False))), "SELECT block_id, sum(CASE WHEN " + " OR ".join(f"contains(upper(text), '{w}')" for w in tables.HEADER_WORDS) + " THEN 1 ELSE 0 END + CASE WHEN length(text) < 50 THEN 0.5 ELSE 0 END) / count(*) > 0.5 AS is_header FROM pipe_cells WHERE row = 0 GROUP BY block_id")
-over_tables("t12_table_matrix", lambda x: tables.table_matrix(tables.table_cells(x)), "SELECT * FROM matrix_m", "table_cells")
-over_tables("t13_column_widths", lambda x: tables.column_widths(tables.table_matrix(tables.table_cells(x))), "SELECT * FROM widths_m", "table_cells")
-over_tables("t14_render_tables", lambda x: tables.render_tables(tables.markdown_cells(x)), "SELECT * FROM rendered_m", "pipe_cells")
+over_tables("t12_table_matrix", lambda x: tables.matrix_rows(tables.tables_of(x, tables.detected())), "SELECT * FROM matrix_m", "table_cells")
+over_tables("t13_column_widths", lambda x: tables.column_widths(tables.tables_of(x, tables.detected())), "SELECT * FROM widths_m", "table_cells")
+over_tables("t14_render_tables", lambda x: tables.render_tables(tables.tables_of(x, tables.markdown)), "SELECT * FROM rendered_m", "pipe_cells")
 over_tables("t15_format_elements", lambda x: tables.format_elements(as_texts(x)), f", {TEXTS} SELECT block_id AS doc_id, coalesce(markdown, chr(10) || text || chr(10)) AS text FROM texts LEFT JOIN rendered_m USING (block_id)", "table_cells")
 
 
@@ -140,7 +140,7 @@ def spanned(lines: DataFrame) -> DataFrame:
 
 SPANNED = "spanned AS (SELECT *, row * 3 + col AS cell_no, 1 + row % 2 AS rowspan, 1 + col % 2 AS colspan FROM delimited_t)"
 over_tables("t10_cell_at", lambda x: tables.cell_at(spanned(x), x.select("block_id", F.col("line_no").alias("at_row")).withColumn("at_col", F.col("at_row") % 3)), f", {SPANNED}, asked AS (SELECT block_id, line_no AS at_row, line_no % 3 AS at_col FROM lines) SELECT a.block_id, at_row, at_col, arg_min(s.text, cell_no) AS text FROM asked a LEFT JOIN spanned s ON a.block_id = s.block_id AND at_row BETWEEN row AND row + rowspan - 1 AND at_col BETWEEN col AND col + colspan - 1 GROUP BY a.block_id, at_row, at_col")
-over_tables("j03_span_matrix", lambda x: tables.table_matrix(spanned(x)), f", {SPANNED} SELECT p.block_id, p.row, p.col, coalesce(arg_max(s.text, cell_no), '') AS text FROM places_m p LEFT JOIN spanned s ON p.block_id = s.block_id AND p.row BETWEEN s.row AND s.row + rowspan - 1 AND p.col BETWEEN s.col AND s.col + colspan - 1 GROUP BY p.block_id, p.row, p.col", "delimited_t")
+over_tables("j03_span_matrix", lambda x: tables.matrix_rows(tables.overlaid(spanned(x))), f", {SPANNED} SELECT p.block_id, p.row, p.col, coalesce(arg_max(s.text, cell_no), '') AS text FROM places_m p LEFT JOIN spanned s ON p.block_id = s.block_id AND p.row BETWEEN s.row AND s.row + rowspan - 1 AND p.col BETWEEN s.col AND s.col + colspan - 1 GROUP BY p.block_id, p.row, p.col", "delimited_t")
 
 # code -------------------------------------------------------------------
 
@@ -229,20 +229,39 @@ def math_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), text.alias("text"))
 
 
-M = """WITH parts AS (SELECT o_orderkey AS doc_id, CAST(o_orderkey AS VARCHAR) AS p, CAST(o_custkey AS VARCHAR) AS s, o_orderkey % 3 = 0 AS odd FROM orders),
-pieces AS (
-  SELECT doc_id, 1 AS n, 'ratio ' AS lead, p || '/' || s AS match, 'fraction' AS math_type, '\\frac{' || p || '}{' || s || '}' AS latex FROM parts UNION ALL
-  SELECT doc_id, 2, ' and ', 'x^{' || p || '}', 'superscript', 'x^{' || p || '}' FROM parts UNION ALL
-  SELECT doc_id, 3, ' with ', 'a_' || s, 'subscript', 'a_{' || s || '}' FROM parts UNION ALL
-  SELECT doc_id, 4, ' is ', CASE WHEN odd THEN '$q/2$' ELSE '\\(q_1\\)' END, 'inline', CASE WHEN odd THEN '$q/2$' ELSE '\\(q_1\\)' END FROM parts UNION ALL
-  SELECT doc_id, 5, ' ≤ ', '∫', 'integral', '\\int' FROM parts WHERE NOT odd UNION ALL
-  SELECT doc_id, 6, ' ', 'z/w', 'fraction', '\\frac{z}{w}' FROM parts WHERE NOT odd UNION ALL
-  SELECT doc_id, 7, ' so ', 'y = ' || s || CASE WHEN odd THEN '*2' ELSE '' END, 'equation', 'y = ' || s || CASE WHEN odd THEN '*2' ELSE '' END FROM parts),
-spans AS (SELECT *, CAST(sum(length(lead) + length(match)) OVER (PARTITION BY doc_id ORDER BY n) AS INTEGER) AS "end" FROM pieces)
+def _spans_sql(source: str) -> str:
+    """All spans of source(doc_id, text), each rule by its pattern: marks cut the text, and what stands before a match gives its place."""
+    rules = []
+    for k, (kind, pattern, _, outside) in enumerate(mathx.SPANS):
+        group = lambda n, p=pattern: f"regexp_extract(match, {D.rx(p)}, {n})"
+        bare = f"trim({group(2)}, '{{}}')"
+        tex = {"fraction": f"'\\frac{{' || {group(1)} || '}}{{' || {group(2)} || '}}'", "superscript": f"{group(1)} || '^{{' || {bare} || '}}'", "subscript": f"{group(1)} || '_{{' || {bare} || '}}'", "integral": "replace(match, '∫', '\\int')"}.get(kind, "match")
+        inside = "dollars(lead) % 2 = 1 AND dollars(lead) < dollars(text)" if outside else "false"
+        rules.append(
+            f"SELECT doc_id, {k} AS rule, length(lead) AS begin, length(lead) + length(match) AS \"end\", match, '{kind}' AS math_type, {tex} AS latex\n"
+            f"FROM (SELECT doc_id, text, replace(array_to_string(p[1:i - 1], ''), chr(2), '') AS lead, split_part(p[i], chr(2), 1) AS match FROM (SELECT doc_id, text, string_split(regexp_replace(text, {D.rx('(' + pattern + ')')}, chr(1) || '\\1' || chr(2), 'g'), chr(1)) AS p FROM {source}), unnest(range(2, len(p) + 1)) t(i)) WHERE NOT ({inside})"
+        )
+    found = " UNION ALL ".join(rules).replace("dollars(lead)", "(length(lead) - length(replace(lead, '$', '')))").replace("dollars(text)", "(length(text) - length(replace(text, '$', '')))")
+    return f"""found AS ({found}),
+reached AS (SELECT *, max("end") OVER (PARTITION BY doc_id ORDER BY begin, rule, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM found),
+spans AS (SELECT doc_id, CAST(begin AS INTEGER) AS begin, CAST("end" AS INTEGER) AS "end", match, math_type, latex FROM reached WHERE reach IS NULL OR reach < "end")
 """
-QUERIES["m05_math_spans"] = lambda spark, sf_dir: mathx.recognised(math_text(spark, sf_dir)).select("doc_id", "begin", "end", "match", "math_type", "latex")
-ORACLES["m05_math_spans"] = M + "SELECT doc_id, CAST(\"end\" - length(match) AS INTEGER) AS begin, \"end\", match, math_type, latex FROM spans"
-QUERIES["m04_outermost"] = lambda spark, sf_dir: mathx.outermost(mathx.math_spans(math_text(spark, sf_dir))).select("doc_id", "begin", "end", "match", "math_type", "latex")
+
+
+MATH_TEXT = """WITH source AS (SELECT o_orderkey AS doc_id, 'ratio ' || o_orderkey || '/' || o_custkey || ' and x^{' || o_orderkey || '} with a_' || o_custkey ||
+  CASE WHEN o_orderkey % 3 = 0 THEN ' is $q/2$ so y = ' || o_custkey || '*2' ELSE ' is \\(q_1\\) ≤ ∫ z/w so y = ' || o_custkey END AS text FROM orders),
+"""
+DOCUMENT_TEXT = "WITH source AS (SELECT doc_id, text FROM documents),\n"
+SPLICED = """SELECT doc_id, list_reduce(list_prepend({'t': text, 'b': 0, 'e': 0, 'l': ''}, cuts), lambda s, x: {'t': left(s.t, x.b) || x.l || substr(s.t, x.e + 1), 'b': 0, 'e': 0, 'l': ''}).t AS text
+FROM (SELECT s.doc_id, any_value(s.text) AS text, coalesce(list({'t': '', 'b': begin, 'e': "end", 'l': latex} ORDER BY begin DESC, "end" DESC, latex DESC) FILTER (match IS NOT NULL), []) AS cuts FROM source s LEFT JOIN spans USING (doc_id) GROUP BY s.doc_id)"""
+SPAN_COLUMNS = ("doc_id", "begin", "end", "match", "math_type", "latex")
+QUERIES["m05_math_spans"] = lambda spark, sf_dir: mathx.recognised(math_text(spark, sf_dir)).select(*SPAN_COLUMNS)
+ORACLES["m05_math_spans"] = MATH_TEXT + _spans_sql("source") + "SELECT * FROM spans"
+QUERIES["m05b_document_spans"] = lambda spark, sf_dir: mathx.recognised(corpus.table(spark, sf_dir, "documents")).select(*SPAN_COLUMNS)
+ORACLES["m05b_document_spans"] = DOCUMENT_TEXT + _spans_sql("source") + "SELECT * FROM spans"
+QUERIES["m04_outermost"] = lambda spark, sf_dir: mathx.outermost(mathx.math_spans(math_text(spark, sf_dir))).select(*SPAN_COLUMNS)
 ORACLES["m04_outermost"] = ORACLES["m05_math_spans"]
 QUERIES["m07_splice"] = lambda spark, sf_dir: mathx.format_math(math_text(spark, sf_dir))
-ORACLES["m07_splice"] = M + "SELECT doc_id, string_agg(lead || latex, '' ORDER BY n) AS text FROM spans GROUP BY doc_id"
+ORACLES["m07_splice"] = MATH_TEXT + _spans_sql("source") + SPLICED
+QUERIES["m07b_format_documents"] = lambda spark, sf_dir: mathx.format_math(corpus.table(spark, sf_dir, "documents"))
+ORACLES["m07b_format_documents"] = DOCUMENT_TEXT + _spans_sql("source") + SPLICED
