@@ -68,42 +68,59 @@ def battery(token: Column) -> Column:
     runs above and below its middle, and the correlation of neighbours.  The
     chi-squared test puts neighbouring symbols together into a power of two
     of cells, so that each may expect CELL symbols or more (two cells at least).
-    """
-
-    def with_alphabet(alphabet: str) -> Column:
-        k = len(alphabet)
-        body = F.regexp_replace(token, "=+$", "")
-        body = F.lower(body) if k == 16 else F.translate(body, "-_", "+/") if k == 64 else body
-        points = F.transform(F.sequence(F.lit(1), F.length(body)), lambda i: (F.instr(F.lit(alphabet), F.substring(body, i, F.lit(1))) - 1).cast("double"))
-
-        def tests(x: Column) -> Column:
-            n = F.size(x).cast("double")
-            total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, y: s + y)
-            cells = F.greatest(F.lit(2.0), F.least(F.lit(float(k)), F.pow(F.lit(2.0), F.floor(F.log2(n / CELL)))))
-            df = cells - 1
-            counts = F.transform(F.sequence(F.lit(0), cells.cast("int") - 1), lambda s: F.size(F.filter(x, lambda y: F.floor(y * cells / k) == s)).cast("double"))
-            squares = total(F.transform(counts, lambda c: c * c))
-            # cube-root normal form of the chi-squared statistic
-            z_chi = (F.pow(F.greatest((cells * squares / n - n) / df, F.lit(1e-9)), F.lit(1 / 3)) - (1 - 2 / (9 * df))) / F.sqrt(2 / (9 * df))
-            p_chi = F.when(z_chi > 0, normal_tail(z_chi)).otherwise(1.0)
-            high = total(F.transform(x, lambda y: F.when(y >= k / 2, 1.0).otherwise(0.0)))
-            runs = 1 + total(F.transform(x, lambda y, i: F.when((i > 0) & ((y >= k / 2) != (F.get(x, i - 1) >= k / 2)), 1.0).otherwise(0.0)))
-            expected = 2 * high * (n - high) / n + 1
-            variance = (expected - 1) * (expected - 2) / (n - 1)
-            p_runs = F.when(variance > 0, 2 * normal_tail(F.abs(runs - expected) / F.sqrt(variance))).otherwise(0.0)
-            mean = total(x) / n
-            spread = total(F.transform(x, lambda y: (y - mean) * (y - mean)))
-            joint = total(F.transform(x, lambda y, i: F.when(i > 0, (y - mean) * (F.get(x, i - 1) - mean)).otherwise(0.0)))
-            p_serial = F.when(spread > 0, 2 * normal_tail(F.abs(joint / spread) * F.sqrt(n))).otherwise(0.0)
-            return F.least(F.lit(1.0), 3 * F.least(p_chi, p_runs, p_serial))
-
-        return let(points, tests)
 
+    Symbols are counted by what is left of the token without them, and runs by
+    a pattern over a word of two letters, so the work grows with the token.
+    """
     chosen = None
-    for _, shape, alphabet in ALPHABETS:
-        value = with_alphabet(alphabet)
-        chosen = F.when(token.rlike(shape), value) if chosen is None else chosen.when(token.rlike(shape), value) if shape else chosen.otherwise(value)
-    return chosen
+    bare = F.regexp_replace(token, "=+$", "")
+    for name, shape, alphabet in ALPHABETS:
+        body = F.lower(bare) if name == "hex" else F.translate(bare, "-_", "+/") if name == "base64" else bare
+        halves = "L" * (len(alphabet) // 2) + "H" * (len(alphabet) // 2)
+        found = F.struct(body.alias("body"), F.lit(alphabet).alias("alphabet"), F.translate(body, alphabet, halves).alias("halves"))
+        chosen = F.when(token.rlike(shape), found) if chosen is None else chosen.when(token.rlike(shape), found) if shape else chosen.otherwise(found)
+    total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, y: s + y)
+
+    def tests(c: Column) -> Column:
+        n, k = F.length(c["body"]).cast("double"), F.length(c["alphabet"])
+        seen = F.transform(F.split(c["alphabet"], ""), lambda y: (n - F.length(F.replace(c["body"], y, F.lit("")))).cast("double"))
+        values = F.transform(F.split(c["body"], ""), lambda y: (F.instr(c["alphabet"], y) - 1).cast("double"))
+        runs = F.regexp_count(c["halves"], F.lit("L+|H+")).cast("double")
+        return let(F.struct(n.alias("n"), k.alias("k"), seen.alias("seen"), values.alias("x"), runs.alias("runs")), combined)
+
+    def combined(v: Column) -> Column:
+        n, k, x = v["n"], v["k"], v["x"]
+        cells = F.greatest(F.lit(2.0), F.least(k.cast("double"), F.pow(F.lit(2.0), F.floor(F.log2(n / CELL)))))
+        moments = F.struct(
+            cells.alias("cells"),
+            total(F.slice(v["seen"], (k / 2).cast("int") + 1, k)).alias("high"),
+            (total(x) / n).alias("mean"),
+            total(F.transform(v["seen"], lambda m, y: m * y * y)).alias("squares"),
+            total(F.transform(x, lambda y, i: y * F.coalesce(F.get(x, i - 1), F.lit(0.0)))).alias("products"),
+            (F.get(x, F.lit(0)) + F.element_at(x, -1)).alias("ends"),
+        )
+        return let(moments, lambda m: F.least(F.lit(1.0), 3 * F.least(p_uniform(v, m["cells"]), p_runs(v, m["high"]), p_serial(v, m))))
+
+    def p_uniform(v: Column, cells: Column) -> Column:
+        width = (v["k"] / cells).cast("int")
+        counts = F.transform(F.sequence(F.lit(0), cells.cast("int") - 1), lambda s: total(F.slice(v["seen"], s * width + 1, width)))
+        df = cells - 1
+        # cube-root normal form of the chi-squared statistic
+        z = lambda squares: (F.pow(F.greatest((cells * squares / v["n"] - v["n"]) / df, F.lit(1e-9)), F.lit(1 / 3)) - (1 - 2 / (9 * df))) / F.sqrt(2 / (9 * df))
+        return let(z(total(F.transform(counts, lambda c: c * c))), lambda z: F.when(z > 0, normal_tail(z)).otherwise(1.0))
+
+    def p_runs(v: Column, high: Column) -> Column:
+        expected = 2 * high * (v["n"] - high) / v["n"] + 1
+        variance = lambda e: (e - 1) * (e - 2) / (v["n"] - 1)
+        return let(expected, lambda e: F.when(variance(e) > 0, 2 * normal_tail(F.abs(v["runs"] - e) / F.sqrt(variance(e)))).otherwise(0.0))
+
+    def p_serial(v: Column, m: Column) -> Column:
+        n, mean = v["n"], m["mean"]
+        spread = m["squares"] - n * mean * mean
+        joint = m["products"] - mean * (2 * n * mean - m["ends"]) + (n - 1) * mean * mean
+        return F.when(spread > 1e-9 * n, 2 * normal_tail(F.abs(joint / spread) * F.sqrt(n))).otherwise(0.0)
+
+    return let(chosen, tests)
 
 
 def scan(docs: DataFrame) -> DataFrame:
