@@ -87,8 +87,6 @@ class Model:
         chosen = order[:1]
         shares, best = self.mixture(p[chosen], weight)
         for size in range(2, len(order) + 1):
-            if share[order[size - 1]] < 0.01:
-                break
             own, now = self.mixture(p[order[:size]], weight)
             if now - penalty <= best:
                 break
@@ -100,16 +98,19 @@ class Model:
 def learn(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, seed: int = 5) -> Model:
     """labelled(doc_id, text, lang) -> Model, from about ``sample_docs`` whole texts of each language.
 
-    Rows without a text or language are left out.  The driver gets one row
-    for each language and at most BUCKETS counts for each.
+    Rows are drawn by doc_id and text, so an id that stands for many texts is
+    no larger a draw; the row with the least draw is always in, so that each
+    language has one; equal rows count once.  Rows without a text or language
+    are left out.  The driver gets one row for each language and at most
+    BUCKETS counts for each.
     """
-    labelled = labelled.where("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "text", "lang")
-    sizes = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    draw = F.pmod(F.xxhash64(F.lit(seed), "doc_id", "text"), F.lit(1 << 30))
+    labelled = labelled.where("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "text", "lang", draw.alias("draw"))
+    sizes = {r.lang: (r.n, r.least) for r in labelled.groupBy("lang").agg(F.count("*").alias("n"), F.min("draw").alias("least")).collect()}
     if not sizes:
         return Model([], np.empty((0, BUCKETS)))
-    rates = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, sample_docs / n))])
-    draw = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 20)) / float(1 << 20)
-    sample = labelled.where(draw < rates[F.col("lang")])
+    limits = F.create_map(*[F.lit(x) for lang, (n, least) in sizes.items() for x in (lang, max(int(sample_docs / n * (1 << 30)), least))])
+    sample = labelled.where(F.col("draw") <= limits[F.col("lang")]).dropDuplicates(["doc_id", "text", "lang"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[str, np.ndarray] = {}
