@@ -11,6 +11,7 @@ from urllib.parse import urlsplit
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,9 +19,10 @@ from .common import materialise, new_path
 
 #: Payloads from this size on are stored once.
 REVISIT_BYTES = 100
-RECORDS_PER_FILE = 2000
-#: Payloads up to this size share archives of RECORDS_PER_FILE records; for each doubling an archive has half as many.
-SMALL_BYTES = 32 << 10
+#: An archive is closed once its records have this many bytes.
+ARCHIVE_BYTES = 64 << 20
+#: The time of a capture that has none.
+CAPTURED = "2024-01-01 00:00:00"
 ID = "urn:quillspark:page:"
 END = "\r\n\r\n"
 
@@ -33,26 +35,40 @@ def first_captures(pages: DataFrame, least: int = REVISIT_BYTES) -> DataFrame:
     return seen.where("n > 1 AND first IS NOT NULL").select("digest", "first")
 
 
-def write_warc(pages: DataFrame, captured: str | Column = "2024-01-01 00:00:00", path: str | None = None, compression: str = "gzip") -> str:
+def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Records of a task -> record and the number of its archive, which goes up once ARCHIVE_BYTES are reached."""
+    at = archive = 0
+    for batch in batches:
+        sizes = pc.binary_length(batch.column(0)).to_numpy(zero_copy_only=False)
+        numbers = np.empty(len(sizes), np.int32)
+        for k, size in enumerate(sizes.tolist()):
+            numbers[k] = archive
+            at += size
+            if at >= ARCHIVE_BYTES:
+                at, archive = 0, archive + 1
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(numbers)], ["value", "archive"])
+
+
+def write_warc(pages: DataFrame, captured: str | Column = CAPTURED, path: str | None = None, compression: str = "gzip") -> str:
     """Write pages(page_id, url, html) as WARC 1.1 files; returns the folder.
 
     Each part file of Spark's text writer is an archive: its "lines" are whole
     records and its line separator is the blank line that ends a record.  An
-    archive holds some 64 MB at most, or one record.  A payload seen before
+    archive holds ARCHIVE_BYTES and a record at most.  A payload seen before
     (with a smaller page_id) is a revisit record with the HTTP head alone.
     ``captured`` is the time of all captures, or a column of ``pages`` with
     the time of each.  With ``compression`` "none" the places in the index are
     places in the file; with "gzip", in its one stream of decompressed bytes.
 
     A null html is an empty payload, a null url is left out of its record, a
-    null page_id gives a record without a number; rows that share a page_id
-    share a record id.
+    null page_id gives a record without a number, a null time is CAPTURED;
+    rows that share a page_id share a record id; no pages give no archive.
     """
     spark = pages.sparkSession
     path = path or new_path(spark, "warc")
     firsts = materialise(first_captures(pages), "firsts")
     html = F.coalesce(F.col("html"), F.lit(""))
-    time = (F.lit(captured) if isinstance(captured, str) else captured).cast("timestamp")
+    time = F.coalesce((F.lit(captured) if isinstance(captured, str) else captured).cast("timestamp"), F.lit(CAPTURED).cast("timestamp"))
     rows = pages.select("page_id", "url", html.alias("html"), time.alias("captured")).withColumn("digest", F.sha2(F.col("html").cast("binary"), 256))
     rows = rows.join(firsts, "digest", "left")
     revisit = F.col("first").isNotNull() & ~F.coalesce(F.col("first") == F.col("page_id"), F.lit(False))
@@ -70,13 +86,8 @@ def write_warc(pages: DataFrame, captured: str | Column = "2024-01-01 00:00:00",
         (F.octet_length(head) + F.when(revisit, 0).otherwise(F.octet_length("html"))).cast("string"),
         F.lit(END), head, F.when(revisit, "").otherwise(F.col("html")),
     )
-    doublings = F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(F.lit(1), F.octet_length("html")) / SMALL_BYTES))).cast("int")
-    records = rows.select(doublings.alias("doublings"), record.alias("value"))
-    sizes = pages.select(F.octet_length("html").alias("n")).agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
-    classes = max(0, (max(1, sizes) - 1) // SMALL_BYTES).bit_length()
-    for k in range(classes + 1):
-        own = records.where(F.col("doublings") == k).select("value")
-        own.write.mode("append").option("lineSep", END).option("compression", compression).option("maxRecordsPerFile", max(1, RECORDS_PER_FILE >> k)).text(path)
+    records = rows.select(record.alias("value")).mapInArrow(numbered, "value string, archive int")
+    records.write.partitionBy("archive").option("lineSep", END).option("compression", compression).text(path)
     return path
 
 
