@@ -25,7 +25,7 @@ LANES = [f"h{k}" for k in range(len(POINTS))]
 #: Longer texts are hashed and compared in pieces of this many bytes.
 PIECE = 1 << 16
 #: Members of a group, and bytes of theirs, that one task compares with the group's first.
-SALT_ROWS, SALT_BYTES = 1024, 64 << 20
+SALT_ROWS, SALT_BYTES = 256, 64 << 20
 #: Repeated fingerprints are broadcast up to this many (about 100 bytes each), and joined by a shuffle beyond.
 BROADCAST_ROWS = 250_000
 
@@ -68,26 +68,33 @@ def add_lanes(frame: DataFrame, piece: int, keep_text: bool, prime: int) -> Data
     return frame.mapInArrow(run, ", ".join([*[f"`{n}` {kinds[n]}" for n in names], *[f"{n} long" for n in LANES]]))
 
 
-def fingerprints(docs: DataFrame, keep_text: bool = False, piece: int = PIECE, prime: int = PRIME) -> DataFrame:
-    """docs(doc_id, text) -> doc_id, text_sha256, print(n_bytes, high, low), and the normalised text as bytes if asked for.
+def normalised(part: DataFrame) -> DataFrame:
+    """doc_id, text_sha256, n_bytes, text as bytes: a run of white space counts as one space, a null text as empty."""
+    plain = F.regexp_replace(F.coalesce("text", F.lit("")), SPACE, " ").cast("binary")
+    return part.select(F.col("doc_id").cast("long"), F.sha2(plain, 256).alias("text_sha256"), F.octet_length(plain).cast("long").alias("n_bytes"), plain.alias("text"))
 
-    A run of white space counts as one space, a null text as empty.  Texts of
-    more than ``piece`` bytes are written to the shared folder once, dealt
-    over tasks in pieces, and their lanes summed.
+
+def huge_texts(docs: DataFrame, piece: int = PIECE, prime: int = PRIME) -> DataFrame:
+    """Normalised texts of more than ``piece`` bytes with their lanes.
+
+    They are written to the shared folder, dealt over tasks in pieces, and
+    what each piece adds to its text's lanes is summed.
     """
-    raw = F.coalesce(F.col("text"), F.lit(""))
-    plain = F.regexp_replace(raw, SPACE, " ").cast("binary")
-    rows = lambda part: part.select(F.col("doc_id").cast("long"), F.sha2(plain, 256).alias("text_sha256"), F.octet_length(plain).cast("long").alias("n_bytes"), plain.alias("text"))
-    small = add_lanes(rows(docs.where(F.octet_length(raw) <= piece)).withColumn("after", F.lit(0)), piece, keep_text, prime)
-    huge = materialise(rows(docs.where(F.octet_length(raw) > piece)).withColumn("row", F.monotonically_increasing_id()), "huge")
+    huge = materialise(normalised(docs.where(F.octet_length("text") > piece)).withColumn("row", F.monotonically_increasing_id()), "huge")
     place = F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.greatest(F.lit(0), F.col("n_bytes") - 1) / piece))).alias("place")
     begin = F.col("place") * piece
     pieces = huge.select("row", "n_bytes", "text", place)
     pieces = pieces.select("row", "place", F.substring("text", (begin + 1).cast("int"), piece).alias("text"), F.greatest(F.lit(0).cast("long"), F.col("n_bytes") - begin - piece).alias("after"))
     sums = add_lanes(pieces.repartition("row", "place"), piece, False, prime).groupBy("row").agg(*[(F.sum(n) % prime).alias(n) for n in LANES])
-    large = huge.join(sums, "row").select(*small.columns)
+    return materialise(huge.join(sums, "row").drop("row"), "large")
+
+
+def fingerprints(docs: DataFrame, large: DataFrame, keep_text: bool = False, piece: int = PIECE, prime: int = PRIME) -> DataFrame:
+    """docs(doc_id, text), huge_texts of docs -> doc_id, text_sha256, print(n_bytes, high, low), and the normalised text as bytes if asked for."""
+    small = normalised(docs.where(F.coalesce(F.octet_length("text"), F.lit(0)) <= piece)).withColumn("after", F.lit(0))
+    small = add_lanes(small, piece, keep_text, prime)
     packed = [(F.shiftleft(a, 31) + F.col(b)).alias(n) for n, (a, b) in zip(TEXT[1:], (LANES[:2], LANES[2:]), strict=True)]
-    return small.unionByName(large).select("doc_id", "text_sha256", F.struct("n_bytes", *packed).alias("print"), *["text"] * keep_text)
+    return small.unionByName(large.select(*small.columns)).select("doc_id", "text_sha256", F.struct("n_bytes", *packed).alias("print"), *["text"] * keep_text)
 
 
 def matched(rows: DataFrame, found: DataFrame) -> DataFrame:
@@ -148,10 +155,11 @@ def exact_copies(docs: DataFrame, piece: int = PIECE, prime: int = PRIME) -> Dat
     told apart by their bytes.  An empty table gives an empty result; other
     columns are not read.
     """
-    prints = fingerprints(docs, False, piece, prime)
+    large = huge_texts(docs, piece, prime)
+    prints = fingerprints(docs, large, False, piece, prime)
     groups = materialise(prints.groupBy("print").agg(F.count("*").alias("n"), F.min("doc_id").alias("doc_id"), F.min("text_sha256").alias("text_sha256")), "prints")
     alone = groups.where("n = 1").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
-    copies = materialise(matched(fingerprints(docs, True, piece, prime), groups.where("n > 1").select("print", "n")).withColumn("row", F.monotonically_increasing_id()), "copies")
+    copies = materialise(matched(fingerprints(docs, large, True, piece, prime), groups.where("n > 1").select("print", "n")).withColumn("row", F.monotonically_increasing_id()), "copies")
     odd = materialise(unequal(copies, piece), "odd")
     sums = [F.count("*").alias("n"), F.min(before()).alias("first")]
     rest = copies.drop("text", "n").join(odd, "row", "left_anti")
