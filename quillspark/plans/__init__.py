@@ -1,5 +1,5 @@
 """Queries and their oracles; importing the package registers all of them."""
 
-from . import documents, operations, queries, structure
+from . import documents, operations, queries, streams, structure
 
-__all__ = ["documents", "operations", "queries", "structure"]
+__all__ = ["documents", "operations", "queries", "streams", "structure"]
