@@ -23,6 +23,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -33,12 +34,16 @@ MAGIC = b"QTB1"
 HEAD = struct.Struct("<4sIIQI")
 BLOCK_IDS = 4096
 ROW_DOCS, ROW_IDS = 512, 1 << 20
-#: Pieces whose ids a worker remembers.
-CACHE_PIECES = 500_000
+#: Documents and bytes of text that are encoded together.
+TURN_DOCS, TURN_BYTES, GATHER_DOCS = 8192, 20 << 20, 256
+#: Pieces whose ids a worker remembers: those used last, in two generations of this many at most.
+CACHE_PIECES = 300_000
 #: Pieces that go to the library as one text.
 JOINED_PIECES = 2000
 #: White space other than the space and the line end.
-OTHER_SPACE = re.compile(r"[^\S \n]")
+OTHER_SPACE = "".join(c for c in map(chr, range(0x110000)) if c.isspace() and c not in " \n")
+#: Stands before the first piece of a text, which has no space in front.
+FIRST = "\t"
 
 
 def pack(ids: np.ndarray, bits: int) -> bytes:
@@ -95,10 +100,12 @@ class PieceEncoder:
 
         self.library = Tokenizer.from_file(path)
         self.bits = max(1, (self.library.get_vocab_size() - 1).bit_length())
-        self.pieces: dict[str, np.ndarray] = {}
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         with open(path, encoding="utf-8") as f:
             described = json.load(f)
-        self.added = [t["content"] for t in described["added_tokens"]]
+        added = "".join(f"|{re.escape(t['content'])}" for t in described["added_tokens"])
+        self.whole_pattern = f"[{OTHER_SPACE}]|[ \n][ \n]|\\A[ \n]|[ \n]\\z{added}"
         self.parted = self._cuts_words(described)
 
     def _whole(self, texts: list[str]) -> list[list[int]]:
@@ -120,11 +127,9 @@ class PieceEncoder:
         self.line_end = ids[0]
         return True
 
-    def separable(self, text: str) -> bool:
+    def separable(self, texts: pa.Array) -> pa.Array:
         """Whether all white space is single spaces and line ends between other characters, and no added token is in the text."""
-        if any(x in text for x in ("  ", "\n\n", " \n", "\n ", *self.added)) or text[0] in " \n" or text[-1] in " \n":
-            return False
-        return OTHER_SPACE.search(text) is None
+        return pc.invert(pc.match_substring_regex(texts, self.whole_pattern))
 
     def _pieces(self, pieces: list[str]) -> list[bytes]:
         """Ids of each piece: many to a text, a line for each, cut at the line ends.
@@ -132,7 +137,7 @@ class PieceEncoder:
         A first piece of a text and one after a line end stand at the start
         of their line, the others after the space that belongs to them.
         """
-        shown = [p[1:] if p[0] in " \n" else " " + p for p in pieces]
+        shown = [p[1:] if p[0] in (FIRST, "\n") else " " + p for p in pieces]
         blocks = ["\n".join(shown[at : at + JOINED_PIECES]) for at in range(0, len(shown), JOINED_PIECES)]
         out = []
         for ids in self._whole(blocks):
@@ -143,33 +148,56 @@ class PieceEncoder:
         first = np.uint32(self.line_end).tobytes()
         return [first + x if p[0] == "\n" else x for p, x in zip(pieces, out, strict=True)]
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of each text; what is new in all of them goes to the library at once.
+    def _known(self, pieces: list[str]) -> list[bytes]:
+        """Ids of different pieces; what is new in all of them goes to the library at once."""
+        if len(self.young) > CACHE_PIECES:
+            self.young, self.old = {}, self.young
+        young, old = self.young, self.old
+        found = [young.get(p) or old.get(p) for p in pieces]
+        new = [k for k, ids in enumerate(found) if ids is None]
+        for k, ids in zip(new, self._pieces([pieces[k] for k in new]), strict=True) if new else ():
+            found[k] = ids
+        young.update(zip(pieces, found, strict=True))
+        return found
+
+    def _parted(self, texts: pa.Array) -> list[np.ndarray]:
+        """Ids of separable texts, none empty: their different pieces are encoded and put in the places of all."""
+        marked = pc.binary_join_element_wise(FIRST, pc.replace_substring(texts, "\n", " \n"), "")
+        lists = pc.split_pattern(marked, " ")
+        coded = lists.flatten().dictionary_encode()
+        ids = self._known(coded.dictionary.to_pylist())
+        sizes = np.array([len(x) // 4 for x in ids], np.int32)
+        flat = np.frombuffer(b"".join(ids), np.uint32)
+        begins = np.cumsum(sizes, dtype=np.int32) - sizes
+        places = coded.indices.to_numpy()
+        offsets = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+        out: list[np.ndarray] = []
+        for at in range(0, len(texts), GATHER_DOCS):  # a few at a time, to keep the arrays small
+            own = offsets[at : at + GATHER_DOCS + 1]
+            part = places[own[0] : own[-1]]
+            counts = sizes[part]
+            ends = np.cumsum(counts, dtype=np.int32)
+            found = flat[np.repeat(begins[part] - (ends - counts), counts) + np.arange(ends[-1], dtype=np.int32)]
+            out += np.split(found, np.r_[np.int32(0), ends][own[1:-1] - own[0]])
+        return out
+
+    def encode(self, texts: list[str] | pa.Array) -> list[np.ndarray]:
+        """Ids of each text.
 
         Pieces are remembered without the space before them; a text's first
-        piece has none, and is remembered with one in front to tell it apart.
+        piece has none, and is remembered with a mark in front to tell it apart.
         """
-        parted = [None] * len(texts)
-        for k, text in enumerate(texts):
-            if text and self.parted and self.separable(text):
-                parts = text.replace("\n", " \n").split(" ")
-                parts[0] = " " + parts[0]
-                parted[k] = parts
-        known = self.pieces
-        new = list(set().union(*filter(None, parted)).difference(known))
-        odd = [k for k, text in enumerate(texts) if text and parted[k] is None]
-        found = self._whole([texts[k] for k in odd])
-        fresh = dict(zip(new, self._pieces(new), strict=True)) if new else {}
-        known.update(fresh)
-        out: list[np.ndarray] = [np.empty(0, np.uint32)] * len(texts)
-        for k, ids in zip(odd, found, strict=True):
+        column = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        filled = pc.greater(pc.fill_null(pc.binary_length(column), 0), 0)
+        parted = pc.and_(filled, self.separable(pc.fill_null(column, ""))) if self.parted else pa.array(np.zeros(len(column), bool))
+        out: list[np.ndarray] = [np.empty(0, np.uint32)] * len(column)
+        places = np.flatnonzero(parted.to_numpy(zero_copy_only=False))
+        if len(places):
+            for k, ids in zip(places.tolist(), self._parted(column.take(pa.array(places))), strict=True):
+                out[k] = ids
+        odd = np.flatnonzero(pc.and_not(filled, parted).to_numpy(zero_copy_only=False))
+        for k, ids in zip(odd.tolist(), self._whole(column.take(pa.array(odd)).to_pylist()), strict=True):
             out[k] = np.array(ids, np.uint32)
-        for k, parts in enumerate(parted):
-            if parts:
-                out[k] = np.frombuffer(b"".join(map(known.__getitem__, parts)), np.uint32)
-        if len(known) > CACHE_PIECES:
-            for p in fresh:
-                del known[p]
         return out
 
 
@@ -179,6 +207,19 @@ def worker_encoder(path: str) -> PieceEncoder:
     return PieceEncoder(path)
 
 
+def turns(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch (doc_id, text) in slices of TURN_DOCS rows and about TURN_BYTES at most."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
+    begin = held = 0
+    for k, size in enumerate(sizes.tolist()):
+        if k > begin and (held + size > TURN_BYTES or k - begin >= TURN_DOCS):
+            yield batch.slice(begin, k - begin)
+            begin, held = k, 0
+        held += size
+    if begin < batch.num_rows:
+        yield batch.slice(begin)
+
+
 def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 0, path: str | None = None) -> str:
     """Encode docs(doc_id, text), append ``end_id`` to each, and write the files.
 
@@ -206,10 +247,8 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 0, path: str | N
             return pa.RecordBatch.from_arrays(columns, ["part", "row", "start", "n_ids", "doc_ids", "ends", "data"])
 
         for batch in batches:
-            for at in range(0, batch.num_rows, ROW_DOCS):
-                part_batch = batch.slice(at, ROW_DOCS)
-                texts = [t or "" for t in part_batch.column(1).to_pylist()]
-                for doc_id, ids in zip(part_batch.column(0).to_pylist(), encoder.encode(texts), strict=True):
+            for turn in turns(batch):
+                for doc_id, ids in zip(turn.column(0).to_pylist(), encoder.encode(turn.column(1)), strict=True):
                     names.append(doc_id)
                     held.append(np.append(ids, np.uint32(end_id)))
                     count += len(ids) + 1

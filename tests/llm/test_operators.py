@@ -156,6 +156,20 @@ def test_tokens_empty(nothing):
     assert tokens.op2_tokens(nothing, TOKENIZER).count() == 0
 
 
+def test_pieces_equal_library_on_a_table(spark):
+    """All documents of a table, in turns of several sizes, against whole texts; the memory of pieces turns over."""
+    own = tokens.PieceEncoder(TOKENIZER)
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").toArrow()
+    want = own._whole([t or "" for t in table.column("text").to_pylist()])
+    for docs, kept in ((64, 1000), (8192, 300_000)):
+        tokens.TURN_DOCS, tokens.CACHE_PIECES, before = docs, kept, (tokens.TURN_DOCS, tokens.CACHE_PIECES)
+        try:
+            found = [ids.tolist() for batch in table.to_batches() for turn in tokens.turns(batch) for ids in own.encode(turn.column(1))]
+        finally:
+            tokens.TURN_DOCS, tokens.CACHE_PIECES = before
+        assert found == want
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.text(alphabet=st.sampled_from("ab Z\n\t9'é.,|<>\u00a0\u2028\x1c") | st.characters(exclude_categories=["Cs"]), max_size=40))
 def test_pieces_equal_library(text):
