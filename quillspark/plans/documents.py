@@ -9,7 +9,7 @@ from ..functions import classify as C
 from ..functions import errors, rules
 from ..functions.patterns import strip
 from ..operators import elements, mathx, outline, pages
-from ..sinks import writers
+from ..sinks import named, writers
 from ..sources import corpus
 from . import sql as D
 from .queries import KINDS, ORACLES, QUERIES, TYPE, WEIGHT, E, O, T, per_document, query
@@ -90,6 +90,34 @@ def markdown_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return writers.read_markdown(spark, folder)
 
 
+def shelved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as converted files of several folders; many share a stem, and some failed."""
+    file = F.concat(F.coalesce("source", F.lit("none")), F.lit("/"), F.coalesce("lang", F.lit("xx")), F.lit("/doc é "), (col("doc_id") % 300).cast("string"), F.when(col("doc_id") % 2 == 0, ".v1.pdf").otherwise(".pdf"))
+    return corpus.table(spark, sf_dir, "documents").select("doc_id", file.alias("file"), F.concat(F.coalesce("text", F.lit("")), F.lit("\n"), col("doc_id").cast("string")).alias("markdown"), F.when(col("doc_id") % 11 == 0, "no text").alias("error"))
+
+
+SHELVED = f"""WITH s AS (SELECT doc_id, coalesce(source, 'none') || '/' || coalesce(lang, 'xx') || '/doc é ' || (doc_id % 300) || CASE WHEN doc_id % 2 = 0 THEN '.v1.pdf' ELSE '.pdf' END AS file, 'doc é ' || (doc_id % 300) || CASE WHEN doc_id % 2 = 0 THEN '.v1' ELSE '' END AS stem,
+  coalesce(text, '') || {NL} || doc_id AS markdown, doc_id % 11 = 0 AS failed FROM documents),
+named AS (SELECT *, stem || CASE WHEN row_number() OVER (PARTITION BY stem ORDER BY file, md5(markdown)) > 1 THEN '-' || left(md5(file || {NL} || md5(markdown)), 12) ELSE '' END AS name FROM s)
+"""
+
+
+@query("k01b_named_files", SHELVED + "SELECT name, markdown FROM named WHERE NOT failed")
+def named_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The files that a batch writes, read back."""
+    folder = writers.new_folder(spark, "named")
+    named.write_batch(shelved(spark, sf_dir), folder)
+    return named.read_named(spark, folder)
+
+
+@query("k02b_written_batch", SHELVED + "SELECT file, NOT failed AS success, CASE WHEN NOT failed THEN name || '.md' END AS output, CASE WHEN failed THEN 'no text' END AS error FROM named")
+def written_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a batch says about each of its files."""
+    folder = writers.new_folder(spark, "batch")
+    found = named.write_batch(shelved(spark, sf_dir), folder, sharded=True)
+    return found.withColumn("output", F.substring("output", F.lit(len(folder) + 2), F.length("output")))
+
+
 def page_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.table(spark, sf_dir, "pages").select("page_id", F.concat(F.lit("in/p"), col("page_id").cast("string"), F.lit(".x.html")).alias("file"), F.md5("html").alias("markdown"), F.when(col("page_id") % 10 == 7, problem()).alias("error"))
 
