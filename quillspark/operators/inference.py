@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-import time
+from collections import deque
 from collections.abc import Callable, Iterator
-from concurrent.futures import ThreadPoolExecutor
+from heapq import heappop, heappush
+from queue import Empty, SimpleQueue
+from threading import Thread
+from time import monotonic
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -55,22 +58,69 @@ def reply_tokens(body: Column) -> Column:
     return F.coalesce(*[F.get_json_object(body, p).cast("long") for p in places])
 
 
-def process_items(items: DataFrame, column: str, work: Callable[[], Callable[[str], str]], workers: int = 4, retries: int = 0, delay: float = 1.0, timeout: float | None = None) -> DataFrame:
-    """items(index, column, ..) -> index, success, result, error, attempts; a failure is a row, not an end.
+class Attempts:
+    """Calls in flight, each in a thread of its own, with a deadline and retries.
 
-    ``timeout`` bounds the seconds of one attempt; an attempt that takes
-    longer counts as failed when it is noticed, its thread is not stopped.
+    ``workers`` calls run at a time.  Deadlines and the times of retries stand
+    in one heap; a call that misses its deadline is given up, and its place goes to
+    the next item at once, so a call that hangs costs one thread and no other
+    item.  What a given-up call returns later is dropped.
     """
 
-    def bounded() -> Client:
-        run = work()
-        if timeout is None:
-            return run
-        pool = ThreadPoolExecutor(workers)
-        return lambda body: pool.submit(run, body).result(timeout)
+    def __init__(self, call: Client, workers: int, retries: int, delay: float, timeout: float | None) -> None:
+        self.call, self.workers, self.retries, self.delay, self.timeout = call, workers, retries, delay, timeout
+
+    def run(self, bodies: list[str | None]) -> list[tuple[str | None, str | None, int]]:
+        """(reply, error, attempts) of each body, in order; a null body is not sent."""
+        out: list[tuple[str | None, str | None, int]] = [(None, "no request", 0)] * len(bodies)
+        done: SimpleQueue = SimpleQueue()
+        waiting = deque((k, 1) for k, body in enumerate(bodies) if body is not None)
+        running: dict[int, int] = {}  # item -> its attempt
+        times: list[tuple[float, int, int, str]] = []
+        left = len(waiting)
+
+        def work(k: int, attempt: int) -> None:
+            try:
+                done.put((k, attempt, self.call(bodies[k]), None))
+            except Exception as failure:  # any failure of a client becomes the row's error
+                done.put((k, attempt, None, f"{type(failure).__name__}: {failure}"))
+
+        def ended(k: int, attempt: int, reply: str | None, error: str | None) -> bool:
+            """Whether the item is done; a failure that may be tried again gets its time."""
+            del running[k]
+            if error is not None and attempt <= self.retries:
+                heappush(times, (monotonic() + self.delay * 2 ** (attempt - 1), k, attempt + 1, "retry"))
+                return False
+            out[k] = (reply, error, attempt)
+            return True
+
+        while left:
+            while waiting and len(running) < self.workers:
+                k, attempt = waiting.popleft()
+                running[k] = attempt
+                if self.timeout is not None:
+                    heappush(times, (monotonic() + self.timeout, k, attempt, "deadline"))
+                Thread(target=work, args=(k, attempt), daemon=True).start()
+            try:
+                k, attempt, reply, error = done.get(timeout=max(0.0, times[0][0] - monotonic()) if times else None)
+                if running.get(k) == attempt:  # else it was given up
+                    left -= ended(k, attempt, reply, error)
+            except Empty:
+                _, k, attempt, what = heappop(times)
+                if what == "retry":
+                    waiting.append((k, attempt))
+                elif running.get(k) == attempt:
+                    left -= ended(k, attempt, None, f"TimeoutError: no reply within {self.timeout:g} s")
+        return out
+
 
+def process_items(items: DataFrame, column: str, work: Callable[[], Callable[[str], str]], workers: int = 4, retries: int = 0, delay: float = 1.0, timeout: float | None = None) -> DataFrame:
+    """items(index, column, ..) -> index, success, result, error, attempts; a failure is a row, not an end.
+
+    ``timeout`` bounds the seconds of one attempt; see ``Attempts``.
+    """
     asked = items.select("index", F.col(column).alias("body"))
-    done = call_model(asked, bounded, workers, retries, delay)
+    done = call_model(asked, work, workers, retries, delay, timeout)
     return done.select("index", (F.col("error").isNull() & (F.col("attempts") > 0)).alias("success"), F.col("reply").alias("result"), "error", "attempts")
 
 
@@ -93,36 +143,24 @@ def process_batches(items: DataFrame, column: str, work: Callable[[], Callable[[
     return items.select("index", column).mapInPandas(run, "index long, result string")
 
 
-def call_model(requests: DataFrame, make_client: Callable[[], Client], workers: int = 4, retries: int = 3, delay: float = 1.0) -> DataFrame:
+def call_model(requests: DataFrame, make_client: Callable[[], Client], workers: int = 4, retries: int = 3, delay: float = 1.0, timeout: float | None = None) -> DataFrame:
     """requests(.., body) -> the same rows with reply, error, attempts.
 
     Each partition makes one client and keeps ``workers`` calls in flight; a
-    row carries its own reply, so order does not matter.  A call that raises
-    is made again up to ``retries`` times, after ``delay`` seconds doubled
-    each time; then the row gets an error and no reply.  Null bodies are not
-    sent: they have an error and no attempts.
+    row carries its own reply, so order does not matter.  A call that raises,
+    or takes more than ``timeout`` seconds, is made again up to ``retries``
+    times, after ``delay`` seconds doubled each time; then the row gets an
+    error and no reply.  Null bodies are not sent: they have an error and no
+    attempts.
     """
     schema = requests.selectExpr("*", "'' AS reply", "'' AS error", "0 AS attempts").schema
     place = requests.columns.index("body")
 
-    def attempt(client: Client, body: str | None) -> tuple[str | None, str | None, int]:
-        if body is None:
-            return None, "no request", 0
-        for k in range(retries + 1):
-            try:
-                return client(body), None, k + 1
-            except Exception as failure:  # any failure of a client becomes the row's error
-                error = f"{type(failure).__name__}: {failure}"
-                if k < retries:
-                    time.sleep(delay * 2**k)
-        return None, error, retries + 1
-
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        client = make_client()
-        with ThreadPoolExecutor(workers) as pool:
-            for batch in batches:
-                found = list(pool.map(lambda b: attempt(client, b), batch.iloc[:, place]))
-                yield batch.assign(reply=[x[0] for x in found], error=[x[1] for x in found], attempts=pd.Series([x[2] for x in found], index=batch.index, dtype="int32"))
+        attempts = Attempts(make_client(), workers, retries, delay, timeout)
+        for batch in batches:
+            found = attempts.run(batch.iloc[:, place].tolist())
+            yield batch.assign(reply=[x[0] for x in found], error=[x[1] for x in found], attempts=pd.Series([x[2] for x in found], index=batch.index, dtype="int32"))
 
     for f in schema.fields[-3:]:
         f.nullable = True
