@@ -20,12 +20,17 @@ MARKDOWN = ["# ", "## ", "### ", "#### ", "*", "**", "```", "[", "]", "|", "$",
 SYMBOLS = [("≤", "\\leq"), ("≥", "\\geq"), ("≠", "\\neq"), ("≈", "\\approx"), ("∞", "\\infty"), ("π", "\\pi"), ("α", "\\alpha"), ("β", "\\beta"), ("γ", "\\gamma"), ("δ", "\\delta"), ("θ", "\\theta"), ("λ", "\\lambda"), ("μ", "\\mu"), ("σ", "\\sigma"), ("φ", "\\phi"), ("ω", "\\omega"), ("Δ", "\\Delta"), ("Σ", "\\Sigma"), ("Π", "\\Pi"), ("Ω", "\\Omega"), ("∫", "\\int"), ("∑", "\\sum"), ("∏", "\\prod"), ("∂", "\\partial"), ("∇", "\\nabla")]
 
 
-def text_class(text: Column) -> Column:
-    """TABLE for three pipes or more outside headings and list items, else TEXT."""
+def is_table(text: Column) -> Column:
+    """Three pipes or more outside headings and list items; the rest is looked at only in texts with pipes."""
     words = F.size(F.filter(F.split(strip(text), "[ \\t\\n]+"), lambda w: w != ""))
     heading = (F.length(text) < 100) & (has(text, "\\A#{1,6}<s>+") | (words < 10) & is_upper(text) | has(text, "\\A[A-Z][a-z\\t-\\r \\p{Z}]+:\\z"))
     item = has(text, "\\A<s>*([-*+•]|\\d+[.)])<s>+")
-    return F.when(heading | item, "TEXT").when(F.length(text) - F.length(F.replace(text, F.lit("|"), F.lit(""))) >= 3, "TABLE").otherwise("TEXT")
+    return (F.length(text) - F.length(F.replace(text, F.lit("|"), F.lit(""))) >= 3) & ~(heading | item)
+
+
+def text_class(text: Column) -> Column:
+    """TABLE or TEXT."""
+    return F.when(is_table(text), "TABLE").otherwise("TEXT")
 
 
 def text_confidence(text: Column) -> Column:
@@ -36,14 +41,15 @@ def text_confidence(text: Column) -> Column:
 
 
 def math_count(text: Column) -> Column:
-    return reduce(add, [count(text, p, "ms") for p in MATH_PATTERNS])
+    """Matches of the patterns of mathematics; texts without any of their signs are not searched."""
+    return F.when(text.rlike("[$=≠≤≥<>∫∑∂]|\\\\[\\[(]"), reduce(add, [count(text, p, "ms") for p in MATH_PATTERNS])).when(text.isNotNull(), 0)
 
 
 def code_score(text: Column) -> Column:
-    """Code indicators found, one each."""
+    """Code indicators found, one each; texts without any of their words and signs are not searched."""
     hits = [has(text, p, "mi").cast("int") for p in CODE_PATTERNS]
     hits += [has(text, "^<s>*[}>\\])]<s>*$", "m").cast("int"), holds(text, "for (", "while (", "if (").cast("int")]
-    return reduce(add, hits)
+    return F.when(text.rlike("(?i)def|function|class|import|#!/|<\\?php|<script|[{}>\\])]|(for|while|if) \\("), reduce(add, hits)).when(text.isNotNull(), 0)
 
 
 def math_expressions(text: Column) -> Column:
@@ -53,8 +59,8 @@ def math_expressions(text: Column) -> Column:
 
 
 def element_class(text: Column) -> Column:
-    """Mathematics first, then code among the text that is left."""
-    return let(text_class(text), lambda kind: F.when(kind != "TEXT", kind).when(math_count(text) > 2, "MATHEMATICAL").when(code_score(text) >= 2, "CODE").otherwise(kind))
+    """Tables first, then mathematics, then code among the text that is left."""
+    return F.when(is_table(text), "TABLE").when(math_count(text) > 2, "MATHEMATICAL").when(code_score(text) >= 2, "CODE").otherwise("TEXT")
 
 
 def extraction_quality(a: Column, b: Column) -> Column:

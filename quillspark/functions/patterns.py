@@ -99,3 +99,15 @@ def match_places(text: Column, pattern: str, flags: str = "") -> Column:
     """(begin, end, match) of each match, in order."""
     found = lambda p, at: F.transform(F.slice(p, F.lit(2), F.size(p)), lambda x, i: F.struct(F.get(at, i).alias("begin"), (F.get(at, i) + F.length(x[0])).alias("end"), x[0].alias("match")))
     return let(cut(text, pattern, flags), lambda p: let(places(p), lambda at: found(p, at)))
+
+
+def letter_runs(lines: Column, letter: Callable[[Column], Column], pattern: str) -> Column:
+    """Pieces (start, size, letter) of an array: a word of a letter for each element is cut by a pattern.
+
+    The pattern matches everywhere, so the pieces cover the array; ``letter``
+    of a piece is that of its first element.
+    """
+    word = F.array_join(F.transform(lines, letter), "")
+    piece = lambda x, end: F.struct((end - F.length(x)).alias("start"), F.length(x).alias("size"), F.left(x, F.lit(1)).alias("letter"))
+    placed = lambda p: let(running_sum(F.transform(p, F.length)), lambda e: F.transform(p, lambda x, i: piece(x, F.get(e, i))))
+    return let(F.regexp_extract_all(word, F.lit(pattern), F.lit(0)), placed)

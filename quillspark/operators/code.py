@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 from operator import add
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.patterns import count, has, holds, let, strip
-from ..sources.corpus import explode_lines, join_lines
+from ..functions.patterns import count, has, holds, letter_runs, strip
+from ..sources.corpus import join_lines
 
 # Language patterns with weights, in the order that settles ties.
 LANGUAGES = {
@@ -34,48 +35,83 @@ LINE_PATTERNS = [
 OPERATORS = ["==", "!=", "<=", ">=", "+=", "-=", "*=", "/=", "&&", "||", "->", "=>", "::", "..."]
 
 
+#: All of them begin at the line's first sign, so they are tried as one.
+LINE_START = "\\A<s>*"
+LINE_PATTERN = f"{LINE_START}(?:{'|'.join(p.removeprefix(LINE_START) for p in LINE_PATTERNS)})"
+
+
 def is_code_line(line: Column) -> Column:
-    fits = reduce(lambda x, y: x | y, [has(line, p) for p in LINE_PATTERNS])
-    return (strip(line) != "") & (fits | has(line, "[(){}\\[\\]<>]") | holds(line, *OPERATORS) | has(strip(line), "[;,]\\z"))
+    signs = has(line, "[(){}\\[\\]<>]|[;,]<s>*\\z") | holds(line, *OPERATORS)
+    return has(line, "\\A<s>*[^\\t-\\r \\x1c-\\x1f\\x85\\p{Z}]") & (signs | has(line, LINE_PATTERN))
 
 
-def code_regions(lines: DataFrame, min_lines: int = 3) -> DataFrame:
-    """lines(doc_id, line_no, line) -> doc_id, start_line, end_line, code.
+def gather(lines: DataFrame) -> DataFrame:
+    """lines(doc_id, line_no, line) -> doc_id, lines: an array of (line_no, line) in order."""
+    return lines.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("lines"))
+
 
-    Runs of code lines; a blank line neither ends a run nor begins one, any
-    other line ends it.  Runs that span ``min_lines`` or more stay.
+def code_pieces(blocks: DataFrame, min_lines: int = 3) -> DataFrame:
+    """doc_id, lines -> doc_id, piece (a part of the lines), code: null but for regions.
+
+    A region is a run of code lines; a blank line neither ends a run nor
+    begins one, any other line ends it.  Runs that span ``min_lines`` or more
+    are regions.  The pieces cover all lines.
     """
-    marked = lines.withColumn("code", is_code_line(F.col("line"))).withColumn("stop", (strip(F.col("line")) != "") & ~F.col("code"))
-    island = F.sum(F.col("stop").cast("int")).over(Window.partitionBy("doc_id").orderBy("line_no"))
-    inner = marked.withColumn("island", island).where("NOT stop")
-    w = Window.partitionBy("doc_id", "island")
-    placed = inner.withColumns({"start_line": F.min(F.when(F.col("code"), F.col("line_no"))).over(w), "end_line": F.max(F.when(F.col("code"), F.col("line_no"))).over(w)})
-    body = placed.where(F.col("line_no").between(F.col("start_line"), F.col("end_line")) & (F.col("end_line") - F.col("start_line") + 1 >= min_lines))
-    ordered = F.array_sort(F.collect_list(F.struct("line_no", "line")))
-    return body.groupBy("doc_id", "start_line", "end_line").agg(F.array_join(F.transform(ordered, lambda x: x["line"]), "\n").alias("code"))
+    letter = lambda x: F.when(is_code_line(x["line"]), "c").when(strip(x["line"]) == "", "b").otherwise("o")
+    runs = blocks.select("doc_id", "lines", F.explode(letter_runs(F.col("lines"), letter, "c(?:[cb]*c)?|[^c]+")).alias("run"))
+    cut = runs.select("doc_id", F.slice("lines", F.col("run.start") + 1, F.col("run.size")).alias("piece"), (F.col("run.letter") == "c").alias("is_code"))
+    span = F.element_at("piece", -1)["line_no"] - F.col("piece")[0]["line_no"] + 1
+    return cut.select("doc_id", "piece", F.when(F.col("is_code") & (span >= min_lines), F.array_join(F.transform("piece", lambda x: x["line"]), "\n")).alias("code"))
+
+
+def code_regions(lines: DataFrame, min_lines: int = 3) -> DataFrame:
+    """lines(doc_id, line_no, line) -> doc_id, start_line, end_line, code."""
+    found = code_pieces(gather(lines), min_lines).where("code IS NOT NULL")
+    return found.select("doc_id", F.col("piece")[0]["line_no"].alias("start_line"), F.element_at("piece", -1)["line_no"].alias("end_line"), "code")
 
 
-def language_score(code: Column, rules: list[tuple[str, float]]) -> Column:
+#: A pattern that is nothing but a list of words, some in any case.
+WORDS = re.compile(r"(\(\?i\))?\\b\(([\w |]+)\)\\b")
+
+
+def matches(code: Column, tokens: Column, pattern: str) -> Column:
+    """Matches of a pattern; the words of a list are looked up among the tokens, phrases searched for."""
+    found = WORDS.fullmatch(pattern)
+    if not found:
+        return count(code, pattern)
+    words = found[2].split("|")
+    single = {w for w in words if " " not in w}
+    own = F.size(F.filter(tokens, lambda t: (F.upper(t) if found[1] else t).isin(*({w.upper() for w in single} if found[1] else single))))
+    return reduce(add, [count(code, f"{found[1] or ''}\\b{w}\\b") for w in words if " " in w], own)
+
+
+def code_tokens(code: Column) -> Column:
+    """The words of a block, as a pattern's word ends see them."""
+    return F.split(code, "[^\\p{L}\\p{N}_]+")
+
+
+def language_score(code: Column, tokens: Column, rules: list[tuple[str, float]]) -> Column:
     """Weighted matches of a language's patterns for each word of the code."""
-    tokens = F.size(F.filter(F.split(code, "\\s+"), lambda w: w != ""))
-    return F.round(reduce(add, [count(code, p) * w for p, w in rules]) / F.greatest(tokens, F.lit(1)), 6)
+    pieces = F.size(F.filter(F.split(code, "\\s+"), lambda w: w != ""))
+    return F.round(reduce(add, [matches(code, tokens, p) * w for p, w in rules]) / F.greatest(pieces, F.lit(1)), 6)
 
 
-def detect_language(code: Column, threshold: float = 0.6) -> Column:
-    """Struct of language and confidence: the highest score, the first declared on ties; below the threshold unknown and 0."""
-    scores = [F.struct(language_score(code, rules).alias("score"), F.lit(-k).alias("order"), F.lit(name).alias("name")) for k, (name, rules) in enumerate(LANGUAGES.items())]
+def best_language(code: Column, tokens: Column) -> Column:
+    """(score, order, name): the highest score, the first declared on ties."""
+    return F.greatest(*[F.struct(language_score(code, tokens, rules).alias("score"), F.lit(-k).alias("order"), F.lit(name).alias("name")) for k, (name, rules) in enumerate(LANGUAGES.items())])
 
-    def choose(best: Column) -> Column:
-        sure = (best["score"] >= threshold) & (strip(code) != "")
-        return F.struct(F.when(sure, best["name"]).otherwise("unknown").alias("language"), F.when(sure, best["score"]).otherwise(0.0).alias("confidence"))
 
-    return let(F.greatest(*scores), choose)
+def with_language(regions: DataFrame, threshold: float = 0.6) -> DataFrame:
+    """Regions with language and confidence of their code; below the threshold unknown and 0."""
+    tokens = regions.withColumn("tokens", code_tokens(F.col("code")))
+    found = tokens.withColumn("best", best_language(F.col("code"), F.col("tokens")))
+    sure = (F.col("best.score") >= threshold) & (strip(F.col("code")) != "")
+    return found.select(*regions.columns, F.when(sure, F.col("best.name")).otherwise("unknown").alias("language"), F.when(sure, F.col("best.score")).otherwise(0.0).alias("confidence"))
 
 
 def code_blocks(lines: DataFrame, threshold: float = 0.6, min_lines: int = 3) -> DataFrame:
     """Code regions with their language and confidence."""
-    found = code_regions(lines, min_lines).withColumn("found", detect_language(F.col("code"), threshold))
-    return found.select("doc_id", "start_line", "end_line", "code", "found.language", "found.confidence")
+    return with_language(code_regions(lines, min_lines), threshold)
 
 
 def fenced(code: Column, language: Column, confidence: Column, numbered: bool = False, max_chars: int = 1000, keep_lines: int = 50, threshold: float = 0.6) -> Column:
@@ -95,15 +131,21 @@ def fenced(code: Column, language: Column, confidence: Column, numbered: bool =
     return F.when(confidence < threshold, inline).otherwise(fence)
 
 
+def rewritten(blocks: DataFrame, numbered: bool, max_chars: int) -> DataFrame:
+    """doc_id, lines -> doc_id, line_no, line with each code region replaced by its rendering, at its first line."""
+    found = with_language(code_pieces(blocks))
+    block = F.when(F.col("code").isNotNull(), fenced(F.col("code"), F.col("language"), F.col("confidence"), numbered, max_chars))
+    shown = found.select("doc_id", "piece", block.alias("block"))
+    first = F.array(F.struct(F.col("piece")[0]["line_no"].alias("line_no"), F.col("block").alias("line")))
+    return shown.select("doc_id", F.inline(F.when(F.col("block").isNotNull(), first).otherwise(F.col("piece"))))
+
+
 def rewrite_code(lines: DataFrame, numbered: bool = False, max_chars: int = 1000) -> DataFrame:
-    """Lines with each code region replaced by its rendering, at its first line."""
-    block = fenced(F.col("code"), F.col("language"), F.col("confidence"), numbered, max_chars)
-    blocks = code_blocks(lines).select("doc_id", "start_line", "end_line", block.alias("block"))
-    spots = blocks.select("doc_id", F.explode(F.sequence("start_line", "end_line")).alias("line_no"), "start_line", "block")
-    joined = lines.join(spots, ["doc_id", "line_no"], "left").where(F.col("start_line").isNull() | (F.col("line_no") == F.col("start_line")))
-    return joined.select("doc_id", "line_no", F.coalesce("block", "line").alias("line"))
+    """lines(doc_id, line_no, line) with each code region replaced by its rendering, at its first line."""
+    return rewritten(gather(lines), numbered, max_chars)
 
 
 def format_code(docs: DataFrame, numbered: bool = False, max_chars: int = 1000) -> DataFrame:
-    """docs(doc_id, text) -> doc_id, text with its code regions rendered."""
-    return join_lines(rewrite_code(explode_lines(docs), numbered, max_chars))
+    """docs(doc_id, text) -> doc_id, text with its code regions rendered; doc_id tells documents apart."""
+    lines = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x, i: F.struct(i.alias("line_no"), x.alias("line")))
+    return join_lines(rewritten(docs.select("doc_id", lines.alias("lines")), numbered, max_chars))

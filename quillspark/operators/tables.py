@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.classify import centre, cut_cell, padded
-from ..functions.patterns import has, let, match_places, running_sum, strip, wide
+from ..functions.patterns import has, let, letter_runs, match_places, strip, wide
 
 # Delimiters in order of preference; limits of a valid table; how sure each detector is; patterns of table-like text.
 DELIMITERS = [",", "\t", ";", "|"]
@@ -268,17 +268,14 @@ def format_elements(docs: DataFrame, gap: int = 10) -> DataFrame:
 
 
 def table_runs(lines: Column) -> Column:
-    """Pieces (start, size, marked) of a text's lines, in order.
+    """Pieces (start, size, letter) of a text's lines, in order.
 
-    Lines with a pipe, two commas or two tabs are marked.  Runs of them are
-    taken in pieces of 20, the first of 19 where a line precedes; a word of a
-    letter for each line says which, and a pattern cuts it.
+    Lines with a pipe, two commas or two tabs have the letter m.  Runs of them
+    are taken in pieces of 20, the first of 19 where a line precedes.
     """
     marks = lambda x, c: F.length(x) - F.length(F.replace(x, F.lit(c), F.lit("")))
     letter = lambda x: F.when(x.contains("|") | (marks(x, ",") >= 2) | (marks(x, "\t") >= 2), "m").otherwise("-")
-    pieces = F.regexp_extract_all(F.array_join(F.transform(lines, letter), ""), F.lit(f"(?<=-)m{{1,{TABLE_LINES - 1}}}|m{{1,{TABLE_LINES}}}|-+"), F.lit(0))
-    placed = lambda p: let(running_sum(F.transform(p, F.length)), lambda e: F.transform(p, lambda x, i: F.struct((F.get(e, i) - F.length(x)).alias("start"), F.length(x).alias("size"), x.startswith("m").alias("marked"))))
-    return let(pieces, placed)
+    return letter_runs(lines, letter, f"(?<=-)m{{1,{TABLE_LINES - 1}}}|m{{1,{TABLE_LINES}}}|-+")
 
 
 def format_tables(docs: DataFrame) -> DataFrame:
@@ -291,7 +288,7 @@ def format_tables(docs: DataFrame) -> DataFrame:
     def replaced(lines: Column) -> Column:
         def made(piece: Column) -> Column:
             own = F.slice(lines, piece["start"] + 1, piece["size"])
-            return let(own, lambda x: F.coalesce(F.when(piece["marked"] & (piece["size"] >= 3), rendered(vision(x))), F.array_join(x, "\n")))
+            return let(own, lambda x: F.coalesce(F.when((piece["letter"] == "m") & (piece["size"] >= 3), rendered(vision(x))), F.array_join(x, "\n")))
 
         return F.array_join(F.transform(table_runs(lines), made), "\n")
 
