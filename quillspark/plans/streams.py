@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import classify
+from ..operators import mathx
+from ..sinks import writers
 from ..sources import corpus
-from ..streaming import machine
+from ..streaming import machine, monitor
+from . import sql as D
 from .queries import ORACLES, QUERIES
 
 UNTIL = "1994-01-01 00:00:00"
@@ -90,3 +94,50 @@ ORACLES["x02b_refused"] = STEPS + 'SELECT job_id, seq, "at", action, problem FRO
 QUERIES["x04b_current_jobs"] = lambda spark, sf_dir: machine.current_jobs(machine.fold_messages(job_messages(spark, sf_dir), until=UNTIL))
 ORACLES["x04b_current_jobs"] = STEPS + f"""SELECT j.id AS job_id, j.status, j.progress, make_timestamp(j.started) AS started_at, make_timestamp(j.completed) AS completed_at, j.message, j.error
 FROM (SELECT unnest(jobs) AS j FROM lasts) WHERE j.completed IS NULL OR j.completed + {TTL} >= epoch_us(TIMESTAMP '{UNTIL}')"""
+
+
+# measured jobs and streams --------------------------------------------------------
+
+
+def measured_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of several operators, one of which fails, logged and read back."""
+    docs, watch = corpus.table(spark, sf_dir, "documents"), monitor.Recorder(spark)
+    log = writers.new_folder(spark, "op_events")
+    sink = lambda frame: frame.write.format("noop").mode("overwrite").save()
+    lines = corpus.explode_lines(docs)
+    watch.run("lines", lines, sink, filled=F.count_if(F.trim("line") != ""))
+    watch.run("markdown", docs.select(classify.has_markdown(F.col("text")).alias("found")), sink, found=F.count_if(F.col("found")))
+    watch.flush(log)
+    watch.measured("classes", sink, tables=F.count_if(F.col("kind") == "TABLE"))(lambda: lines.select(classify.text_class(F.col("line")).alias("kind")))()
+    try:
+        watch.run("broken", docs.select(F.raise_error(F.lit("no such page")).alias("x")), sink)
+    except Exception:  # noqa: S110  it is in the log
+        pass
+    watch.flush(log)
+    return monitor.read_events(spark, log)
+
+
+QUERIES["u07_measured_jobs"] = lambda spark, sf_dir: measured_jobs(spark, sf_dir).select("op", "success", "rows", "counts", (F.col("duration") > 0).alias("timed"), F.col("error").isNotNull().alias("told"))
+ORACLES["u07_measured_jobs"] = """WITH lines AS (SELECT unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents)
+SELECT 'lines' AS op, true AS success, count(*) AS rows, '{"filled": ' || count(*) FILTER (trim(line) <> '') || '}' AS counts, true AS timed, false AS told FROM lines
+UNION ALL SELECT 'markdown', true, count(*), '{"found": ' || count(*) FILTER (HOLDS) || '}', true, false FROM documents
+UNION ALL SELECT 'classes', true, count(*), '{"tables": ' || count(*) FILTER (length(line) - length(replace(line, '|', '')) >= 3) || '}', true, false FROM lines
+UNION ALL SELECT 'broken', false, NULL, '{}', true, true""".replace("HOLDS", D.holds("text", *classify.MARKDOWN))
+
+
+def streamed_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Progress of a stream that recognises the mathematics of all documents, in batches of a few files."""
+    docs = corpus.table(spark, sf_dir, "documents").select("doc_id", "text")
+    folder, total = writers.new_folder(spark, "uploads"), docs.count()
+    docs.repartition(6).write.parquet(folder)
+    stream = spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", 2).parquet(folder)
+    out = writers.new_folder(spark, "recognised")
+    sink = lambda batch, number: mathx.format_math(batch).write.mode("overwrite").parquet(f"{out}/batch={number}")
+    found = monitor.run_with_progress(stream, "mathematics", total, sink, writers.new_folder(spark, "progress")).frame(spark)
+    written = spark.read.parquet(out).count()
+    told = found.agg(F.max("done").alias("done"), F.max("total").alias("total"), F.max("share").alias("share"), F.count_if(F.col("share").between(0, 1)).alias("n_events"), F.min("share").alias("least"))
+    return told.select("done", "total", "share", (F.col("n_events") >= 3).alias("several"), (F.col("least") < 1).alias("partial"), F.lit(written).cast("long").alias("written"))
+
+
+QUERIES["u08_stream_progress"] = streamed_progress
+ORACLES["u08_stream_progress"] = "SELECT count(*) AS done, count(*) AS total, 1::DOUBLE AS share, true AS several, true AS partial, count(*) AS written FROM documents"
