@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import inference, metrics
-from ..sinks import writers
+from ..sinks import store, writers
 from ..sources import corpus
 from ..streaming import jobs as job_stream
 from .queries import ORACLES, QUERIES, V, over_cache, over_events, over_jobs, page_requests, query
@@ -161,6 +161,23 @@ def looked_through(c: DataFrame, which: int) -> DataFrame:
 
 
 over_cache("j04_look_through", lambda c: looked_through(c, 0), "SELECT key, CASE WHEN entry_id % 3 = 0 OR entry_id % 2 = 0 THEN entry_id ELSE -entry_id END AS value, CASE WHEN entry_id % 3 = 0 THEN 'memory' WHEN entry_id % 2 = 0 THEN 'store' ELSE 'computed' END AS tier FROM entries")
+
+
+def stored_results(spark: SparkSession, sf_dir: str) -> store.Store:
+    """A store that holds two generations of results for two in three documents' texts."""
+    found = store.create(spark, writers.new_folder(spark, "store"), 16)
+    texts = corpus.table(spark, sf_dir, "documents").groupBy(F.sha2("text", 256).alias("key")).agg(F.max("doc_id").alias("doc_id")).where("doc_id % 3 > 0")
+    for word, day in (("old ", "2024-01-01"), ("new ", "2024-01-02")):
+        own = texts if word == "old " else texts.where("doc_id % 2 = 0")
+        found.put(own.select("key", F.concat(F.lit(word), col("doc_id").cast("string")).alias("value"), F.lit(day).cast("timestamp").alias("stored_at")))
+    return found
+
+
+STORED = "stored AS (SELECT key, CASE WHEN doc_id % 2 = 0 THEN 'new ' ELSE 'old ' END || doc_id AS value, CASE WHEN doc_id % 2 = 0 THEN TIMESTAMP '2024-01-02' ELSE TIMESTAMP '2024-01-01' END AS stored_at FROM (SELECT sha256(text) AS key, max(doc_id) AS doc_id FROM documents GROUP BY 1) WHERE key IS NOT NULL AND doc_id % 3 > 0)"
+QUERIES["k06b_bucketed_store"] = lambda spark, sf_dir: stored_results(spark, sf_dir).newest()
+ORACLES["k06b_bucketed_store"] = f"WITH {STORED} SELECT key, value, CAST(strlen(value) AS BIGINT) AS size_bytes, stored_at FROM stored"
+QUERIES["j04b_store_join"] = lambda spark, sf_dir: stored_results(spark, sf_dir).look_up(corpus.table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("key")))
+ORACLES["j04b_store_join"] = f"WITH {STORED} SELECT doc_id, sha256(text) AS key, value, stored_at FROM documents d LEFT JOIN stored s ON sha256(d.text) = s.key"
 over_cache("j04_promoted", lambda c: looked_through(c, 1), "SELECT key, CASE WHEN entry_id % 3 = 0 OR entry_id % 2 = 0 THEN entry_id ELSE -entry_id END AS value FROM entries")
 
 
