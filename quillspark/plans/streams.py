@@ -9,7 +9,7 @@ from ..functions import classify
 from ..operators import mathx
 from ..sinks import writers
 from ..sources import corpus
-from ..streaming import machine, monitor
+from ..streaming import machine, monitor, rolling
 from . import sql as D
 from .queries import ORACLES, QUERIES
 
@@ -141,3 +141,24 @@ def streamed_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["u08_stream_progress"] = streamed_progress
 ORACLES["u08_stream_progress"] = "SELECT count(*) AS done, count(*) AS total, 1::DOUBLE AS share, true AS several, true AS partial, count(*) AS written FROM documents"
+
+
+def streamed_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rolling metrics of all events, which come in several files and out of order."""
+    events = corpus.op_events(spark, sf_dir).select("op", "seq", "duration", "success")
+    folder, out = writers.new_folder(spark, "calls"), writers.new_folder(spark, "rolling")
+    events.repartition(5).write.parquet(folder)
+    own = spark.newSession()
+    own.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    stream = own.readStream.schema(events.schema).option("maxFilesPerTrigger", 2).parquet(folder)
+    sink = lambda batch, number: batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
+    rolling.rolling_metrics(stream, expected={"click": 10**6}).writeStream.outputMode("update").foreachBatch(sink).option("checkpointLocation", writers.new_folder(spark, "state")).trigger(availableNow=True).start().awaitTermination()
+    found = rolling.newest(spark.read.schema(rolling.STATE + ", batch int").parquet(out).drop("batch"))
+    return found.select("op", "calls", "errors", F.round("total_time", 6).alias("total_time"), F.round("recent_avg", 6).alias("recent_avg"), "remaining", F.round("seconds_left", 3).alias("seconds_left"))
+
+
+QUERIES["w04b_rolling_stream"] = streamed_metrics
+ORACLES["w04b_rolling_stream"] = """WITH ops AS (SELECT event_type AS op, event_id AS seq, value AS duration, event_id % 7 <> 0 AS success FROM events),
+recent AS (SELECT op, avg(duration) AS recent_avg FROM (SELECT *, row_number() OVER (PARTITION BY op ORDER BY seq DESC) AS r FROM ops WHERE success) WHERE r <= 10 GROUP BY op),
+totals AS (SELECT op, count(*) AS calls, count(*) FILTER (NOT success) AS errors, coalesce(sum(duration) FILTER (success), 0) AS total_time FROM ops GROUP BY op)
+SELECT op, calls, errors, round(total_time, 6) AS total_time, round(recent_avg, 6) AS recent_avg, CASE WHEN op = 'click' THEN 1000000 - calls END AS remaining, CASE WHEN op = 'click' THEN round((1000000 - calls) * recent_avg, 3) END AS seconds_left FROM totals LEFT JOIN recent USING (op)"""
