@@ -183,3 +183,31 @@ def file_problem(path: Column, size: Column, head: Column, max_bytes: int = 52_4
         F.when(~F.lower(path).endswith(suffix), "suffix").when(size > max_bytes, "too large").when(size == 0, "empty")
         .when(F.substring(head, 1, len(magic)) != F.encode(F.lit(magic), "UTF-8"), "header")
     )
+
+
+# Kinds of content by a file's ending.
+MIME = {".pdf": "application/pdf", ".html": "text/html", ".htm": "text/html", ".txt": "text/plain", ".png": "image/png", ".jpg": "image/jpeg", ".jpeg": "image/jpeg", ".gif": "image/gif", ".json": "application/json", ".xml": "text/xml", ".csv": "text/csv", ".zip": "application/zip"}
+
+
+def guessed_mime(path: Column) -> Column:
+    """The kind of content that a path's ending stands for; null if it is not known."""
+    kinds = F.create_map(*[F.lit(x) for pair in MIME.items() for x in pair])
+    return F.element_at(kinds, F.lower(F.regexp_extract(path, "(\\.[^./]*)$", 1)))
+
+
+def input_error(path: Column, size: Column, formats: tuple[str, ...] = (".pdf",), mime: str = "application/pdf", max_bytes: int = 52_428_800) -> Column:
+    """Null for a file that is taken, else its error: code, message and context (JSON), by ending, kind of content, size and emptiness.
+
+    A null path, or a null size, is a file that is not there.
+    """
+    ending = F.regexp_extract(path, "(\\.[^./]*)$", 1)
+    kind = guessed_mime(path)
+    message = (
+        F.when(path.isNull() | size.isNull(), F.concat(F.lit("File not found: "), F.coalesce(path, F.lit(""))))
+        .when(~F.lower(ending).isin(*formats), F.concat(F.lit("Unsupported file format: "), ending, F.lit(f". Supported formats: {', '.join(formats)}")))
+        .when(kind != mime, F.concat(F.lit("File does not appear to be a PDF: "), kind))
+        .when(size > max_bytes, F.concat(F.lit("File too large: "), F.format_number(size, 0), F.lit(f" bytes (max: {max_bytes:,} bytes)")))
+        .when(size == 0, F.lit("File is empty"))
+    )
+    context = F.to_json(F.struct(path.alias("path"), size.alias("size")))
+    return F.when(message.isNotNull(), F.struct(F.lit("VALIDATION_ERROR").alias("code"), message.alias("message"), context.alias("context")))

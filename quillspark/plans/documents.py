@@ -11,6 +11,7 @@ from ..functions.patterns import strip
 from ..operators import elements, mathx, outline, pages
 from ..sinks import named, writers
 from ..sources import corpus
+from ..streaming import jobs
 from . import sql as D
 from .queries import KINDS, ORACLES, QUERIES, TYPE, WEIGHT, E, O, T, per_document, query
 
@@ -35,6 +36,42 @@ def problem():
 
 over("pages", "s01_validate_inputs", lambda: ["page_id", problem().alias("error")], f"SELECT page_id, {PROBLEM} AS error FROM pages")
 
+ENDING = "coalesce(nullif(lower(regexp_extract(url, '(\\.[^./]*)$', 1)), ''), '')"
+over("pages", "s02_input_errors", lambda: ["page_id", rules.input_error(col("url"), F.when(col("page_id") % 7 > 0, F.octet_length("html")), (".html", ".pdf"), "text/html", 20_000).alias("e")], f"""WITH f AS (SELECT *, {ENDING} AS ending, CASE WHEN page_id % 7 > 0 THEN strlen(html) END AS size FROM pages),
+m AS (SELECT *, CASE WHEN url IS NULL OR size IS NULL THEN 'File not found: ' || coalesce(url, '') WHEN ending NOT IN ('.html', '.pdf') THEN 'Unsupported file format: ' || regexp_extract(url, '(\\.[^./]*)$', 1) || '. Supported formats: .html, .pdf' WHEN ending = '.pdf' THEN 'File does not appear to be a PDF: application/pdf'
+  WHEN size > 20000 THEN 'File too large: ' || format('{{:,}}', size) || ' bytes (max: 20,000 bytes)' WHEN size = 0 THEN 'File is empty' END AS message FROM f)
+SELECT page_id, CASE WHEN message IS NOT NULL THEN 'VALIDATION_ERROR' END AS code, message FROM m""")
+TYPED = QUERIES["s02_input_errors"]
+QUERIES["s02_input_errors"] = lambda spark, sf_dir: TYPED(spark, sf_dir).select("page_id", "e.code", "e.message")
+
+
+def page_folder(spark: SparkSession, sf_dir: str) -> str:
+    """Pages as files in nested folders, under two endings; one in three begins as a PDF does."""
+    folder = writers.new_folder(spark, "inputs")
+    p = corpus.table(spark, sf_dir, "pages").select(F.concat(F.lit("p"), col("page_id").cast("string")).alias("name"), F.concat(F.when(col("page_id") % 3 == 0, "%PDF-1.4\n").otherwise("text\n"), F.coalesce("html", F.lit(""))).alias("text"), (col("page_id") % 5 == 0).alias("other"))
+    for other, ending in ((False, ".pdf"), (True, ".txt")):
+        named.write_named(p.where(col("other") == other).select("name", "text"), folder, ending, sharded=True, mode="append")
+    return folder
+
+
+FILES = "SELECT 'p' || page_id || '.pdf' AS name, strlen(coalesce(html, '')) + CASE WHEN page_id % 3 = 0 THEN 9 ELSE 5 END AS length, CASE WHEN strlen(coalesce(html, '')) + CASE WHEN page_id % 3 = 0 THEN 9 ELSE 5 END > 20000 THEN 'too large' WHEN page_id % 3 <> 0 THEN 'header' END AS error FROM pages WHERE page_id % 5 <> 0"
+
+
+@query("s18_input_files", FILES)
+def input_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files found by pattern below a folder, with what is wrong with them."""
+    return corpus.files(spark, page_folder(spark, sf_dir), max_bytes=20_000).select(F.element_at(F.split("path", "/"), -1).alias("name"), "length", "error")
+
+
+@query("x05_upload_stream", f"SELECT name, length, CASE WHEN error = 'too large' AND name IN (SELECT 'p' || page_id || '.pdf' FROM pages WHERE page_id % 3 = 0) THEN NULL WHEN error = 'too large' THEN 'header' ELSE error END AS error FROM ({FILES})")
+def upload_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same files as uploads: a stream takes a few at a time, checks and converts them."""
+    out = writers.new_folder(spark, "converted")
+    convert = lambda rows: rows.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.octet_length("content").cast("long").alias("length"), "error")
+    jobs.convert_uploads(spark, page_folder(spark, sf_dir) + "/*", convert, out, writers.new_folder(spark, "uploaded"), max_files=150).awaitTermination()
+    return spark.read.parquet(out).select("name", "length", "error")
+
+
 SPANS = """WITH spans AS (SELECT l_orderkey AS doc_id, CAST(l_suppkey % 5 AS INTEGER) AS page_number, CAST(l_linenumber // 4 AS INTEGER) AS block_no, (l_linenumber % 4) // 2 AS line_no, l_linenumber AS n, l_partkey AS p,
   CASE WHEN l_quantity <= 45 THEN l_returnflag || 'x ' || l_partkey WHEN l_linenumber % 2 = 0 THEN ' ' ELSE '' END AS text, CASE WHEN l_discount > 0.02 THEN l_quantity ELSE 0 END AS size FROM lineitem),
 ls AS (SELECT doc_id, page_number, block_no, line_no, string_agg(text, '' ORDER BY n, p) AS line, sum(CASE WHEN size <> 0 THEN size END) AS s, count(CASE WHEN size <> 0 THEN size END) AS n FROM spans GROUP BY ALL)

@@ -123,6 +123,19 @@ def log_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("event_id", F.left("timestamp", F.lit(19)).alias("at"), "event_type", "logger", "message")
 
 
+@query("k09b_request_events", "SELECT event_id, CASE WHEN event_id % 5 = 0 THEN 'system_disk' ELSE 'request' END AS event_type, CASE WHEN event_id % 5 = 0 THEN 'system' ELSE 'requests' END AS logger, CASE WHEN event_id % 5 = 0 THEN 'Disk of ' || user_id || ' is full' ELSE 'Request r' || event_id || ': ' || event_type || ' - ' || CASE event_id % 3 WHEN 0 THEN 'success' WHEN 1 THEN 'error' ELSE 'timeout' END END AS message, CASE WHEN event_id % 5 > 0 THEN CASE event_id % 3 WHEN 0 THEN 'success' WHEN 1 THEN 'error' ELSE 'timeout' END END AS status, CASE WHEN event_id % 5 > 0 THEN value END AS duration, CASE WHEN event_id % 5 = 0 THEN user_id END AS disk FROM events")
+def request_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests and events of the system as a JSON log, read back."""
+    e = corpus.table(spark, sf_dir, "events")
+    number = F.concat(F.lit("r"), col("event_id").cast("string"))
+    status = F.element_at(F.array(*map(F.lit, ("success", "error", "timeout"))), (col("event_id") % 3 + 1).cast("int"))
+    request = writers.request_event(col("ts"), number, col("event_type"), status, col("value"), event_id=col("event_id"))
+    system = writers.system_event(col("ts"), "disk", F.concat(F.lit("Disk of "), col("user_id").cast("string"), F.lit(" is full")), disk=col("user_id"), event_id=col("event_id"))
+    folder = writers.new_folder(spark, "requests")
+    writers.write_json_lines(e.select(F.when(col("event_id") % 5 == 0, system).otherwise(request).alias("value")), folder)
+    return spark.read.schema("event_id long, event_type string, logger string, message string, status string, duration double, disk long").json(folder)
+
+
 # jobs ---------------------------------------------------------------------------
 
 

@@ -77,7 +77,7 @@ def log_event(kind: str, at: Column, message: Column, **more: Column) -> Column:
     """A log event as JSON: time, kind, logger, message, and what else is known."""
     known = [c.alias(k) for k, c in more.items()]
     stamp = F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss.SSS")
-    return F.to_json(F.struct(stamp.alias("timestamp"), F.lit(kind).alias("event_type"), F.lit(LOGGERS[kind]).alias("logger"), message.alias("message"), *known))
+    return F.to_json(F.struct(stamp.alias("timestamp"), F.lit(kind).alias("event_type"), F.lit(LOGGERS[kind.split("_")[0]]).alias("logger"), message.alias("message"), *known))
 
 
 def performance_event(at: Column, operation: Column, seconds: Column) -> Column:
@@ -90,6 +90,17 @@ def error_event(at: Column, operation: Column, error: Column) -> Column:
     return log_event("error", at, message, operation=operation, error=error)
 
 
+def request_event(at: Column, request_id: Column, operation: Column, status: Column, seconds: Column, **more: Column) -> Column:
+    """A request and how it ended: success, error or timeout."""
+    message = F.concat(F.lit("Request "), request_id, F.lit(": "), operation, F.lit(" - "), status)
+    return log_event("request", at, message, request_id=request_id, operation=operation, status=status, duration=seconds, **more)
+
+
+def system_event(at: Column, kind: str, message: Column, **more: Column) -> Column:
+    """An event of the system; its kind is told as ``system_`` and the kind."""
+    return log_event(f"system_{kind}", at, message, **more)
+
+
 def write_results(results: DataFrame, path: str) -> None:
     """results(key, value, stored_at) -> the result store, in folders by the key's first two characters."""
     results.select("key", "value", "stored_at", F.octet_length("value").cast("long").alias("size_bytes"), F.left("key", F.lit(2)).alias("shard")).write.mode("append").partitionBy("shard").parquet(path)
