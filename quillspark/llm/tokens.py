@@ -35,9 +35,9 @@ HEAD = struct.Struct("<4sIIQI")
 BLOCK_IDS = 4096
 ROW_DOCS, ROW_IDS = 512, 1 << 20
 #: Documents and bytes of text that are encoded together.
-TURN_DOCS, TURN_BYTES, GATHER_DOCS = 8192, 20 << 20, 256
-#: Pieces whose ids a worker remembers: those used last, in two generations of this many at most.
-CACHE_PIECES = 300_000
+TURN_DOCS, TURN_BYTES, GATHER_DOCS = 8192, 10 << 20, 256
+#: Pieces whose ids a worker remembers: those used last and more than once in a turn, in two generations that begin anew beyond this many.
+CACHE_PIECES = 150_000
 #: Pieces that go to the library as one text.
 JOINED_PIECES = 2000
 #: White space other than the space and the line end.
@@ -148,8 +148,8 @@ class PieceEncoder:
         first = np.uint32(self.line_end).tobytes()
         return [first + x if p[0] == "\n" else x for p, x in zip(pieces, out, strict=True)]
 
-    def _known(self, pieces: list[str]) -> list[bytes]:
-        """Ids of different pieces; what is new in all of them goes to the library at once."""
+    def _known(self, pieces: list[str], often: np.ndarray) -> list[bytes]:
+        """Ids of different pieces; what is new in all of them goes to the library at once, and what occurs ``often`` is remembered."""
         if len(self.young) > CACHE_PIECES:
             self.young, self.old = {}, self.young
         young, old = self.young, self.old
@@ -157,7 +157,7 @@ class PieceEncoder:
         new = [k for k, ids in enumerate(found) if ids is None]
         for k, ids in zip(new, self._pieces([pieces[k] for k in new]), strict=True) if new else ():
             found[k] = ids
-        young.update(zip(pieces, found, strict=True))
+        young.update((pieces[k], found[k]) for k in np.flatnonzero(often)[: 2 * CACHE_PIECES - len(young)].tolist())
         return found
 
     def _parted(self, texts: pa.Array) -> list[np.ndarray]:
@@ -165,11 +165,11 @@ class PieceEncoder:
         marked = pc.binary_join_element_wise(FIRST, pc.replace_substring(texts, "\n", " \n"), "")
         lists = pc.split_pattern(marked, " ")
         coded = lists.flatten().dictionary_encode()
-        ids = self._known(coded.dictionary.to_pylist())
+        places = coded.indices.to_numpy()
+        ids = self._known(coded.dictionary.to_pylist(), np.bincount(places) > 1)
         sizes = np.array([len(x) // 4 for x in ids], np.int32)
         flat = np.frombuffer(b"".join(ids), np.uint32)
         begins = np.cumsum(sizes, dtype=np.int32) - sizes
-        places = coded.indices.to_numpy()
         offsets = lists.offsets.to_numpy() - lists.offsets[0].as_py()
         out: list[np.ndarray] = []
         for at in range(0, len(texts), GATHER_DOCS):  # a few at a time, to keep the arrays small
@@ -256,6 +256,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 0, path: str | N
                         yield flush()
         if names:
             yield flush()
+        pa.default_memory_pool().release_unused()  # the worker lives on
 
     ordered = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("h")).repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h").select("doc_id", "text")
     rows = ordered.mapInArrow(encode, "part int, row long, start long, n_ids long, doc_ids array<long>, ends array<long>, data binary")
