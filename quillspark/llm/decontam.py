@@ -225,6 +225,11 @@ def op6_decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
-    """Documents without any benchmark window, with all their columns."""
+    """Documents without any benchmark window, with all their columns.
+
+    Null and empty texts hold none and stay; repeated rows are judged alike,
+    null doc_ids are no matter; without items all stay, and an empty table
+    gives an empty result.
+    """
     found = contaminated_spans(docs, benchmark, window, carry=True)
     return found.where(F.size("spans") == 0).select("kept.*")

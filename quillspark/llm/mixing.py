@@ -145,7 +145,9 @@ def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0
     """The rows of ``docs``, each as often as the mix takes it.
 
     Rows that agree in doc_id, source and size share their group's numbers,
-    dealt in the order of a hash of the text.
+    dealt in the order of a hash of the text.  A null text has no words, and
+    is taken as often as others of its size; a null source is a source, null
+    doc_ids agree; an empty table gives an empty result; extra columns come along.
     """
     columns = docs.columns
     plan = mix(docs, weights, budget, max_repeats, seed).where("times > 0")

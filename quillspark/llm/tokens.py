@@ -265,7 +265,11 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 0, path: str | N
 
 
 def read_tokens(spark, path: str) -> DataFrame:
-    """Documents of a token table: doc_id, start, n_tokens, ids_crc32."""
+    """Documents of a token table: doc_id, start, n_tokens, ids_crc32.
+
+    One row for each document written, null and repeated doc_ids included; a
+    table without documents gives an empty result.
+    """
     stored = spark.read.parquet(path)
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     # one row for each written part, not for each document

@@ -52,6 +52,19 @@ def test_odd_tables(spark, tmp_path):
     assert sorted(((r.doc_id, r.text) for r in docs.collect()), key=repr) == sorted([(5, texts[0]), (5, texts[1]), (None, texts[2]), (2**62, texts[3])], key=repr)
 
 
+def test_clashing_columns(spark, tmp_path):
+    """Columns with the names that stages use inside come along through all of them."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60)
+    names = ["row", "own_id", "own_md5", "size", "k", "times", "h", "keeper", "digest", "kept", "spans", "source_size", "n", "cell", "first"]
+    wide = docs.withColumns({c: F.concat(F.lit(c), F.col("doc_id").cast("string")) for c in names}).cache()
+    plain = docs
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        wide, plain = stage(spark, wide, SF).cache(), stage(spark, plain, SF).cache()
+    key = lambda frame: sorted((r.doc_id, r.text) for r in frame.collect())
+    assert wide.columns == [*docs.columns, *names] and key(wide) == key(plain)
+    assert all(r[c] == f"{c}{r.doc_id}" for r in wide.collect() for c in names)
+
+
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_oracle(spark, name):
     con = duckdb.connect()
