@@ -1,4 +1,11 @@
-"""The corpus pipeline: quality, near-duplicates, contamination, mixture, tokens."""
+"""The corpus pipeline: quality, near-duplicates, contamination, mixture, tokens.
+
+All stages take an empty table, and give one.  Rows with a null doc_id are
+documents like others, but no one's copies; null and empty texts fail the
+quality rules; repeated rows are judged alike until one of them stays; columns
+beside doc_id, text and source come along unread, whatever their names, but
+n_chars, which follows the text.
+"""
 
 from __future__ import annotations
 
