@@ -13,7 +13,7 @@ from ..sinks import named, writers
 from ..sources import corpus
 from ..streaming import jobs
 from . import sql as D
-from .queries import KINDS, ORACLES, QUERIES, TYPE, WEIGHT, E, O, T, per_document, query
+from .queries import CLASS, CONFIDENCE, KINDS, ORACLES, QUERIES, TYPE, WEIGHT, E, O, T, per_document, query
 
 NL = "chr(10)"
 col = F.col
@@ -76,13 +76,13 @@ SPANS = """WITH spans AS (SELECT l_orderkey AS doc_id, CAST(l_suppkey % 5 AS INT
   CASE WHEN l_quantity <= 45 THEN l_returnflag || 'x ' || l_partkey WHEN l_linenumber % 2 = 0 THEN ' ' ELSE '' END AS text, CASE WHEN l_discount > 0.02 THEN l_quantity ELSE 0 END AS size FROM lineitem),
 ls AS (SELECT doc_id, page_number, block_no, line_no, string_agg(text, '' ORDER BY n, p) AS line, sum(CASE WHEN size <> 0 THEN size END) AS s, count(CASE WHEN size <> 0 THEN size END) AS n FROM spans GROUP BY ALL)
 """
-BLOCKS = f"""SELECT doc_id, page_number, block_no, text, lines_count, round(font_size, 6) AS font_size, 'TEXT' AS content_type FROM (SELECT doc_id, page_number, block_no, string_agg(line, {NL} ORDER BY line_no) FILTER (trim(line) <> '') AS text, count(*) FILTER (trim(line) <> '') AS lines_count, coalesce(sum(s) / sum(n), 12) AS font_size FROM ls GROUP BY ALL) WHERE text <> ''"""
+BLOCKS = f"""SELECT doc_id, page_number, block_no, text, lines_count, round(font_size, 6) AS font_size, {CLASS} AS content_type, {CONFIDENCE} AS confidence FROM (SELECT doc_id, page_number, block_no, string_agg(line, {NL} ORDER BY line_no) FILTER (trim(line) <> '') AS text, count(*) FILTER (trim(line) <> '') AS lines_count, coalesce(sum(s) / sum(n), 12) AS font_size FROM ls GROUP BY ALL) WHERE text <> ''"""
 
 
 @query("s07_block_elements", SPANS + BLOCKS)
 def block_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pages.block_elements(corpus.spans(spark, sf_dir))
-    return found.select("doc_id", "page_number", "block_no", "text", "lines_count", F.round("font_size", 6).alias("font_size"), "content_type")
+    return found.select("doc_id", "page_number", "block_no", "text", "lines_count", F.round("font_size", 6).alias("font_size"), "content_type", "confidence")
 
 
 @query("s09_layout_elements", SPANS + f"SELECT doc_id, page_number, block_no, text, round(font_size, 6) AS font_size, 0.9::DOUBLE AS confidence FROM (SELECT doc_id, page_number, block_no, {D.strip(f'string_agg(line, {NL} ORDER BY line_no)')} AS text, coalesce(sum(s) / sum(n), 12) AS font_size FROM ls GROUP BY ALL) WHERE text <> ''")

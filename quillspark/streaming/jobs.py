@@ -11,7 +11,6 @@ from ..functions.rules import file_problem
 
 #: Later states absorb earlier ones.
 RANKS = {"pending": 0, "processing": 1, "completed": 2, "failed": 2, "cancelled": 2}
-PROGRESS = {"pending": 0.0, "completed": 1.0}
 
 
 def job_events(jobs: DataFrame) -> DataFrame:
@@ -27,7 +26,8 @@ def fold_jobs(events: DataFrame) -> DataFrame:
     """events(job_id, status, at) -> the state of each job.
 
     Plain aggregates, so the same fold runs over a stream in update mode and
-    the order of arrival does not matter.
+    the order of arrival does not matter.  ``progress`` is that of the state
+    alone; ``machine`` keeps what jobs report.
     """
     rank = F.create_map(*[F.lit(x) for pair in RANKS.items() for x in pair])[F.col("status")]
     last = F.max(F.struct(rank.alias("rank"), F.col("at"), F.col("status")))
@@ -51,6 +51,8 @@ def apply_requests(jobs: DataFrame, requests: DataFrame) -> DataFrame:
 
     A request that the job's state does not allow, or for a job that is not
     there, changes nothing and says why; a retry makes a job of its own.
+    Each request is judged against the state given; ``machine.fold_messages``
+    judges requests for one job one after another.
     """
     found = requests.join(jobs.select("job_id", F.col("status").alias("was")), "job_id", "left")
     allowed, follows = F.lit(False), F.lit(None).cast("string")
@@ -83,9 +85,14 @@ def live_jobs(events: DataFrame, ttl: str = "24 hours", late: str = "1 hour") ->
 
 
 def active_by_window(events: DataFrame, width: str = "24 hours", late: str = "1 hour") -> DataFrame:
-    """Events and jobs of each window of time; in a stream a window is final once the watermark has passed it."""
+    """Events and jobs of each window of time.
+
+    In a stream a window is final once the watermark has passed it, and its
+    jobs are counted approximately; over a table they are counted exactly.
+    """
+    jobs = F.approx_count_distinct("job_id") if events.isStreaming else F.count_distinct("job_id")
     own = events.withWatermark("at", late) if events.isStreaming else events
-    found = own.groupBy(F.window("at", width)).agg(F.count("*").alias("events"), F.approx_count_distinct("job_id").alias("jobs"))
+    found = own.groupBy(F.window("at", width)).agg(F.count("*").alias("events"), jobs.alias("jobs"))
     return found.select(F.col("window.start").alias("begin"), "events", "jobs")
 
 
