@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import classify
-from ..operators import mathx
+from ..operators import mathx, table_functions
 from ..sinks import writers
 from ..sources import corpus
 from ..streaming import machine, monitor, rolling
@@ -162,3 +162,25 @@ ORACLES["w04b_rolling_stream"] = """WITH ops AS (SELECT event_type AS op, event_
 recent AS (SELECT op, avg(duration) AS recent_avg FROM (SELECT *, row_number() OVER (PARTITION BY op ORDER BY seq DESC) AS r FROM ops WHERE success) WHERE r <= 10 GROUP BY op),
 totals AS (SELECT op, count(*) AS calls, count(*) FILTER (NOT success) AS errors, coalesce(sum(duration) FILTER (success), 0) AS total_time FROM ops GROUP BY op)
 SELECT op, calls, errors, round(total_time, 6) AS total_time, round(recent_avg, 6) AS recent_avg, CASE WHEN op = 'click' THEN 1000000 - calls END AS remaining, CASE WHEN op = 'click' THEN round((1000000 - calls) * recent_avg, 3) END AS seconds_left FROM totals LEFT JOIN recent USING (op)"""
+
+
+# table functions of SQL ------------------------------------------------------------
+
+
+def sql_math_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table_functions.register(spark)
+    corpus.table(spark, sf_dir, "documents").createOrReplaceTempView("quillspark_documents")
+    return spark.sql("SELECT doc_id, begin, end, match, math_type, latex FROM quillspark_documents, LATERAL math_spans(text)")
+
+
+def sql_job_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table_functions.register(spark)
+    messages = machine.by_family(job_messages(spark, sf_dir)).withColumn("at", F.unix_micros("at"))
+    messages.createOrReplaceTempView("quillspark_messages")
+    return machine.refused(machine.timed(spark.sql("SELECT * FROM job_steps(TABLE(quillspark_messages), 24)")))
+
+
+QUERIES["m05c_sql_math_spans"] = sql_math_spans
+ORACLES["m05c_sql_math_spans"] = ORACLES["m05b_document_spans"]
+QUERIES["x02c_sql_job_steps"] = sql_job_steps
+ORACLES["x02c_sql_job_steps"] = ORACLES["x02b_refused"]
