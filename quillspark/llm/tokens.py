@@ -35,11 +35,11 @@ HEAD = struct.Struct("<4sIIQI")
 BLOCK_IDS = 4096
 ROW_DOCS, ROW_IDS = 512, 1 << 20
 #: Documents and bytes of text that are encoded together.
-TURN_DOCS, TURN_BYTES, GATHER_DOCS = 8192, 10 << 20, 256
+TURN_DOCS, TURN_BYTES, GATHER_DOCS = 8192, 16 << 20, 256
 #: Pieces whose ids a worker remembers: those used last and more than once in a turn, in two generations that begin anew beyond this many.
-CACHE_PIECES = 150_000
+CACHE_PIECES = 200_000
 #: Pieces that go to the library as one text.
-JOINED_PIECES = 2000
+JOINED_PIECES = 10_000
 #: White space other than the space and the line end.
 OTHER_SPACE = "".join(c for c in map(chr, range(0x110000)) if c.isspace() and c not in " \n")
 #: Stands before the first piece of a text, which has no space in front.
@@ -138,9 +138,9 @@ class PieceEncoder:
         of their line, the others after the space that belongs to them.
         """
         shown = [p[1:] if p[0] in (FIRST, "\n") else " " + p for p in pieces]
-        blocks = ["\n".join(shown[at : at + JOINED_PIECES]) for at in range(0, len(shown), JOINED_PIECES)]
         out = []
-        for ids in self._whole(blocks):
+        for at in range(0, len(shown), JOINED_PIECES):  # what the library returns is much larger than the ids
+            [ids] = self._whole(["\n".join(shown[at : at + JOINED_PIECES])])
             found = np.array(ids, "<u4")
             ends = np.append(np.flatnonzero(found == self.line_end), len(found)) * 4
             data = found.tobytes()
