@@ -8,7 +8,7 @@ from operator import add
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .patterns import clamp, count, has, holds, is_upper, let, match_places, one, strip, swap
+from .patterns import clamp, count, has, holds, is_upper, match_places, one, strip, swap
 
 # The detectors' patterns and weights.
 MATH_PATTERNS = ["\\$[^$]+\\$", "\\\\\\[.*?\\\\\\]", "\\\\\\(.*?\\\\\\)", "<w>+<s>*[=≠≤≥<>]<s>*[\\p{L}\\p{N}_()+\\-*/^]+", "∫.*?dx", "∑.*?=.*", "∂f/∂[a-zA-Z]"]
